@@ -80,3 +80,22 @@ def ntile_of(rn_col: str, n_col: str, k: int):
     big = (q + 1) * r
     return (F.when(rn <= big, F.floor((rn - 1) / (q + 1)) + 1)
              .otherwise(r + F.floor((rn - big - 1) / F.greatest(q, F.lit(1))) + 1)).cast("int")
+
+
+def top_n_per_group(df: DataFrame, group: list[str], order: list, n: int,
+                    salts: int = 32, out: str | None = None) -> DataFrame:
+    """First ``n`` rows of every group by ``order`` (Column list), exact.
+
+    Stage 1 ranks inside (group, salt) where salt = hash of the row, so a
+    group holding a third of the data is sorted by ``salts`` tasks; only
+    the <= salts * n survivors of each group meet in the stage-2 window.
+    ``out`` names an optional 1-based rank column.
+    """
+    from pyspark.sql import Window
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
+    pre = (salted.withColumn("_r1", F.row_number().over(w1))
+                 .filter(F.col("_r1") <= n).drop("_r1", "_salt"))
+    w2 = Window.partitionBy(*group).orderBy(*order)
+    res = pre.withColumn("_r2", F.row_number().over(w2)).filter(F.col("_r2") <= n)
+    return res.withColumnRenamed("_r2", out) if out else res.drop("_r2")

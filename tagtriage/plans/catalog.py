@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_lists"]
+_MODULES = ["q_lists", "q_clean"]
 
 
 def registry() -> dict:

@@ -140,9 +140,9 @@ def raw_messages(spark: SparkSession, d: str) -> DataFrame:
 
 def _ents_sql(t: str) -> str:
     return ("{'hashtags': list_transform(regexp_extract_all(" + t
-            + ", '#([\\p{L}\\p{N}_]+)', 1), x -> {'text': x}), "
+            + ", '#([\\p{L}\\p{N}_]+)', 1), lambda x: {'text': x}), "
             "'urls': list_transform(regexp_extract_all(" + t
-            + ", 'https?://\\S+', 0), x -> {'url': x})}")
+            + ", 'https?://\\S+', 0), lambda x: {'url': x})}")
 
 
 RAW_MESSAGES_SQL = f"""raw_base AS (

@@ -30,7 +30,7 @@ def tweet_tokens(x: str) -> str:
 
 def remove_stop_words(x: str) -> str:
     stop = _list(fixed.stop_words())
-    return (f"array_to_string(list_filter({tweet_tokens(x)}, t -> NOT list_contains({stop}, t) "
+    return (f"array_to_string(list_filter({tweet_tokens(x)}, lambda t: NOT list_contains({stop}, t) "
             f"AND strpos({q(fixed.PUNCTUATION)}, t) = 0), ' ')")
 
 
@@ -46,13 +46,13 @@ def remove_emoji(x: str, mode: str = "ref") -> str:
 def expand_slang(x: str) -> str:
     key = f"upper(regexp_replace(w, {q(fixed.SLANG_STRIP_RE)}, '', 'g'))"
     return (f"array_to_string(list_transform(string_split({x}, ' '), "
-            f"w -> {_case(key, fixed.slang_map(), 'w')}), ' ')")
+            f"lambda w: {_case(key, fixed.slang_map(), 'w')}), ' ')")
 
 
 def lemmatize(x: str) -> str:
-    toks = f"list_filter(string_split_regex(trim({x}), '\\s+'), w -> w <> '')"
+    toks = f"list_filter(string_split_regex(trim({x}), '\\s+'), lambda w: w <> '')"
     return (f"array_to_string(list_transform({toks}, "
-            f"w -> {_case('w', fixed.VERB_LEMMAS, 'w')}), ' ')")
+            f"lambda w: {_case('w', fixed.VERB_LEMMAS, 'w')}), ' ')")
 
 
 def lower_words(x: str) -> str:
@@ -76,7 +76,7 @@ def strip_accents(x: str) -> str:
 
 def simple_tokens(x: str, lo: int = 1, hi: int = 20) -> str:
     toks = f"regexp_extract_all({strip_accents(f'lower({x})')}, {q(fixed.ALPHA_TOKEN_RE)}, 0)"
-    return f"list_filter({toks}, t -> length(t) >= {lo} AND length(t) <= {hi})"
+    return f"list_filter({toks}, lambda t: length(t) >= {lo} AND length(t) <= {hi})"
 
 
 def clean_sentence(x: str) -> str:
