@@ -108,10 +108,20 @@ WUF=Where Are You From?
 W8=Wait...
 7K=Sick:-D Laugher"""
 
-# --- fixed values: keyword labelling functions (keyword, vote) ---
-# 1 = hijacked, 0 = valid
-KEYWORD_RULES = [("food", 1), ("tfb", 1), ("follow", 1), ("apple", 1),
-                 ("ipad", 1), ("game", 1), ("women", 0)]
+# --- fixed values: keyword labelling functions (name, keywords, vote) ---
+# 1 = hijacked, 0 = valid; a function votes when any keyword is a substring
+# of the lower-cased text, else abstains (-1).
+KEYWORD_LFS = [
+    ("food", ["#food", "#foodporn"], 1),
+    ("tfb", ["#tfb", "#teamfollowback", "#followgain"], 1),
+    ("follow", ["#follow4follow", "#followforfollow", "#likeforlike", "#like4like"], 1),
+    ("apple", ["#apple", "#iphone"], 1),
+    ("ipad", ["#ipad", "#ipadgames"], 1),
+    ("game", ["#ps4live", "#gamer", "#gaming", "#games", "#gamenight", "#videogames"], 1),
+    ("women", ["women", "movement", "abuse", "harassment", "victim", "feminism", "feminist"], 0),
+]
+# The functions the reference actually applies (the women rule is defined only).
+ACTIVE_KEYWORD_LFS = ["food", "follow", "tfb", "ipad", "apple", "game"]
 
 # --- fixed values: category tags of the seed files ---
 SEED_CATEGORIES = ["Apple", "Food", "Game", "IPad", "Follow", "TFB"]

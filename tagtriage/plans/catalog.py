@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_lists", "q_clean", "q_text"]
+_MODULES = ["q_lists", "q_clean", "q_text", "q_eval"]
 
 
 def registry() -> dict:
