@@ -72,8 +72,8 @@ def roc_auc(df: DataFrame, score: str, label: str = "label") -> DataFrame:
     sc = score_counts(df, score, label)
     r = running_totals(sc, ["score"], ["neg"], inclusive=False)
     return r.agg(
-        (F.sum(F.col("pos") * (F.col("cum_neg") + 0.5 * F.col("neg")))
-         / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+        F.try_divide(F.sum(F.col("pos") * (F.col("cum_neg") + 0.5 * F.col("neg"))),
+                     F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def roc_points(df: DataFrame, score: str, label: str = "label") -> DataFrame:
@@ -124,8 +124,8 @@ def score_models(df: DataFrame, cols: list[str], label: str = "label") -> DataFr
          .rowsBetween(Window.unboundedPreceding, -1))
     auc = (sc.withColumn("cum_neg", F.coalesce(F.sum("neg").over(w), F.lit(0)))
              .groupBy("model")
-             .agg((F.sum(F.col("pos") * (F.col("cum_neg") + 0.5 * F.col("neg")))
-                   / (F.sum("pos") * F.sum("neg"))).alias("auc")))
+             .agg(F.try_divide(F.sum(F.col("pos") * (F.col("cum_neg") + 0.5 * F.col("neg"))),
+                               F.sum("pos") * F.sum("neg")).alias("auc")))
     return m.join(auc, "model")
 
 
@@ -200,8 +200,9 @@ def cohen_kappa(votes: DataFrame, item: str = "item_id") -> DataFrame:
                    for i, c in enumerate(cats)],
                  *[F.sum(F.when(F.col("a2") == c, 1).otherwise(0)).alias(f"s{i}")
                    for i, c in enumerate(cats)])
-    pe = sum(F.col(f"r{i}") * F.col(f"s{i}") for i in range(len(cats))) / (F.col("n") * F.col("n"))
-    po = F.col("agree") / F.col("n")
+    pe = F.try_divide(sum(F.col(f"r{i}") * F.col(f"s{i}") for i in range(len(cats))),
+                      F.col("n") * F.col("n"))
+    po = F.try_divide(F.col("agree"), F.col("n"))
     return agg.select(F.when(pe == 1, F.lit(0.0)).otherwise((po - pe) / (1 - pe)).alias("kappa"))
 
 
@@ -223,10 +224,12 @@ def fleiss_kappa(votes: DataFrame, item: str = "item_id") -> DataFrame:
               F.sum(F.col("n_neg") ** 2 + F.col("n_zero") ** 2 + F.col("n_pos") ** 2).alias("sq"))
     n = F.col("nmax").cast("double")
     tot = F.col("N") * n
-    pbar = (F.col("sq") - F.col("N") * n) / (n * (n - 1)) / F.col("N")
+    pbar = F.try_divide(F.col("sq") - F.col("N") * n, n * (n - 1) * F.col("N"))
     pe = (F.col("c0") / tot) ** 2 + (F.col("c1") / tot) ** 2 + (F.col("c2") / tot) ** 2
+    # kappa is undefined with one vote per item or perfect chance agreement
     return s.select((F.col("nmin") == F.col("nmax")).alias("equal"),
-                    F.when(F.col("nmin") == F.col("nmax"), (pbar - pe) / (1 - pe)).alias("kappa"))
+                    F.when(F.col("nmin") == F.col("nmax"),
+                           F.try_divide(pbar - pe, 1 - pe)).alias("kappa"))
 
 
 def avg_answer(votes: DataFrame, item: str = "item_id") -> DataFrame:

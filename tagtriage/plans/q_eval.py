@@ -211,7 +211,7 @@ Q["J15_fleiss_kappa"] = (lambda s, d: rounded(ev.fleiss_kappa(fx.votes(s, d))),
 , s AS (SELECT COUNT(*) AS N, MIN(n_neg + n_zero + n_pos) AS nmin, MAX(n_neg + n_zero + n_pos) AS nmax,
   SUM(n_neg) AS c0, SUM(n_zero) AS c1, SUM(n_pos) AS c2,
   SUM(n_neg * n_neg + n_zero * n_zero + n_pos * n_pos) AS sq FROM vm)
-SELECT nmin = nmax AS equal, ROUND(CASE WHEN nmin = nmax THEN
+SELECT nmin = nmax AS equal, ROUND(CASE WHEN nmin = nmax AND nmax > 1 THEN
   ((sq - N * nmax) / (nmax * (nmax - 1.0)) / N - ((c0 / (N * nmax)) ** 2 + (c1 / (N * nmax)) ** 2 + (c2 / (N * nmax)) ** 2))
   / (1 - ((c0 / (N * nmax)) ** 2 + (c1 / (N * nmax)) ** 2 + (c2 / (N * nmax)) ** 2)) END, 6) AS kappa FROM s""")
 
