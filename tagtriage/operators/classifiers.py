@@ -157,11 +157,13 @@ def _drop_tmp(df: DataFrame) -> DataFrame:
 
 
 def fit_text(df: DataFrame, col: str = "processed_fulltext", label: str = "label",
-             reg: float = 1e-4, out: str = "txt_label") -> tuple[PipelineModel, LogisticRegression]:
+             reg: float = 1e-4, out: str = "txt_label", max_iter: int = 50,
+             tol: float = 1e-4) -> tuple[PipelineModel, LogisticRegression]:
     """TF-IDF + logistic regression (SGD-like small L2) -> txt_label."""
     vec = tfidf_model(df, col)
     lr = LogisticRegression(labelCol=label, regParam=reg, probabilityCol="_p_txt",
-                            predictionCol="_y_txt", rawPredictionCol="_r_txt")
+                            predictionCol="_y_txt", rawPredictionCol="_r_txt",
+                            maxIter=max_iter, tol=tol)
     model = lr.fit(vec.transform(df))
     return vec, model
 
@@ -180,7 +182,7 @@ def fit_profile(df: DataFrame, col: str = "user_description", label: str = "labe
     vec = tfidf_model(rows, col, mode)
     n = max(1, rows.count())
     lr = LogisticRegression(labelCol=label, regParam=1.0 / n, probabilityCol="_p_ud",
-                            predictionCol="_y_ud", rawPredictionCol="_r_ud")
+                            predictionCol="_y_ud", rawPredictionCol="_r_ud", maxIter=50, tol=1e-4)
     return vec, lr.fit(vec.transform(rows))
 
 
@@ -229,7 +231,9 @@ def cv_accuracy(df: DataFrame, fit_score, k: int = 5, seed: int = 0, label: str
 def fit_clusters(df: DataFrame, col: str = "processed_fulltext", k: int = 13, seed: int = 1):
     """K-means (k = 13) on TF-IDF vectors of the text."""
     vec = tfidf_model(df, col)
-    km = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vec.transform(df))
+    feats = vec.transform(df).select("features").persist()
+    km = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(feats)
+    feats.unpersist()
     return vec, km
 
 
@@ -283,9 +287,9 @@ def fit_meta(oof: DataFrame, cols=("rf_label", "ud_label", "txt_label"), label:
              rounds: int = 1000, depth: int = 3, subsample: float = 0.5, rate: float = 0.005,
              seed: int = 222) -> PipelineModel:
     """H9: boosted-tree meta learner (Spark offers logistic loss only)."""
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=list(cols), outputCol="_meta_x"),
-        GBTClassifier(featuresCol="_meta_x", labelCol=label, maxIter=rounds, maxDepth=depth,
-                      subsamplingRate=subsample, stepSize=rate, seed=seed,
-                      probabilityCol="_p_meta", predictionCol="_y_meta",
-                      rawPredictionCol="_r_meta")]).fit(oof)
+    gbt = (GBTClassifier(featuresCol="_meta_x", labelCol=label, maxIter=rounds, maxDepth=depth,
+                         subsamplingRate=subsample, stepSize=rate, seed=seed,
+                         predictionCol="_y_meta")
+           .setProbabilityCol("_p_meta").setRawPredictionCol("_r_meta"))
+    return Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="_meta_x"),
+                            gbt]).fit(oof)
