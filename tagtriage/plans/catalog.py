@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_lists", "q_clean", "q_text", "q_eval", "q_models", "q_select", "q_sources", "q_ml"]
+_MODULES = ["q_lists", "q_clean", "q_text", "q_eval", "q_models", "q_select", "q_sources", "q_ml", "q_stream"]
 
 
 def registry() -> dict:

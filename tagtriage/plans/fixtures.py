@@ -125,6 +125,7 @@ def raw_messages(spark: SparkSession, d: str) -> DataFrame:
         F.date_format(ts, "EEE MMM dd HH:mm:ss Z yyyy").alias("created_at"),
         F.col("doc_id").alias("id"),
         short.alias("text"),
+        F.col("lang"),
         trunc.alias("truncated"),
         F.when(F.col("lang") == "es", F.col("doc_id") + 1).alias("in_reply_to_status_id"),
         F.when(F.col("lang") == "de", F.struct((F.col("doc_id") + 1).alias("id")))
@@ -152,7 +153,7 @@ raw_short AS (
   FROM raw_base),
 raw_messages AS (
   SELECT strftime({RAW_TS_SQL}, '%a %b %d %H:%M:%S +0000 %Y') AS created_at,
-         doc_id AS id, short_t AS text, trunc AS truncated,
+         doc_id AS id, short_t AS text, lang, trunc AS truncated,
          CASE WHEN lang = 'es' THEN doc_id + 1 END AS in_reply_to_status_id,
          CASE WHEN lang = 'de' THEN {{'id': doc_id + 1}} END AS retweeted_status,
          n_chars % 13 AS favorite_count, n_chars % 7 AS retweet_count, n_chars % 3 AS quote_count,

@@ -19,6 +19,7 @@ RAW_SCHEMA = T.StructType([
     T.StructField("created_at", T.StringType()),
     T.StructField("id", T.LongType()),
     T.StructField("text", T.StringType()),
+    T.StructField("lang", T.StringType()),
     T.StructField("truncated", T.BooleanType()),
     T.StructField("in_reply_to_status_id", T.LongType()),
     T.StructField("retweeted_status", T.StructType([T.StructField("id", T.LongType())])),
