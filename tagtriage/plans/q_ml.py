@@ -197,3 +197,32 @@ def _l14(s, d):
 
 
 Q["L14_denoise"] = (_l14, None)
+
+
+def _m22(s, d):
+    """Social-feature Gaussian NB trained on the first n picks of
+    feature-based, facility-location and random selection."""
+    from tagtriage.operators import selection as sel
+    from tagtriage.operators.curves import learning_curve
+    tr, te = _tt(s, d)
+    cols = cf.SOCIAL_COLS
+    trs = social_features(tr, keep=["id", "label"]).persist()
+    tes = social_features(te, keep=["id", "label"]).persist()
+    feats = trs.select("id", F.array(*[F.col(c).cast("double") for c in cols]).alias("features"))
+
+    def fit_score(a, b):
+        params = cf.fit_gnb(a)
+        return cf.score_gnb(b, params, out="score")
+
+    picks = {
+        "feature_based": sel.select(feats, sel.FeatureBased("sqrt"), 40, strategy="partitioned",
+                                    part_rows=500),
+        "facility": sel.select(feats, sel.Facility(metric="euclidean"), 40,
+                               strategy="partitioned", part_rows=500, check=False),
+        "random": [sel.select(feats, sel.FeatureBased(), 40, strategy="random", seed=i)
+                   for i in range(3)],
+    }
+    return rounded(learning_curve(trs, tes, picks, [10, 20, 40], fit_score))
+
+
+Q["M22_learning_curve"] = (_m22, None)
