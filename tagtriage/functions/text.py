@@ -42,10 +42,11 @@ def remove_stop_words(c, extra: list[str] | None = None) -> Column:
     ``string.punctuation`` (the reference's test); tokens are re-joined with
     one space.
     """
-    stop = _str_array(fixed.stop_words() + list(extra or []))
+    # ``isin`` over many literals becomes a hash-set lookup (InSet) in the
+    # optimised plan; a literal array would be scanned for every token.
+    stop = fixed.stop_words() + list(extra or [])
     punct = F.lit(fixed.PUNCTUATION)
-    kept = F.filter(tweet_tokens(c),
-                    lambda t: ~F.array_contains(stop, t) & (F.instr(punct, t) == 0))
+    kept = F.filter(tweet_tokens(c), lambda t: ~t.isin(stop) & (F.instr(punct, t) == 0))
     return F.array_join(kept, " ")
 
 
@@ -71,13 +72,19 @@ def _literal_map(d: dict[str, str]) -> Column:
     return F.create_map(*items)
 
 
+def _lookup(d: dict[str, str], key: Column, default: Column) -> Column:
+    """Table lookup: a hash-set membership test (InSet) first, so the
+    literal map (scanned linearly) is only consulted for real keys."""
+    return F.when(key.isin(list(d)), F.element_at(_literal_map(d), key)).otherwise(default)
+
+
 def expand_slang(c, table: dict[str, str] | None = None) -> Column:
     """Split on single spaces; a token whose letters/digits, upper-cased,
     equal a slang key becomes the phrase; other tokens stay as they were."""
-    m = _literal_map(table or fixed.slang_map())
+    m = table or fixed.slang_map()
     toks = F.split(_c(c), " ", -1)
-    out = F.transform(toks, lambda w: F.coalesce(
-        F.element_at(m, F.upper(F.regexp_replace(w, fixed.SLANG_STRIP_RE, ""))), w))
+    out = F.transform(toks, lambda w: _lookup(
+        m, F.upper(F.regexp_replace(w, fixed.SLANG_STRIP_RE, "")), w))
     return F.array_join(out, " ")
 
 
@@ -85,9 +92,9 @@ def lemmatize(c, table: dict[str, str] | None = None) -> Column:
     """D6 (fixed-table form): split on whitespace, map each word through a
     small literal lemma table, identity when absent, join with one space.
     For a large vocabulary table use ``operators.textops.apply_vocab``."""
-    m = _literal_map(table or fixed.VERB_LEMMAS)
+    m = table or fixed.VERB_LEMMAS
     toks = F.filter(F.split(F.trim(_c(c)), r"\s+", -1), lambda w: w != "")
-    return F.array_join(F.transform(toks, lambda w: F.coalesce(F.element_at(m, w), w)), " ")
+    return F.array_join(F.transform(toks, lambda w: _lookup(m, w, w)), " ")
 
 
 def lower_words(c) -> Column:
