@@ -203,7 +203,7 @@ def trust_labels(train_votes: DataFrame, train_labels: DataFrame, test_votes: Da
     tr = feats(train_votes).join(train_labels.select(item, (F.col(label) + 1).cast("double")
                                                      .alias("y")), item)
     n = max(1, tr.count())
-    # sklearn's default C = 1 on a summed loss equals regParam = 1 / n on Spark's mean loss.
+    # an L2 penalty C = 1 on a summed loss equals regParam = 1 / n on Spark's mean loss.
     pipe = Pipeline(stages=[CountVectorizer(inputCol="toks", outputCol="features", binary=True),
                             LogisticRegression(featuresCol="features", labelCol="y",
                                                regParam=1.0 / n, maxIter=100)])
