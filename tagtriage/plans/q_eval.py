@@ -3,7 +3,9 @@ supervision (L1-L12)."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from tagtriage.operators import evaluate as ev
 from tagtriage.operators import weak
@@ -318,3 +320,23 @@ def _l13(s, d):
 
 
 Q["L13_label_model"] = (_l13, None)
+
+
+def _n8(s, d):
+    """User-defined labelling functions: a Column rule and a pandas UDF
+    (the escape hatch), applied with the keyword rules."""
+    @pandas_udf("int")
+    def long_text(t: pd.Series) -> pd.Series:
+        return (t.str.len() > 5000).map({True: 1, False: -1}).astype("int32")
+
+    docs = fx.doc_messages(s, d)
+    lfs = weak.keyword_lfs() + [
+        ("question_mark", F.when(F.col("fulltext").contains("?"), 0).otherwise(-1)),
+        ("long_text", long_text(F.col("fulltext")))]
+    return weak.apply_lfs(docs, lfs)
+
+
+Q["N8_user_defined_lfs"] = (_n8, with_ctes(fx.DOC_MESSAGES_SQL, _kw_sql()) + """
+SELECT * FROM kw WHERE lf <> 'keyword_women'
+UNION ALL SELECT id, 'question_mark', 0 FROM doc_messages WHERE contains(fulltext, '?')
+UNION ALL SELECT id, 'long_text', 1 FROM doc_messages WHERE length(fulltext) > 5000""")

@@ -254,3 +254,29 @@ Q["M16_partitioned_feature"] = (
 Q["M18_random"] = (
     _q(lambda s, d: sel.select(emb(s, d, "pos"), sel.FeatureBased("sqrt"), 10, strategy="random",
                                seed=5)), None)
+
+Q["M2_partitioned_knn_facility"] = (
+    _q(lambda s, d: sel.select(emb(s, d, "raw"), sel.Facility(metric="euclidean", n_neighbors=10),
+                               10, strategy="partitioned", part_rows=200, check=False)), None)
+
+
+def _n9_phi(s, d):
+    """A user-defined concave function given as a (Column, numpy) pair."""
+    import numpy as np
+    f = sel.FeatureBased(phi=(lambda x: F.sqrt(x), np.sqrt))
+    return sel.select(emb(s, d, "pos"), f, K)
+
+
+Q["N9_user_defined_phi"] = (_q(_n9_phi), feature_greedy_sql("pos", "sqrt"))
+
+
+def _n9_strategy(s, d):
+    """A user-defined strategy callable: exact greedy on the rows whose
+    label is even, delegated back to the built-in optimiser."""
+    def even_labels(base, f, k, **kw):
+        ids = emb(s, d, "pos").filter(F.col("label") % 2 == 0).select("id")
+        return sel.select(base.join(ids, "id", "left_semi"), f, k, check=False)
+    return sel.select(emb(s, d, "pos"), sel.FeatureBased("sqrt"), K, strategy=even_labels)
+
+
+Q["N9_user_defined_strategy"] = (_q(_n9_strategy), None)

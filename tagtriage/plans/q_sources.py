@@ -171,3 +171,36 @@ Q["A15_read_votes"] = (lambda s, d: crowd.read_votes(_answers(s, d)), """
 SELECT event_id % 2000 AS item_id, CAST(user_id AS VARCHAR) AS worker_id,
   CASE WHEN event_type = 'click' THEN 1 WHEN event_type = 'error' THEN -1 ELSE 0 END AS answer,
   event_id AS pos FROM events""")
+
+
+def _a5(s, d):
+    m = fx.doc_messages(s, d).select("id", "fulltext", "lang")
+    base = ms.scratch_dir(s, "a5")
+    for lang, cat in (("en", "Apple"), ("fr", "Food"), ("de", "Game"), ("es", "IPad")):
+        m.filter(F.col("lang") == lang).drop("lang").write.json(os.path.join(base, f"{cat}-2019"))
+    return ms.read_by_prefix(s, base, "id long, fulltext string", level="folder")
+
+
+Q["A5_read_by_prefix"] = (_a5, with_ctes(fx.DOC_MESSAGES_SQL) + """
+SELECT id, fulltext, CASE lang WHEN 'en' THEN 'Apple' WHEN 'fr' THEN 'Food' WHEN 'de' THEN 'Game'
+  ELSE 'IPad' END AS category FROM doc_messages""")
+
+
+def _a11_a12(s, d):
+    from tagtriage.operators import classifiers as cf
+    from tagtriage.plans.q_ml import _tt
+    from tagtriage.sources.models import ModelRegistry, save_model
+    from pyspark.ml import PipelineModel
+    tr, te = _tt(s, d)
+    root = ms.scratch_dir(s, "registry")
+    vec, model = cf.fit_profile(tr)
+    save_model(PipelineModel(stages=list(vec.stages) + [model]), os.path.join(root, "models", "profile"))
+    dicts.save_dict(lists.black_list(tr, 5), os.path.join(root, "black_list"), version="0001")
+    reg = ModelRegistry(s, root).reload()
+    prof = reg.models["profile"]
+    scored = prof.transform(te.filter(F.col("user_description").isNotNull()))
+    from pyspark.ml.functions import vector_to_array
+    return scored.select("id", F.round(vector_to_array("_p_ud")[1], 6).alias("ud_label"))
+
+
+Q["A11_A12_model_registry"] = (_a11_a12, None)

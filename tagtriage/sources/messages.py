@@ -74,12 +74,15 @@ def read_tagged(spark: SparkSession, tags: dict[str, str], schema: T.StructType
     return df.join(F.broadcast(t), "_file").drop("_file")
 
 
-def read_by_prefix(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A5: every file of a folder; category = file name up to the first '-';
+def read_by_prefix(spark: SparkSession, path: str, schema, level: str = "file") -> DataFrame:
+    """A5: every file under ``path``; category = name up to the first '-'
+    of the file (``level='file'``) or of its parent folder (``'folder'``,
+    for files written by Spark, whose part files carry generated names);
     keeps id, fulltext and category."""
-    df = spark.read.schema(schema).json(path)
-    return df.select("id", "fulltext",
-                     F.substring_index(F.col("_metadata.file_name"), "-", 1).alias("category"))
+    df = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path)
+    name = (F.col("_metadata.file_name") if level == "file"
+            else F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1))
+    return df.select("id", "fulltext", F.substring_index(name, "-", 1).alias("category"))
 
 
 def parse_json_column(df: DataFrame, col: str, schema: str, out: str | None = None) -> DataFrame:
