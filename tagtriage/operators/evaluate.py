@@ -116,17 +116,13 @@ def score_models(df: DataFrame, cols: list[str], label: str = "label") -> DataFr
     """One report row per model column: P/R/F1/accuracy at 0.5 and AUC."""
     long = to_long(df.select(label, *cols), cols, [label])
     m = prf(long, "score", label, group=["model"])
-    sc = score_counts(long, "score", label, group=["model"])
-    # AUC per model: rank distinct scores inside each model (few models, so
-    # partitioning by model keeps the window distributed across models).
-    from pyspark.sql import Window
-    w = (Window.partitionBy("model").orderBy("score")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    auc = (sc.withColumn("cum_neg", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-             .groupBy("model")
-             .agg(F.try_divide(F.sum(F.col("pos") * (F.col("cum_neg") + 0.5 * F.col("neg"))),
-                               F.sum("pos") * F.sum("neg")).alias("auc")))
-    return m.join(auc, "model")
+    # AUC per model with ranged running totals (no window holding a whole
+    # model's scores in one task); the model list is the caller's columns.
+    aucs = None
+    for c in cols:
+        a = roc_auc(df.select(label, c), c, label).select(F.lit(c).alias("model"), "auc")
+        aucs = a if aucs is None else aucs.unionByName(a)
+    return m.join(aucs, "model")
 
 
 def error_corr(df: DataFrame, cols: list[str], label: str = "label") -> DataFrame:

@@ -148,8 +148,8 @@ def label_model(L: DataFrame, items: DataFrame, iters: int = 100, id_col: str =
     """Binary Dawid-Skene EM over the long label matrix.
 
     E step: per item, log P(y=c) + sum of log P(vote | y=c) over its votes
-    (one aggregation of L joined to the broadcast parameter table, whose
-    size is functions x 2 x 2). M step: per (function, vote) sums of the
+    (one aggregation of L joined to the parameter table, whose size is
+    functions x 2 x 2). M step: per (function, vote) sums of the
     item posteriors (one aggregation). Starts from majority votes. The
     posterior table feeds the next round twice, so it is checkpointed into
     the shared checkpoint folder every round (``checkpoint_every``); that
@@ -173,7 +173,8 @@ def label_model(L: DataFrame, items: DataFrame, iters: int = 100, id_col: str =
                                F.log((F.col("s1") + smoothing) / (F.col("t1") + 2 * smoothing)).alias("l1"),
                                F.log((F.col("s0") + smoothing) / (F.col("t0") + 2 * smoothing)).alias("l0")))
         # E step.
-        ll = (L.join(F.broadcast(params), ["lf", "vote"])
+        # params has (functions x votes) rows; AQE broadcasts it when small
+        ll = (L.join(params, ["lf", "vote"])
                .groupBy("item_id").agg(F.sum("l1").alias("a1"), F.sum("l0").alias("a0")))
         q = (its.join(ll, "item_id", "left").crossJoin(F.broadcast(prior))
                 .select("item_id",
