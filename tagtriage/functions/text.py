@@ -137,7 +137,9 @@ def simple_tokens(c, min_len: int = 1, max_len: int = 20) -> Column:
 def clean_sentence(c) -> Column:
     """Drop e-mail-like tokens, collapse whitespace, drop single quotes,
     then D12 with lengths 2..15."""
-    s = F.regexp_replace(_c(c), r"\S*@\S*\s?", "")
+    col = _c(c)
+    # the e-mail pattern backtracks on every word; texts without '@' skip it
+    s = F.when(F.instr(col, "@") > 0, F.regexp_replace(col, r"\S*@\S*\s?", "")).otherwise(col)
     s = F.regexp_replace(s, r"\s+", " ")
     s = F.regexp_replace(s, "'", "")
     return simple_tokens(s, 2, 15)

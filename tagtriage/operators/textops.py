@@ -38,9 +38,8 @@ def apply_vocab(df: DataFrame, col: str, vocab: DataFrame, id_col: str = "id",
 def adjacent_pairs(tokens: str) -> F.Column:
     t = F.col(tokens)
     n = F.size(t)
-    return F.when(n >= 2, F.zip_with(F.slice(t, 1, n - 1), F.slice(t, 2, n - 1),
-                                     lambda a, b: F.struct(a.alias("a"), b.alias("b")))) \
-            .otherwise(F.array().cast("array<struct<a:string,b:string>>"))
+    pairs = F.arrays_zip(F.slice(t, 1, n - 1).alias("a"), F.slice(t, 2, n - 1).alias("b"))
+    return F.when(n >= 2, pairs).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
 
 
 def phrases(df: DataFrame, tokens: str, min_count: int = 5,
