@@ -82,9 +82,12 @@ def keyword_lfs(names: list[str] | None = None) -> list[tuple[str, Column]]:
     return out
 
 
-def _keyword_vote(text: Column, kws: list[str], vote: int) -> Column:
-    low = F.lower(text)
-    hit = F.exists(F.array(*[F.lit(k) for k in kws]), lambda k: F.contains(low, k))
+def _keyword_vote(low: Column, kws: list[str], vote: int) -> Column:
+    """``low`` is the lower-cased text; plain ORs of ``contains`` stay in
+    generated code (no lambda)."""
+    hit = F.lit(False)
+    for k in kws:
+        hit = hit | F.contains(low, F.lit(k))
     return F.when(hit, F.lit(vote)).otherwise(F.lit(ABSTAIN))
 
 
@@ -94,9 +97,11 @@ def apply_lfs(df: DataFrame, lfs: list, id_col: str = "id", text: str = "fulltex
     (name, Column) for user-defined functions (N8)."""
     structs = []
     for name, spec in lfs:
-        col = _keyword_vote(F.col(text), *spec) if isinstance(spec, tuple) else spec
+        col = _keyword_vote(F.col("_low"), *spec) if isinstance(spec, tuple) else spec
         structs.append(F.struct(F.lit(name).alias("lf"), col.cast("int").alias("vote")))
-    return (df.select(F.col(id_col).alias("item_id"), F.inline(F.array(*structs)))
+    # the text is lower-cased once for every keyword function
+    return (df.withColumn("_low", F.lower(F.col(text)))
+              .select(F.col(id_col).alias("item_id"), F.inline(F.array(*structs)))
               .filter(F.col("vote") != ABSTAIN))
 
 
@@ -119,6 +124,7 @@ def lf_summary(L: DataFrame, n_items: int | None = None, items: DataFrame | None
     Fractions are over all items (``n_items`` or ``items.count()``), as in
     the dense matrix. Per-item vote counts are a partial aggregate joined
     back on the item."""
+    L = L.persist()   # read twice below (per-item counts and the join back)
     if n_items is None:
         n_items = items.count() if items is not None else L.select("item_id").distinct().count()
     per_item = L.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n"),
