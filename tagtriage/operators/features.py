@@ -46,8 +46,12 @@ def term_counts(df: DataFrame, text: str, doc: str = "id", tokens=None,
 
 
 def l2_normalise(tv: DataFrame, doc: str = "id", value: str = "value") -> DataFrame:
-    norm = tv.groupBy(doc).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_norm"))
-    return (tv.join(norm, doc)
+    """Divide by the document's L2 norm. A window over the document (its
+    distinct terms, bounded by the vocabulary) replaces an aggregate joined
+    back, saving one shuffle."""
+    from pyspark.sql import Window
+    norm = F.sqrt(F.sum(F.col(value) * F.col(value)).over(Window.partitionBy(doc)))
+    return (tv.withColumn("_norm", norm)
               .withColumn(value, F.when(F.col("_norm") > 0, F.col(value) / F.col("_norm"))
                           .otherwise(F.lit(0.0)))
               .drop("_norm"))
