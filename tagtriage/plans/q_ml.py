@@ -73,11 +73,13 @@ Q["E8_E9_profile_classifier"] = (_e8, None)
 
 
 def _e10(s, d):
-    m = labelled(s, d)
+    """5-fold accuracy of the profile (user description) classifier,
+    trained on rows with a description."""
+    m = labelled(s, d).filter(F.col("user_description").isNotNull())
 
     def fit_score(train, test):
-        vec, model = cf.fit_text(train)
-        return cf.score_text(test, vec, model, out="pred")
+        vec, model = cf.fit_profile(train)
+        return cf.score_profile(test, vec, model, prob=False, out="pred")
 
     return rounded(cf.cv_accuracy(m, fit_score, k=5))
 
