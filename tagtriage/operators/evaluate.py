@@ -76,12 +76,22 @@ def roc_auc(df: DataFrame, score: str, label: str = "label") -> DataFrame:
                      F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
-def roc_points(df: DataFrame, score: str, label: str = "label") -> DataFrame:
-    """(threshold, fpr, tpr) at every distinct score, high to low, plus
-    the (0, 0) start with a null threshold."""
-    sc = score_counts(df, score, label)
+def roc_points(df: DataFrame, score: str, label: str = "label",
+               drop_intermediate: bool = True) -> DataFrame:
+    """(threshold, fpr, tpr) at the distinct scores, high to low, plus
+    the (0, 0) start with a null threshold. With ``drop_intermediate`` a
+    point is kept only when the curve bends there (its class counts differ
+    from the next threshold's), the first and last always. The next
+    threshold's counts come from an equi-join on the ranged row number."""
+    sc = score_counts(df, score, label).withColumn("_one", F.lit(1))
     tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    r = running_totals(sc, ["score"], ["pos", "neg"], descending=True)
+    r = running_totals(sc, ["score"], ["pos", "neg", "_one"], descending=True)
+    if drop_intermediate:
+        nxt = r.select((F.col("cum__one") - 1).alias("cum__one"), F.col("pos").alias("_npos"),
+                       F.col("neg").alias("_nneg"))
+        r = (r.join(nxt, "cum__one", "left")
+              .filter((F.col("cum__one") == 1) | F.col("_npos").isNull()
+                      | (F.col("_npos") != F.col("pos")) | (F.col("_nneg") != F.col("neg"))))
     pts = (r.crossJoin(F.broadcast(tot))
             .select(F.col("score").cast("double").alias("threshold"),
                     _ratio(F.col("cum_neg"), F.col("N")).alias("fpr"),

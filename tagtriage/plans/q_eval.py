@@ -80,6 +80,15 @@ c AS (SELECT *, SUM(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS
 
 Q["J3_roc_points"] = (
     lambda s, d: rounded(ev.roc_points(scores(s, d), "rf_label")),
+    S + CURVE_SQL + """, k AS (SELECT *, row_number() OVER (ORDER BY score DESC) AS rn,
+  lead(pos) OVER (ORDER BY score DESC) AS npos, lead(neg) OVER (ORDER BY score DESC) AS nneg FROM c)
+SELECT ROUND(score, 6) AS threshold, ROUND(CASE WHEN N = 0 THEN 0 ELSE cn / N END, 6) AS fpr,
+  ROUND(CASE WHEN P = 0 THEN 0 ELSE cp / P END, 6) AS tpr FROM k
+WHERE rn = 1 OR npos IS NULL OR npos <> pos OR nneg <> neg
+UNION ALL SELECT NULL, 0.0, 0.0""")
+
+Q["J3_roc_points_all"] = (
+    lambda s, d: rounded(ev.roc_points(scores(s, d), "rf_label", drop_intermediate=False)),
     S + CURVE_SQL + """
 SELECT ROUND(score, 6) AS threshold, ROUND(CASE WHEN N = 0 THEN 0 ELSE cn / N END, 6) AS fpr,
   ROUND(CASE WHEN P = 0 THEN 0 ELSE cp / P END, 6) AS tpr FROM c
