@@ -271,12 +271,12 @@ Q["N9_user_defined_phi"] = (_q(_n9_phi), feature_greedy_sql("pos", "sqrt"))
 
 
 def _n9_strategy(s, d):
-    """A user-defined strategy callable: exact greedy on the rows whose
-    label is even, delegated back to the built-in optimiser."""
-    def even_labels(base, f, k, **kw):
-        ids = emb(s, d, "pos").filter(F.col("label") % 2 == 0).select("id")
-        return sel.select(base.join(ids, "id", "left_semi"), f, k, check=False)
-    return sel.select(emb(s, d, "pos"), sel.FeatureBased("sqrt"), K, strategy=even_labels)
+    """A user-defined strategy callable: skip rows whose features are
+    all zero (they can add nothing), then run the built-in exact greedy."""
+    def non_empty_rows(base, f, k, **kw):
+        useful = base.filter(F.exists("features", lambda x: x != 0))
+        return sel.select(useful, f, k, check=False)
+    return sel.select(emb(s, d, "pos"), sel.FeatureBased("sqrt"), K, strategy=non_empty_rows)
 
 
-Q["N9_user_defined_strategy"] = (_q(_n9_strategy), None)
+Q["N9_user_defined_strategy"] = (_q(_n9_strategy), feature_greedy_sql("pos", "sqrt"))
