@@ -78,3 +78,46 @@ def corpus_tokens(df: DataFrame, text: str, vocab: DataFrame, word: str = "word"
                     .join(v, "_lw", "left_semi").drop("_lw"))
     kept = in_vocab.unionByName(toks.filter(~alpha))
     return kept.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def apply_phrases(df: DataFrame, tokens: str, phrases_df: DataFrame, id_col: str = "id",
+                  delimiter: str = "_", out: str | None = None) -> DataFrame:
+    """Merge detected bigrams into single tokens, left to right without
+    overlap (``a b c`` with phrases ab and bc gives ``a_b c``).
+
+    Phrase starts are found by a semi join of the row's adjacent pairs with
+    the phrase table; inside a run of consecutive starts every other one is
+    applied (the greedy rule), using windows over one row's positions; the
+    tokens are rebuilt per row in position order.
+    """
+    from pyspark.sql import Window
+    out = out or tokens
+    pairs = (df.select(id_col, F.posexplode(adjacent_pairs(tokens)).alias("i", "p"))
+               .select(id_col, "i", F.col("p.a").alias("a"), F.col("p.b").alias("b")))
+    hits = pairs.join(phrases_df.select("a", "b"), ["a", "b"], "left_semi")
+    w = Window.partitionBy(id_col).orderBy("i")
+    runs = hits.withColumn("_g", F.col("i") - F.row_number().over(w))
+    w2 = Window.partitionBy(id_col, "_g").orderBy("i")
+    applied = (runs.withColumn("_o", F.row_number().over(w2) - 1)
+                   .filter(F.col("_o") % 2 == 0)
+                   .select(id_col, F.col("i").alias("pos"),
+                           F.concat_ws(delimiter, "a", "b").alias("_m")))
+    follows = applied.select(id_col, (F.col("pos") + 1).alias("pos"))
+    toks = df.select(id_col, F.posexplode(tokens).alias("pos", "w"))
+    merged = (toks.join(applied, [id_col, "pos"], "left")
+                  .join(follows, [id_col, "pos"], "left_anti")
+                  .select(id_col, "pos", F.coalesce("_m", "w").alias("w")))
+    rebuilt = merged.groupBy(id_col).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda s: s["w"]).alias("_t"))
+    return (df.drop(out) if out in df.columns and out != tokens else df).join(
+        rebuilt, id_col, "left").withColumn(out, F.coalesce("_t", F.array().cast("array<string>"))) \
+        .drop("_t")
+
+
+def trigram_phrases(df: DataFrame, tokens: str, min_count: int = 5, threshold: float = 100.0,
+                    id_col: str = "id") -> DataFrame:
+    """D14 second pass: bigram phrases, merged into the texts, then the same
+    detection again on the merged tokens (pairs such as ``a_b c``)."""
+    bi = phrases(df, tokens, min_count, threshold)
+    merged = apply_phrases(df.select(id_col, tokens), tokens, bi, id_col)
+    return phrases(merged, tokens, min_count, threshold)

@@ -100,3 +100,36 @@ vocab AS (SELECT DISTINCT lower(w) AS lw FROM (SELECT unnest({st.word_tokens('te
 SELECT token, COUNT(*) AS n FROM toks
 WHERE NOT regexp_matches(token, '^\\p{{L}}+$') OR lower(token) IN (SELECT lw FROM vocab)
 GROUP BY token""")
+
+
+def _d14_tri(s, d):
+    m = fx.doc_messages(s, d).select("id", tx.clean_sentence("fulltext").alias("toks"))
+    return rounded(textops.trigram_phrases(m, "toks", 5, 100.0))
+
+
+def _phrase_sql(src: str, prefix: str) -> str:
+    return f"""{prefix}uni AS (SELECT w, COUNT(*) AS n FROM (SELECT unnest(toks) AS w FROM {src}) GROUP BY w),
+{prefix}pairs AS (SELECT id, i, toks[i] AS a, toks[i + 1] AS b FROM (
+  SELECT id, toks, unnest(range(1, len(toks))) AS i FROM {src} WHERE len(toks) >= 2)),
+{prefix}bi AS (SELECT a, b, COUNT(*) AS n_ab FROM {prefix}pairs GROUP BY a, b),
+{prefix}v AS (SELECT (SELECT COUNT(*) FROM {prefix}uni) + (SELECT COUNT(*) FROM {prefix}bi) AS V),
+{prefix}ph AS (SELECT bi.a, bi.b, bi.n_ab, (bi.n_ab - 5) * v.V / (ua.n * ub.n) AS score
+  FROM {prefix}bi bi JOIN {prefix}uni ua ON bi.a = ua.w JOIN {prefix}uni ub ON bi.b = ub.w, {prefix}v v
+  WHERE (bi.n_ab - 5) * v.V / (ua.n * ub.n) > 100.0)"""
+
+
+Q["D14_trigram_phrases"] = (_d14_tri, DM + f"""
+, toks AS (SELECT id, {st.clean_sentence('fulltext')} AS toks FROM doc_messages),
+""" + _phrase_sql("toks", "p1_") + """,
+hits AS (SELECT p.id, p.i, p.a, p.b FROM p1_pairs p JOIN p1_ph ph ON p.a = ph.a AND p.b = ph.b),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY id ORDER BY i) AS g FROM hits),
+applied AS (SELECT id, i, a, b FROM (
+  SELECT *, row_number() OVER (PARTITION BY id, g ORDER BY i) - 1 AS o FROM runs) WHERE o % 2 = 0),
+tk AS (SELECT id, unnest(range(1, len(toks) + 1)) AS pos, unnest(toks) AS w FROM toks),
+merged AS (SELECT tk.id, tk.pos, coalesce(ap.a || '_' || ap.b, tk.w) AS w FROM tk
+  LEFT JOIN applied ap ON tk.id = ap.id AND tk.pos = ap.i
+  WHERE NOT EXISTS (SELECT 1 FROM applied a2 WHERE a2.id = tk.id AND a2.i + 1 = tk.pos)),
+mt AS (SELECT t.id, coalesce(m.toks, []) AS toks FROM toks t LEFT JOIN (
+  SELECT id, list(w ORDER BY pos) AS toks FROM merged GROUP BY id) m ON t.id = m.id),
+""" + _phrase_sql("mt", "p2_") + """
+SELECT a, b, n_ab, ROUND(score, 6) AS score FROM p2_ph""")

@@ -55,3 +55,11 @@ def test_hashtag_count_null_is_zero(spark):
 def test_year_month_not_padded(spark):
     df = spark.createDataFrame([("Tue Mar 05 10:00:00 +0000 2019",)], "c string")
     assert df.select(cl.year_month(cl.parse_ts("c")).alias("m")).first()["m"] == "2019-3"
+
+
+def test_phrase_merge_is_greedy_left_to_right(spark):
+    from tagtriage.operators.textops import apply_phrases
+    df = spark.createDataFrame([(1, ["a", "b", "c", "d", "x"]), (2, [])], "id long, toks array<string>")
+    ph = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "a string, b string")
+    got = {r["id"]: r["toks"] for r in apply_phrases(df, "toks", ph).collect()}
+    assert got == {1: ["a_b", "c_d", "x"], 2: []}
