@@ -280,3 +280,41 @@ def _n9_strategy(s, d):
 
 
 Q["N9_user_defined_strategy"] = (_q(_n9_strategy), feature_greedy_sql("pos", "sqrt"))
+
+
+def pairwise_greedy_sql(kind="facility", alpha=0.1, k=K):
+    """Unrolled greedy rounds for facility location / saturated coverage
+    over the full pairwise table (the oracle may build every pair)."""
+    ctes = [U_SQL.replace("EMB", "embedding"),
+            "cap AS (SELECT i AS j, " + str(alpha) + " * SUM(s) AS cap FROM S GROUP BY i)",
+            "cur0 AS (SELECT j, 0.0 AS c FROM cap)"]
+    picks = []
+    for r in range(1, k + 1):
+        prev = f"cur{r - 1}"
+        excl = " AND ".join(f"S.i NOT IN (SELECT id FROM p{x})" for x in range(1, r)) or "TRUE"
+        if kind == "facility":
+            g = f"SUM(greatest(S.s, {prev}.c)) - (SELECT SUM(c) FROM {prev})"
+            upd = f"greatest({prev}.c, S.s)"
+            join_cap = ""
+        else:
+            g = f"SUM(least({prev}.c + S.s, cap.cap)) - (SELECT SUM(c) FROM {prev})"
+            upd = f"least({prev}.c + S.s, cap.cap)"
+            join_cap = f" JOIN cap ON cap.j = S.j"
+        ctes.append(f"g{r} AS (SELECT S.i AS id, {g} AS gain FROM S JOIN {prev} ON S.j = {prev}.j"
+                    f"{join_cap} WHERE {excl} GROUP BY S.i)")
+        ctes.append(f"p{r} AS (SELECT id, gain FROM g{r} ORDER BY gain DESC, id LIMIT 1)")
+        ctes.append(f"cur{r} AS (SELECT {prev}.j, {upd} AS c FROM {prev} JOIN S ON S.j = {prev}.j"
+                    f"{join_cap if kind != 'facility' else ''} WHERE S.i = (SELECT id FROM p{r}))")
+        picks.append(f"SELECT id, CAST({r} AS INTEGER) AS rank, ROUND(gain, 6) AS gain FROM p{r}")
+    return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL ".join(picks)
+
+
+Q["M3_facility_location"] = (
+    _q(lambda s, d: sel.select(emb(s, d, "raw"), sel.Facility(metric="cosine"), K,
+                               strategy="partitioned", check=False)),
+    pairwise_greedy_sql("facility"))
+
+Q["M4_saturated_coverage"] = (
+    _q(lambda s, d: sel.select(emb(s, d, "raw"), sel.Saturated(alpha=0.1), K,
+                               strategy="partitioned", check=False)),
+    pairwise_greedy_sql("saturated", 0.1))
