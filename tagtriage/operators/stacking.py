@@ -78,15 +78,10 @@ def base_scores(df: DataFrame, det: Detectors) -> DataFrame:
              .drop("features", "p_rf", "y_rf", "r_rf"))
     out = cf.score_profile(out, *det.profile)
     out = out.withColumn("_train_text", tx.normalise("fulltext", "train"))
-    out = cf.score_text(out, det.text[0].copy() if False else _rebind_text(det.text[0]),
-                        det.text[1], prob=False)
+    out = cf.score_text(out, det.text[0], det.text[1], prob=False)
     return out.drop("_train_text")
 
 
-def _rebind_text(vec):
-    return vec
-
-
 def vote_stacking(df: DataFrame, meta, out: str = "result") -> DataFrame:
     """H7: meta-model probability on (rf, ud, txt), then the override."""
     s = meta.transform(df)

@@ -5,14 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tagtriage.functions import text as tx
 from tagtriage.operators import baselines as bs
 from tagtriage.operators import classifiers as cf
 from tagtriage.operators import ensemble as en
 from tagtriage.operators import features as fe
 from tagtriage.plans import fixtures as fx
 from tagtriage.plans import sqltext as st
-from tagtriage.plans.q_eval import S, SCORES_SQL, scores
+from tagtriage.plans.q_eval import S, scores
 from tagtriage.plans.util import rounded, with_ctes
 from tagtriage.sources.tables import table
 
