@@ -210,16 +210,19 @@ def null_profile_rule(df: DataFrame, col: str, p: str, out: str = "ud_label") ->
 
 
 def cv_accuracy(df: DataFrame, fit_score, k: int = 5, seed: int = 0, label: str = "label",
-                key: str = "id") -> DataFrame:
+                key: str = "id", parallelism: int = 4) -> DataFrame:
     """K-fold cross-validated accuracy -> (mean, 2 * std) over folds.
     ``fit_score(train, test) -> test with column 'pred'``."""
     from tagtriage.operators.sampling import kfold
+    from tagtriage.session import cut_lineage, parallel_map
     f = kfold(df, k, mode="shuffled", seed=seed, key=key).persist()
-    parts = []
-    for i in range(1, k + 1):
+
+    def one_fold(i):
         pred = fit_score(f.filter(F.col("fold") != i), f.filter(F.col("fold") == i))
-        parts.append(pred.select(F.lit(i).alias("fold"),
-                                 (F.col("pred") == F.col(label)).cast("double").alias("hit")))
+        return cut_lineage(pred.select(F.lit(i).alias("fold"),
+                                       (F.col("pred") == F.col(label)).cast("double").alias("hit")))
+
+    parts = parallel_map(one_fold, range(1, k + 1), parallelism)
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)

@@ -11,22 +11,31 @@ from tagtriage.operators.evaluate import prf
 
 
 def learning_curve(train: DataFrame, test: DataFrame, picks: dict, sizes: list[int],
-                   fit_score, label: str = "label", key: str = "id") -> DataFrame:
+                   fit_score, label: str = "label", key: str = "id",
+                   parallelism: int = 4) -> DataFrame:
     """``picks``: method -> DataFrame (id, rank) or list of such frames (one
     per seed); ``fit_score(train, test) -> test with 'score'``.
     -> (method, size, f1_mean, f1_min, f1_max), plus method 'full'."""
+    from tagtriage.session import parallel_map
     spark = train.sparkSession
-    rows = []
+    jobs = []
     for method, p in picks.items():
         runs = p if isinstance(p, list) else [p]
         for n in sizes:
-            f1s = []
             for r in runs:
-                sub = train.join(r.filter(F.col("rank") <= n).select(F.col("id").alias(key)),
-                                 key, "left_semi")
-                scored = fit_score(sub, test)
-                f1s.append(prf(scored, "score", label).first()["f1"])
-            rows.append((method, n, sum(f1s) / len(f1s), min(f1s), max(f1s)))
+                jobs.append((method, n, r))
+
+    def f1_of(job):
+        method, n, r = job
+        sub = train.join(r.filter(F.col("rank") <= n).select(F.col("id").alias(key)),
+                         key, "left_semi")
+        return prf(fit_score(sub, test), "score", label).first()["f1"]
+
+    scores = parallel_map(f1_of, jobs, parallelism)
+    by: dict = {}
+    for (method, n, _), f1 in zip(jobs, scores):
+        by.setdefault((method, n), []).append(f1)
+    rows = [(m, n, sum(v) / len(v), min(v), max(v)) for (m, n), v in by.items()]
     full = prf(fit_score(train, test), "score", label).first()["f1"]
     n_all = train.count()
     rows.append(("full", n_all, full, full, full))

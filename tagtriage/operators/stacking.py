@@ -20,7 +20,7 @@ from tagtriage.operators.ensemble import confident, override, vote_average, vote
 from tagtriage.operators.evaluate import prf
 from tagtriage.operators.features import social_features
 from tagtriage.operators.sampling import balance, kfold, split
-from tagtriage.session import cut_lineage
+from tagtriage.session import cut_lineage, parallel_map
 
 BASE = ("rf_label", "ud_label", "txt_label")
 
@@ -45,6 +45,7 @@ class Settings:
     rf_trees: int = 100
     meta_rounds: int = 1000
     folds: int = 4
+    parallelism: int = 4
 
 
 def prepare(df: DataFrame) -> DataFrame:
@@ -93,13 +94,19 @@ def fit_stacking(train: DataFrame, s: Settings = Settings(), key: str = "id") ->
     """H8: out-of-fold base scores from k contiguous folds, meta model on
     them, base models refitted on every row."""
     f = kfold(train, s.folds, key=key).persist()
-    oof = None
-    for i in range(1, s.folds + 1):
+
+    def fold(i):
+        if i == 0:      # the final refit on every row runs alongside the folds
+            return fit_detectors(train, s)
         det = fit_detectors(f.filter(F.col("fold") != i), s)
-        sc = base_scores(f.filter(F.col("fold") == i), det).select(key, "label", *BASE)
-        oof = sc if oof is None else oof.unionByName(sc)
-    oof = cut_lineage(oof)
-    final = fit_detectors(train, s)
+        return cut_lineage(base_scores(f.filter(F.col("fold") == i), det)
+                           .select(key, "label", *BASE))
+
+    res = parallel_map(fold, range(0, s.folds + 1), s.parallelism)
+    final, parts = res[0], res[1:]
+    oof = parts[0]
+    for p in parts[1:]:
+        oof = oof.unionByName(p)
     final.meta = cf.fit_meta(oof, rounds=s.meta_rounds)
     return final
 
@@ -109,9 +116,8 @@ def fit_blending(train: DataFrame, s: Settings = Settings(), seed: int = 0,
     """Base models on one half, meta model on the other, then refit
     the base models on every row."""
     a, b = split(train, 0.5, seed, key)
-    det = fit_detectors(a, s)
+    det, final = parallel_map(lambda t: fit_detectors(t, s), [a, train], s.parallelism)
     held = cut_lineage(base_scores(b, det).select(key, "label", *BASE))
-    final = fit_detectors(train, s)
     final.meta = cf.fit_meta(held, rounds=s.meta_rounds)
     return final
 
@@ -180,13 +186,15 @@ def repeat_eval(train: DataFrame, test: DataFrame, repeats: int = 100,
                 s: Settings = Settings(), key: str = "id") -> DataFrame:
     """Refit ``repeats`` times (seeded models) and average the test
     scores per row -> (id, label, mean_score, mean_avg_vote)."""
-    acc = None
-    for r in range(repeats):
-        st = Settings(**{**s.__dict__})
-        det = fit_detectors(train, st)
+    def one_run(r):
+        det = fit_detectors(train, s)
         sc = base_scores(test, det)
-        one = vote_average(sc, out="avg").select(key, "label", F.col("txt_label").alias("txt"),
-                                                 "avg")
-        acc = one if acc is None else acc.unionByName(one)
+        return cut_lineage(vote_average(sc, out="avg")
+                           .select(key, "label", F.col("txt_label").alias("txt"), "avg"))
+
+    runs = parallel_map(one_run, range(repeats), s.parallelism)
+    acc = runs[0]
+    for one in runs[1:]:
+        acc = acc.unionByName(one)
     return acc.groupBy(key, "label").agg(F.avg("txt").alias("mean_txt"),
                                          F.avg("avg").alias("mean_avg_vote"))

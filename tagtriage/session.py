@@ -72,3 +72,15 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def parallel_map(fn, items, workers: int = 4) -> list:
+    """Run independent Spark jobs (e.g. one model fit per fold) from a small
+    driver thread pool, as spark.ml's CrossValidator does with
+    ``parallelism``; results keep the input order."""
+    items = list(items)
+    if workers <= 1 or len(items) <= 1:
+        return [fn(x) for x in items]
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=min(workers, len(items))) as pool:
+        return list(pool.map(fn, items))
