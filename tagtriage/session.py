@@ -51,12 +51,16 @@ def get_session(master: str | None = None, app: str = "tagtriage",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts, read from ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the deployment to a shared file system.
-    Only when it is unset (local tests) do we create a private folder.
+    On a cluster the deployment sets it to a shared file system; when it is
+    unset there, this raises. Only a local session, whose tasks share the
+    driver's disk, gets a private folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="tagtriage-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
