@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tagtriage.llm.common import arrow_rows, row_spans, utf8_buffer
+from tagtriage.llm.common import arrow_rows, powers, row_spans, utf8_buffer
 
 # ---- character classes
 LETTER, STMD, RV, ELL, E, NUM, OTHER, APOS, SPACE, WHITE = range(10)
@@ -367,21 +367,6 @@ class Vocabulary:
         return ragged(self.dec_flat, self.dec_starts[ids], self.dec_lens[ids])
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[bool, np.ndarray] = {}
-
-
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """_BASE ** i modulo 2 ** 64 (or of its inverse), kept for the next call."""
-    have = _POWERS.get(inverse)
-    if have is None or len(have) < n:
-        base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
-        have = np.ones(max(n, 1 << 16), np.uint64)
-        have[1:] = np.uint64(base)
-        _POWERS[inverse] = have = np.multiply.accumulate(have)
-    return have[:n]
-
-
 @functools.cache
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)

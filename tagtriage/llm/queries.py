@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tagtriage.llm import bpe
+from pyspark.sql import functions as F
+
+from tagtriage.llm import bpe, fingerprint, line_dedup, mixing, quality, shard, token_counts
 from tagtriage.sources.tables import table
 
 Q: dict = {}
@@ -19,3 +21,76 @@ Q["op2_byte_bpe"] = (
     lambda s, d: bpe.encode_decode_digests(_docs(s, d, "doc_id", "text"),
                                            public_tokenizers.path("byte_bpe_50k.tiktoken")),
     None)
+
+# ---- 3 sharding: the shards are written, and the digests come from the written rows
+SHARDS = 40
+
+
+def _op3(s, d):
+    docs = table(s, d, "documents")
+    path = shard.write_shards(docs, SHARDS)
+    text = F.coalesce("text", F.lit(""))
+    return shard.read_shards(s, path, docs.schema).select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+Q["op3_shards"] = (_op3, None)
+
+# ---- 5 line dedup
+Q["op5_line_dedup"] = (
+    lambda s, d: line_dedup.drop_repeated_lines(_docs(s, d, "doc_id", "text")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")),
+    r"""WITH lines AS (
+  SELECT doc_id, i AS pos, line, translate(trim(line, e' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+repeated AS (
+  SELECT key, max(doc_id) AS last FROM lines WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (
+  SELECT l.*, r.last IS NOT NULL AND l.doc_id < r.last AS dropped FROM lines l LEFT JOIN repeated r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""")
+
+# ---- 7 mixing: sources weighted by size ** 0.7
+Q["op7_mix_sources"] = (
+    lambda s, d: mixing.mix(_docs(s, d, "doc_id", "source", "text")).select(
+        "doc_id", "source", "copy", "place", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")),
+    f"""WITH sized AS (SELECT source, sum(strlen(coalesce(text, '')))::DOUBLE AS b FROM documents GROUP BY source),
+rates AS (
+  SELECT source, CASE WHEN b > 0 THEN round(pow(b, {mixing.ALPHA}) / (SELECT sum(pow(b, {mixing.ALPHA})) FROM sized)
+    * (SELECT sum(b) FROM sized) / b, 9) ELSE 0 END AS rate FROM sized),
+steps AS (
+  SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
+  FROM (SELECT source, rate, unnest(range(0, (rate + 12 * sqrt(rate) + 25)::INT)) AS k FROM rates WHERE rate > 0)),
+drawn AS (
+  SELECT doc_id, source, text,
+    ('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
+counted AS (
+  SELECT d.doc_id, d.source, d.text, count(*) FILTER (s.c <= d.u) AS n
+  FROM drawn d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source GROUP BY d.doc_id, d.source, d.text)
+SELECT doc_id, source, copy::INT AS copy, md5('order {mixing.SEED}:' || doc_id || ':' || copy) AS place,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM (SELECT doc_id, source, text, unnest(range(1, n + 1)) AS copy FROM counted WHERE n > 0)""")
+
+# ---- 8 token counts
+Q["op8_token_counts"] = (
+    lambda s, d: token_counts.token_counts(_docs(s, d, "doc_id", "text"),
+                                           public_tokenizers.path("byte_bpe_50k.tiktoken")),
+    None)
+
+
+# ---- 9 quality: three grades (toxic, poor, good); good is wanted
+def _op9(s, d):
+    docs = _docs(s, d, "doc_id", "text")
+    marks = table(s, d, "labels").select("doc_id", quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    return quality.classify(docs, quality.train(docs, marks)).drop("text")
+
+
+Q["op9_quality"] = (_op9, None)
+
+# ---- 10 fingerprints
+Q["op10_fingerprints"] = (lambda s, d: fingerprint.fingerprints(_docs(s, d, "doc_id", "text")), None)
