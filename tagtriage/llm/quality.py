@@ -26,7 +26,7 @@ DIMS = 1 << 22
 SAMPLE = 12_000
 # A feature gets a weight if it is in so many sampled documents and their mean grade is so many
 # standard errors off: else the noise of hundreds of indifferent words outweighs a telling one.
-MIN_DOCS, MIN_Z = 8, 5.0
+MIN_DOCS, MIN_Z = 4, 4.5
 
 WORD = re.compile(r"\w+")
 DOUBLED = re.compile(r"([^\w\s])\1")

@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from tagtriage.llm import bpe, fingerprint, line_dedup, mixing, quality, shard, token_counts
+from tagtriage.llm import bpe, fingerprint, line_dedup, mixing, quality, shard, token_counts, topk
 from tagtriage.sources.tables import table
 
 Q: dict = {}
@@ -16,6 +16,21 @@ def _docs(spark, d, *cols):
     return table(spark, d, "documents").select(*cols)
 
 
+# ---- 1 exact top-k: every 20th vector against all others
+Q["op1_top_k"] = (
+    lambda s, d: topk.top_k(table(s, d, "embeddings").select("vec_id", topk.quantised(F.col("embedding")).alias("v")),
+                            F.col("vec_id") % 20 == 0, 20),
+    """WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+  FROM scored)
+SELECT * FROM ranked WHERE rank <= 20""")
+
 # ---- 2 byte-level BPE
 Q["op2_byte_bpe"] = (
     lambda s, d: bpe.encode_decode_digests(_docs(s, d, "doc_id", "text"),
