@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from tagtriage.llm import bpe, fingerprint, line_dedup, mixing, quality, shard, token_counts, topk
+from tagtriage.llm import bpe, fingerprint, line_dedup, mixing, probminhash, quality, shard, token_counts, topk
 from tagtriage.sources.tables import table
 
 Q: dict = {}
@@ -70,6 +70,11 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""")
 
+# ---- 6 near duplicates: a row a document with its class
+Q["op6_near_duplicates"] = (
+    lambda s, d: probminhash.near_duplicates(_docs(s, d, "doc_id", "text")).select("doc_id", "class_id", "keep"),
+    None)
+
 # ---- 7 mixing: sources weighted by size ** 0.7
 Q["op7_mix_sources"] = (
     lambda s, d: mixing.mix(_docs(s, d, "doc_id", "source", "text")).select(
