@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from tagtriage.llm import bpe, fingerprint, line_dedup, mixing, probminhash, quality, shard, token_counts, topk
+from tagtriage.llm import bpe, fingerprint, line_dedup, mixing, probminhash, quality, shard, suffix_dedup, token_counts, topk
 from tagtriage.sources.tables import table
 
 Q: dict = {}
@@ -52,6 +52,12 @@ def _op3(s, d):
 
 Q["op3_shards"] = (_op3, None)
 
+# ---- 4 repeated strings of 400 bytes
+Q["op4_suffix_dedup"] = (
+    lambda s, d: suffix_dedup.remove_repeats(_docs(s, d, "doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")),
+    None)
+
 # ---- 5 line dedup
 Q["op5_line_dedup"] = (
     lambda s, d: line_dedup.drop_repeated_lines(_docs(s, d, "doc_id", "text")).select(
