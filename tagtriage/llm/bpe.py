@@ -420,20 +420,20 @@ def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", keep: tuple
     """Per document: the ``keep`` columns, ``n_bytes``, ``n_tokens``, ``ids``
     (array<int>). Null texts are empty; empty texts give no ids. Rows are
     independent: no shuffle, any number of repeated rows, other columns ignored."""
-    return _run(docs, vocab_path, text_col, keep, True, "n_bytes long, n_tokens long, ids array<int>")
+    return _run(docs, vocab_path, text_col, keep, "ids", "n_bytes long, n_tokens long, ids array<int>")
 
 
 def encode_decode_digests(docs: DataFrame, vocab_path: str, text_col: str = "text",
-                          keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+                          keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """Per document: the ``keep`` columns, ``n_tokens``, ``ids_sha256`` of the
     decimal ids joined by a space, ``decoded_sha256`` of the bytes that the ids
-    decode to, ``n_bytes`` decoded. Null and empty texts: no ids, hashes of
-    nothing."""
-    return _run(docs, vocab_path, text_col, keep, False,
-                "n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+    decode to, ``n_bytes`` decoded, and ``ids`` if wanted. Null and empty texts:
+    no ids, hashes of nothing."""
+    return _run(docs, vocab_path, text_col, keep, "digests",
+                "n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long" + ", ids array<int>" * with_ids)
 
 
-def _run(docs, vocab_path, text_col, keep, with_ids, cols):
+def _run(docs, vocab_path, text_col, keep, what, cols):
     arrow_rows(docs.sparkSession)
     kept = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]] + [cols])
@@ -444,7 +444,8 @@ def _run(docs, vocab_path, text_col, keep, with_ids, cols):
             data, off = utf8_buffer(batch.column(batch.num_columns - 1))
             for a, b in row_spans(off, SPAN_BYTES):
                 head = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
-                tail = _ids(voc, data, off[a:b + 1]) if with_ids else _digests(voc, data, off[a:b + 1])
+                tail = _ids(voc, data, off[a:b + 1]) if what == "ids" else _digests(
+                    voc, data, off[a:b + 1], "ids array" in cols)
                 yield pa.RecordBatch.from_arrays(head + tail, [*keep, *[c.split()[0] for c in cols.split(", ")]])
 
     return kept.mapInArrow(work, schema)
@@ -461,14 +462,17 @@ def _ids(voc, data, off):
 DECODE = 1 << 20  # ids decoded at a time
 
 
-def _digests(voc, data, off):
+def _digests(voc, data, off, with_ids=False):
     n = len(off) - 1
+    all_ids = [[] for _ in range(n)]
     n_tok, n_dec = np.zeros(n, np.int64), np.zeros(n, np.int64)
     h_ids = [hashlib.sha256() for _ in range(n)]
     h_dec = [hashlib.sha256() for _ in range(n)]
     for k, part, _ in encode_batch(voc, data[off[0]:off[-1]], off - off[0]):
         for i in range(0, len(part), DECODE):
             ids = part[i:i + DECODE]
+            if with_ids:
+                all_ids[k].extend(ids.tolist())
             text, raw = voc.decimals(ids), voc.decode(ids)
             if n_tok[k]:
                 h_ids[k].update(b" ")
@@ -477,4 +481,5 @@ def _digests(voc, data, off):
             n_tok[k] += len(ids)
             n_dec[k] += len(raw)
     return [pa.array(n_tok), pa.array([h.hexdigest() for h in h_ids], pa.string()),
-            pa.array([h.hexdigest() for h in h_dec], pa.string()), pa.array(n_dec)]
+            pa.array([h.hexdigest() for h in h_dec], pa.string()), pa.array(n_dec)] + (
+                [pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else [])

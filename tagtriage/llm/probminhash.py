@@ -247,3 +247,15 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id
     alone = F.col("r").isNull()
     return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),
                       F.coalesce(F.col("__row") == F.col("head.__row"), F.lit(True)).alias("keep"), "__row")
+
+
+def keep_one(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, that stand for their class of near duplicates:
+    one of each class, also of rows that are equal in id and text. Texts are
+    shuffled once, to meet the kept rows."""
+    marks = near_duplicates(docs, least, id_col, text_col).where("keep")
+    kept = store(marks.groupBy(F.col("__row").alias("__kept")).agg(F.count("*").alias("__n")), "kept")
+    rows = docs.withColumn("__row", row_key(id_col, text_col)).join(kept.select("__kept"), F.col("__row") == F.col("__kept"))
+    if kept.where("__n > 1").limit(1).count():
+        rows = rows.dropDuplicates(["__row"])
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -104,10 +104,11 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l2: f
                 steps: int = 150, rate: float = 0.15) -> OrdinalModel:
     """Maximum likelihood with a ridge, by full-batch Adam. rows: feature slots
     of each document. Thresholds are kept in order as a first one plus
-    exponentials. Without rows the model scores all alike."""
+    exponentials. Without rows the model has no opinion: every probability is
+    one half, and everything is kept."""
     thresholds = np.arange(n_grades - 1, dtype=float) - (n_grades - 2) / 2
     if not rows:
-        return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), thresholds)
+        return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.zeros(n_grades - 1))
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     slots, inv = np.unique(np.concatenate(rows), return_inverse=True)
     once = np.ones(len(inv), bool)  # rows are sorted: a slot's repeats follow it
