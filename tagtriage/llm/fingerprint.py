@@ -141,7 +141,7 @@ def with_next(docs: DataFrame, part_bytes: int = 8 << 20, least_parts: int = 96,
     parts = max(least_parts, -(-size // part_bytes))
     ids = base.select(F.col("doc_id").cast("double").alias("doc_id"))
     cuts = ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    splits = [float("-inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
     ranges = Bucketizer(splits=splits, inputCol="__id", outputCol="__range", handleInvalid="keep")
     ranged = ranges.transform(base.withColumn("__id", F.col("doc_id").cast("double")))
     last = len(splits) - 1  # Bucketizer's number for null

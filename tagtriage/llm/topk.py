@@ -37,7 +37,7 @@ def quantised(embedding: Column, scale: int = 64) -> Column:
 def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
-    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), dim)
 
 
 def rotation(cands: DataFrame, dim: int) -> np.ndarray:
