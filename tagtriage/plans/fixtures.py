@@ -7,7 +7,7 @@ used as a CTE by the oracles. Mappings (see FIXTURES.md):
 * document messages: id = doc_id, user_id = number in ``source``, day =
   2024-01-01 + doc_id % 30, text = a feature prefix (URL, @name, #tag,
   emoji, slang, CJK) chosen by doc_id % 8, followed by the whole text
-* votes: item_id = event_id % 2000, worker_id = user_id, answer from the
+* votes: item_id = event_id div 5 (five votes an item), worker_id = user_id, answer from the
   event type, pos = event_id (arrival order)
 * raw nested messages: documents as tweets (German rows play retweets,
   Spanish rows play replies, texts longer than 280 chars are truncated
@@ -81,13 +81,13 @@ def votes(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     ans = (F.when(F.col("event_type").isin("click", "purchase"), 1)
             .when(F.col("event_type") == "error", -1).otherwise(0))
-    return e.select((F.col("event_id") % 2000).alias("item_id"),
+    return e.select(F.floor(F.col("event_id") / 5).alias("item_id"),
                     F.col("user_id").cast("string").alias("worker_id"),
                     ans.alias("answer"), F.col("event_id").alias("pos"))
 
 
 VOTES_SQL = """votes AS (
-  SELECT event_id % 2000 AS item_id, CAST(user_id AS VARCHAR) AS worker_id,
+  SELECT event_id // 5 AS item_id, CAST(user_id AS VARCHAR) AS worker_id,
          CASE WHEN event_type IN ('click', 'purchase') THEN 1
               WHEN event_type = 'error' THEN -1 ELSE 0 END AS answer,
          event_id AS pos FROM events)"""

@@ -69,10 +69,7 @@ def _a4(s, d):
     pa, pb = os.path.join(base, "apple"), os.path.join(base, "food")
     ms.write_messages(raw.filter(F.col("user.verified")), pa)
     ms.write_messages(raw.filter(~F.col("user.verified")), pb)
-    df = ms.read_messages(s, [pa, pb]).withColumn(
-        "_dir", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1))
-    tags = s.createDataFrame([("apple", "Apple"), ("food", "Food")], "_dir string, category string")
-    return df.join(F.broadcast(tags), "_dir").select("id", "category")
+    return ms.read_tagged(s, {pa: "Apple", pb: "Food"}).select("id", "category")
 
 
 Q["A4_read_tagged"] = (_a4, """SELECT doc_id AS id, CASE WHEN lang = 'en' THEN 'Apple' ELSE 'Food' END
@@ -100,7 +97,7 @@ def _a8_a10(s, d):
     root = ms.scratch_dir(s, "lists")
     dicts.save_dict(bl, os.path.join(root, "black_list"), version="0001")
     missing = dicts.load_dict(s, os.path.join(root, "nothing_here"))
-    got = dicts.load_dict(s, dicts.latest_version(os.path.join(root, "black_list")))
+    got = dicts.load_dict(s, dicts.latest_version(s, os.path.join(root, "black_list")))
     return got.unionByName(missing)
 
 
@@ -122,7 +119,7 @@ SELECT user_id, COUNT(*) AS counts FROM order_messages WHERE label = 1 GROUP BY
 
 def _engagement(s, d):
     e = table(s, d, "events")
-    return (e.groupBy((F.col("event_id") % 2000).alias("id"))
+    return (e.groupBy(F.floor(F.col("event_id") / 5).alias("id"))
              .agg(F.sum(F.when(F.col("event_type") == "click", 1).otherwise(0)).cast("long")
                   .alias("favorite_count"),
                   F.sum(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).cast("long")
@@ -138,7 +135,7 @@ def _a13(s, d):
            .withColumn("rejected", F.lit(True)))
 
 
-Q["A13_attach_engagement"] = (_a13, """WITH eng AS (SELECT event_id % 2000 AS id,
+Q["A13_attach_engagement"] = (_a13, """WITH eng AS (SELECT event_id // 5 AS id,
   CAST(SUM(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS favorite_count,
   CAST(SUM(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS retweet_count
   FROM events GROUP BY 1)
@@ -162,13 +159,13 @@ def _answers(s, d):
     e = table(s, d, "events")
     txt = (F.when(F.col("event_type") == "click", "Yes, relevant")
             .when(F.col("event_type") == "error", "No").otherwise("Maybe"))
-    return e.select((F.col("event_id") % 2000).alias("tweet_id"),
+    return e.select(F.floor(F.col("event_id") / 5).alias("tweet_id"),
                     F.col("user_id").cast("string").alias("worker_id"),
                     txt.alias("answer_text"), F.col("event_id").alias("pos"))
 
 
 Q["A15_read_votes"] = (lambda s, d: crowd.read_votes(_answers(s, d)), """
-SELECT event_id % 2000 AS item_id, CAST(user_id AS VARCHAR) AS worker_id,
+SELECT event_id // 5 AS item_id, CAST(user_id AS VARCHAR) AS worker_id,
   CASE WHEN event_type = 'click' THEN 1 WHEN event_type = 'error' THEN -1 ELSE 0 END AS answer,
   event_id AS pos FROM events""")
 
@@ -176,8 +173,11 @@ SELECT event_id % 2000 AS item_id, CAST(user_id AS VARCHAR) AS worker_id,
 def _a5(s, d):
     m = fx.doc_messages(s, d).select("id", "fulltext", "lang")
     base = ms.scratch_dir(s, "a5")
-    for lang, cat in (("en", "Apple"), ("fr", "Food"), ("de", "Game"), ("es", "IPad")):
+    named = {"en": "Apple", "fr": "Food", "de": "Game"}
+    for lang, cat in named.items():
         m.filter(F.col("lang") == lang).drop("lang").write.json(os.path.join(base, f"{cat}-2019"))
+    rest = ~F.coalesce(F.col("lang").isin(*named), F.lit(False))
+    m.filter(rest).drop("lang").write.json(os.path.join(base, "IPad-2019"))
     return ms.read_by_prefix(s, base, "id long, fulltext string", level="folder")
 
 
@@ -194,8 +194,8 @@ def _a11_a12(s, d):
     tr, te = _tt(s, d)
     root = ms.scratch_dir(s, "registry")
     vec, model = cf.fit_profile(tr)
-    save_model(PipelineModel(stages=list(vec.stages) + [model]), os.path.join(root, "models", "profile"))
-    dicts.save_dict(lists.black_list(tr, 5), os.path.join(root, "black_list"), version="0001")
+    save_model(PipelineModel(stages=list(vec.stages) + [model]), os.path.join(root, "models", "profile"), version="1")
+    dicts.save_dict(lists.black_list(tr, 5), os.path.join(root, "black_list"), version="1")
     reg = ModelRegistry(s, root).reload()
     prof = reg.models["profile"]
     scored = prof.transform(te.filter(F.col("user_description").isNotNull()))
@@ -204,3 +204,26 @@ def _a11_a12(s, d):
 
 
 Q["A11_A12_model_registry"] = (_a11_a12, None)
+
+
+def _a12(s, d):
+    """What a registry serves after each of three publications (9, 10, and an
+    unpublished 11)."""
+    from tagtriage.sources.models import ModelRegistry
+    orders = fx.order_messages(s, d)
+    root = ms.scratch_dir(s, "registry")
+    path = os.path.join(root, "black_list")
+    reg, out = ModelRegistry(s, root), None
+    for version, least in (("9", 8), ("10", 5)):
+        dicts.save_dict(lists.black_list(orders, least), path, version=version)
+        seen = reg.reload().tables["black_list"].withColumn("version", F.lit(version))
+        out = seen if out is None else out.unionByName(seen)
+    lists.black_list(orders, 1).write.parquet(os.path.join(path, "v=11"))  # not published
+    return out.unionByName(reg.reload().tables["black_list"].withColumn("version", F.lit("after 11")))
+
+
+Q["A12_newest_version"] = (_a12, with_ctes(fx.ORDER_MESSAGES_SQL) + """,
+bl AS (SELECT user_id, COUNT(*) AS counts FROM order_messages WHERE label = 1 GROUP BY user_id)
+SELECT user_id, counts, '9' AS version FROM bl WHERE counts >= 8
+UNION ALL SELECT user_id, counts, '10' FROM bl WHERE counts >= 5
+UNION ALL SELECT user_id, counts, 'after 11' FROM bl WHERE counts >= 5""")

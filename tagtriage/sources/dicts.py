@@ -6,21 +6,22 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from tagtriage.sources.storage import exists, latest_version, mark_ready
+
+__all__ = ["latest_version", "load_counts_txt", "load_dict", "save_dict"]
 
 USER_LIST_SCHEMA = "user_id long, counts long"
 WORD_TABLE_SCHEMA = "word string, weight double"
 
 
 def load_dict(spark: SparkSession, path: str, schema: str = USER_LIST_SCHEMA) -> DataFrame:
-    """A saved table, or an empty one when the path is missing or
-    unreadable (the reference's behaviour for a first run)."""
-    try:
-        df = spark.read.parquet(path)
-        cols = [c.strip().split(" ")[0] for c in schema.split(",")]
-        return df.select(*cols)
-    except AnalysisException:
+    """A saved table, or an empty one when there is no path yet (a first
+    run). A path that is there but can't be read is an error."""
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
+    cols = [c.strip().split(" ")[0] for c in schema.split(",")]
+    return spark.read.parquet(path).select(*cols)
 
 
 def load_counts_txt(spark: SparkSession, path: str) -> DataFrame:
@@ -36,12 +37,7 @@ def save_dict(df: DataFrame, path: str, version: str | None = None) -> str:
     so readers of the previous version are never disturbed."""
     target = os.path.join(path, f"v={version}") if version else path
     df.write.mode("overwrite").parquet(target)
+    if version:
+        mark_ready(df.sparkSession, target)
     return target
 
-
-def latest_version(path: str) -> str | None:
-    """Newest ``v=...`` folder under ``path`` (local or mounted shared FS)."""
-    if not os.path.isdir(path):
-        return None
-    vs = sorted(d for d in os.listdir(path) if d.startswith("v="))
-    return os.path.join(path, vs[-1]) if vs else None

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagtriage.session import checkpoint_dir
+from tagtriage.sources.storage import file_prefix
 
 # Raw nested message schema (explicit: no inference pass over the data).
 HASHTAGS = T.ArrayType(T.StructType([T.StructField("text", T.StringType())]))
@@ -65,13 +66,19 @@ def read_raw(spark: SparkSession, path, schema: T.StructType = RAW_SCHEMA,
 
 def read_tagged(spark: SparkSession, tags: dict[str, str], schema: T.StructType = RAW_SCHEMA,
                 col: str = "category") -> DataFrame:
-    """A4: read several files, each row tagged with its file's category.
-    The (file, tag) table has one row per file, so it is broadcast."""
-    paths = list(tags)
-    df = spark.read.schema(schema).json(paths).withColumn("_file", F.col("_metadata.file_name"))
-    t = spark.createDataFrame([(os.path.basename(p), v) for p, v in tags.items()],
-                              f"_file string, {col} string")
-    return df.join(F.broadcast(t), "_file").drop("_file")
+    """A4: read several files or folders, each row tagged with the category of
+    the path it came from (the longest one given). Paths are compared whole,
+    so equal file names in different folders keep their own tags; a row whose
+    file matches no path is an error."""
+    df = spark.read.schema(schema).json(list(tags))
+    file = F.regexp_replace(F.col("_metadata.file_path"), r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    prefixes = {file_prefix(spark, p): v for p, v in tags.items()}
+    tag = None
+    for p in sorted(prefixes, key=len, reverse=True):
+        hit = (file == p) | file.startswith(p + "/")
+        tag = F.when(hit, prefixes[p]) if tag is None else tag.when(hit, prefixes[p])
+    untagged = F.raise_error(F.concat(F.lit("no tag for "), file)).cast("string")
+    return df.withColumn(col, tag.otherwise(untagged))
 
 
 def read_by_prefix(spark: SparkSession, path: str, schema, level: str = "file") -> DataFrame:

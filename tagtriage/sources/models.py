@@ -2,56 +2,53 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
-from tagtriage.sources.dicts import USER_LIST_SCHEMA, WORD_TABLE_SCHEMA, latest_version, load_dict
+from tagtriage.sources.dicts import USER_LIST_SCHEMA, WORD_TABLE_SCHEMA, load_dict
+from tagtriage.sources.storage import children, exists, latest_version, mark_ready
 
 
-def save_model(model, path: str) -> None:
-    """Write a fitted pipeline (overwrite)."""
-    model.write().overwrite().save(path)
+def save_model(model, path: str, version: str | None = None) -> str:
+    """Write a fitted pipeline (overwrite); with ``version`` under
+    ``path/v=<version>``, published once it is whole."""
+    target = f"{path}/v={version}" if version else path
+    model.write().overwrite().save(target)
+    if version:
+        mark_ready(SparkSession.getActiveSession(), target)
+    return target
 
 
 def load_model(path: str, cls=PipelineModel):
-    """Load a fitted pipeline, or None when absent."""
-    try:
-        return cls.load(path)
-    except Exception:  # noqa: BLE001 - a missing or partial model means "no model yet"
-        return None
+    """Load a fitted pipeline, or None when there is none. A model that is
+    there but can't be read is an error."""
+    return cls.load(path) if exists(SparkSession.getActiveSession(), path) else None
 
 
 class ModelRegistry:
     """Lists, word tables and models under one versioned root; call
     ``reload()`` (e.g. at the start of every micro-batch) to pick up the
-    newest version written by the updater."""
+    newest version that the updater has published."""
+
+    TABLES = {"black_list": USER_LIST_SCHEMA, "white_list": USER_LIST_SCHEMA, "hijacked_words": WORD_TABLE_SCHEMA}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
-        self.version = None
+        self.versions: dict[str, str] = {}
         self.tables: dict = {}
         self.models: dict = {}
 
+    def _newest(self, name: str) -> str:
+        path = f"{self.root}/{name}"
+        return latest_version(self.spark, path) or path
+
     def reload(self) -> "ModelRegistry":
-        base = self.root
-        self.tables = {
-            "black_list": load_dict(self.spark, _newest(base, "black_list"), USER_LIST_SCHEMA),
-            "white_list": load_dict(self.spark, _newest(base, "white_list"), USER_LIST_SCHEMA),
-            "hijacked_words": load_dict(self.spark, _newest(base, "hijacked_words"),
-                                        WORD_TABLE_SCHEMA),
-        }
-        self.models = {}
-        mdir = os.path.join(base, "models")
-        if os.path.isdir(mdir):
-            for name in os.listdir(mdir):
-                m = load_model(os.path.join(mdir, name))
-                if m is not None:
-                    self.models[name] = m
+        """Tables are read anew; a model is loaded when its path has changed."""
+        paths = {n: self._newest(n) for n in self.TABLES}
+        self.tables = {n: load_dict(self.spark, paths[n], schema) for n, schema in self.TABLES.items()}
+        for name in children(self.spark, f"{self.root}/models"):
+            paths[f"models/{name}"] = path = self._newest(f"models/{name}")
+            if self.versions.get(f"models/{name}") != path or path.endswith(f"models/{name}"):
+                self.models[name] = load_model(path)
+        self.versions = paths
         return self
-
-
-def _newest(base: str, name: str) -> str:
-    p = os.path.join(base, name)
-    return latest_version(p) or p
