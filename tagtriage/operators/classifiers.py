@@ -15,7 +15,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LogisticRegression, RandomForestClassifier,
                                        GBTClassifier)
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, Normalizer,
+from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, HashingTF, IDF, Normalizer,
                                 RegexTokenizer, StopWordsRemover, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagtriage.operators.features import SOCIAL_PASS, SOCIAL_SCALED, social_features
+from tagtriage.session import cut_lineage, parallel_map
 
 SOCIAL_COLS = SOCIAL_SCALED + SOCIAL_PASS
 
@@ -61,39 +62,42 @@ def fit_gnb(df: DataFrame, cols: list[str] = SOCIAL_COLS, label: str = "label",
     """Per-class prior, mean and variance of every feature, variance
     smoothed by ``var_smoothing`` x the largest feature variance.
     -> long parameter table (cls, feature, mean, var, log_prior)."""
-    long = df.select(F.col(label).alias("cls"),
-                     F.explode(F.array(*[F.struct(F.lit(c).alias("feature"),
-                                                  F.col(c).cast("double").alias("x"))
-                                         for c in cols])).alias("f")).select("cls", "f.*")
-    eps = long.groupBy("feature").agg(F.var_pop("x").alias("_v")).agg(
-        (F.max("_v") * var_smoothing).alias("eps"))
-    n = df.agg(F.count(F.lit(1)).alias("n_all"))
-    pri = df.groupBy(F.col(label).alias("cls")).agg(F.count(F.lit(1)).alias("n_c")).crossJoin(n)
-    stats = long.groupBy("cls", "feature").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("v"))
-    return (stats.crossJoin(F.broadcast(eps)).join(F.broadcast(pri), "cls")
-                 .select("cls", "feature", "mean", (F.col("v") + F.col("eps")).alias("var"),
-                         F.log(F.col("n_c") / F.col("n_all")).alias("log_prior")))
+    x = [F.col(c).cast("double").alias(c) for c in cols]
+    rows = df.select(F.col(label).alias("cls"), *x)
+    spread = rows.agg(F.greatest(*[F.var_pop(c) for c in cols], F.lit(0.0)).alias("v"), F.count("*").alias("n_all"))
+    stats = rows.groupBy("cls").agg(F.count("*").alias("n_c"), F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean"), F.var_pop(c).alias("v")) for c in cols]).alias("f"))
+    wide = stats.crossJoin(F.broadcast(spread.withColumnRenamed("v", "widest")))  # one row
+    return (wide.select("cls", "n_c", "n_all", "widest", F.explode("f").alias("f"))
+                .select("cls", "f.feature", "f.mean", (F.col("f.v") + F.col("widest") * var_smoothing).alias("var"),
+                        F.log(F.col("n_c") / F.col("n_all")).alias("log_prior")))
 
 
 def score_gnb(df: DataFrame, params: DataFrame, cols: list[str] = SOCIAL_COLS,
               id_col: str = "id", out: str = "nb_label") -> DataFrame:
-    """E2 scoring: P(class 1 | x) from the joint log-likelihoods (the
-    parameter table has classes x features rows, so it is broadcast)."""
-    long = df.select(id_col, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"),
-                                                          F.col(c).cast("double").alias("x"))
-                                                 for c in cols])).alias("f")).select(id_col, "f.*")
-    ll = (long.join(F.broadcast(params), "feature")
-              .groupBy(id_col, "cls")
-              .agg((F.first("log_prior") - 0.5 * F.sum(F.log(2 * math.pi * F.col("var"))
-                                                       + (F.col("x") - F.col("mean")) ** 2
-                                                       / F.col("var"))).alias("jll")))
-    w = ll.groupBy(id_col).agg(F.max("jll").alias("_m"),
-                               F.max(F.when(F.col("cls") == 1, F.col("jll"))).alias("_j1"))
-    tot = ll.join(w, id_col).groupBy(id_col, "_m", "_j1").agg(
-        F.sum(F.exp(F.col("jll") - F.col("_m"))).alias("_z"))
-    p = tot.select(id_col, F.coalesce(F.exp(F.col("_j1") - F.col("_m")) / F.col("_z"),
-                                      F.lit(0.0)).alias(out))
-    return df.join(p, id_col)
+    """E2 scoring: P(class 1 | x) as one column expression; the parameters
+    (classes x features rows) are read into it."""
+    rows = params.collect()
+    if not rows:
+        return df.withColumn(out, F.lit(0.0))
+    by_class: dict = {}
+    for r in rows:
+        by_class.setdefault(r["cls"], []).append(r)
+    jll = {}
+    for cls, stats in by_class.items():
+        total = F.lit(float(stats[0]["log_prior"]))
+        for r in stats:
+            d = F.col(r["feature"]).cast("double") - float(r["mean"])
+            var = max(float(r["var"]), 1e-300)
+            total = total - 0.5 * (math.log(2 * math.pi * var) + d * d / var)
+        jll[cls] = total
+    if 1 not in jll:
+        return df.withColumn(out, F.lit(0.0))
+    z = F.lit(1.0)
+    for cls, total in jll.items():
+        if cls != 1:
+            z = z + F.exp(total - jll[1])
+    return df.withColumn(out, 1.0 / z)
 
 
 def fit_social(df: DataFrame, label: str = "label") -> dict:
@@ -101,7 +105,8 @@ def fit_social(df: DataFrame, label: str = "label") -> dict:
     cached = df.persist()
     n = cached.count()
     models = {"lr": fit_lr(cached, label, n), "rf": fit_rf(cached, label),
-              "nb": fit_gnb(cached, label=label)}
+              "nb": cut_lineage(fit_gnb(cached, label=label))}
+    cached.unpersist()
     return models
 
 
@@ -124,10 +129,22 @@ def score_social(df: DataFrame, models: dict, id_col: str = "id", prob: bool = T
 
 # ---- text models -----------------------------------------------------------
 
+def distinct_terms(df: DataFrame, col: str) -> int:
+    """How many terms the token column ``col`` holds: the vocabulary size that
+    keeps them all."""
+    return max(1, df.select(F.explode(col).alias("t")).distinct().count())
+
+
 def tfidf_model(df: DataFrame, col: str, mode: str = "tfidf", stop: list[str] | None = None,
-                max_features: int | None = None, out: str = "features") -> PipelineModel:
+                max_features: int | None = None, out: str = "features",
+                hashed: int | None = None) -> PipelineModel:
     """G3-G5 as a fitted spark.ml pipeline: tokens of >= 2 word characters,
-    counts, smoothed idf (+1), L2 norm. ``mode``: count | tf | tfidf."""
+    counts, smoothed idf (+1), L2 norm. ``mode``: count | tf | tfidf.
+
+    The vocabulary is a model parameter and is held on the driver: all terms,
+    or the ``max_features`` most frequent ones if the caller says so. For more
+    terms than a driver holds, ``hashed`` counts terms in so many hash slots
+    and needs no vocabulary."""
     tok = RegexTokenizer(inputCol=col, outputCol="_tok", gaps=False,
                          pattern=r"[\p{L}\p{N}_]{2,}", toLowercase=True)
     stages = [tok]
@@ -135,9 +152,14 @@ def tfidf_model(df: DataFrame, col: str, mode: str = "tfidf", stop: list[str] |
     if stop:
         stages.append(StopWordsRemover(inputCol="_tok", outputCol="_tok2", stopWords=stop))
         src = "_tok2"
-    cv = CountVectorizer(inputCol=src, outputCol="_tf" if mode != "count" else out,
-                         vocabSize=max_features or (1 << 18), minDF=1.0)
-    stages.append(cv)
+    tf = "_tf" if mode != "count" else out
+    if hashed:
+        stages.append(HashingTF(inputCol=src, outputCol=tf, numFeatures=hashed))
+    else:
+        if not max_features:
+            max_features = distinct_terms(Pipeline(stages=stages).fit(df).transform(
+                df.filter(F.col(col).isNotNull())), src)
+        stages.append(CountVectorizer(inputCol=src, outputCol=tf, vocabSize=max_features, minDF=1.0))
     base = Pipeline(stages=stages).fit(df.filter(F.col(col).isNotNull()))
     if mode == "count":
         return base
@@ -168,7 +190,7 @@ def fit_text(df: DataFrame, col: str = "processed_fulltext", label: str = "label
     return vec, model
 
 
-def score_text(df: DataFrame, vec: PipelineModel, model, prob: bool = False,
+def score_text(df: DataFrame, vec: PipelineModel, model, prob: bool = True,
                out: str = "txt_label") -> DataFrame:
     s = model.transform(vec.transform(df))
     val = prob1("_p_txt") if prob else F.col("_y_txt")
@@ -214,7 +236,6 @@ def cv_accuracy(df: DataFrame, fit_score, k: int = 5, seed: int = 0, label: str
     """K-fold cross-validated accuracy -> (mean, 2 * std) over folds.
     ``fit_score(train, test) -> test with column 'pred'``."""
     from tagtriage.operators.sampling import kfold
-    from tagtriage.session import cut_lineage, parallel_map
     f = kfold(df, k, mode="shuffled", seed=seed, key=key).persist()
 
     def one_fold(i):
@@ -223,6 +244,7 @@ def cv_accuracy(df: DataFrame, fit_score, k: int = 5, seed: int = 0, label: str
                                        (F.col("pred") == F.col(label)).cast("double").alias("hit")))
 
     parts = parallel_map(one_fold, range(1, k + 1), parallelism)
+    f.unpersist()
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)
@@ -281,7 +303,8 @@ def cluster_terms(km, vec: PipelineModel, n: int = 25) -> DataFrame:
     rows = []
     for ci, c in enumerate(km.clusterCenters()):
         arr = np.asarray(c)
-        order = sorted(range(len(arr)), key=lambda t: (-arr[t], vocab[t]))[:n]
+        order = sorted(np.flatnonzero(arr >= np.partition(arr, -min(n, len(arr)))[-min(n, len(arr))]).tolist(),
+                       key=lambda t: (-arr[t], vocab[t]))[:n]
         rows += [(ci, vocab[t], float(arr[t]), r + 1) for r, t in enumerate(order)]
     return spark.createDataFrame(rows, "cluster int, term string, weight double, rank int")
 

@@ -1,35 +1,43 @@
 """Detectors, stacking, blending and the daily self-training loop.
 
-Every fit is a spark.ml job over a cached frame; folds are independent jobs.
-Lineage is cut between self-training rounds by checkpointing the growing
-training table into the shared checkpoint folder.
+Every fit is a spark.ml job over a cached frame, released after the fit; folds
+are independent jobs. Lineage is cut between self-training rounds by
+checkpointing the growing training table into the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagtriage.functions import text as tx
 from tagtriage.operators import classifiers as cf
 from tagtriage.operators import lists
-from tagtriage.operators.ensemble import confident, override, vote_average, vote_majority
-from tagtriage.operators.evaluate import prf
+from tagtriage.operators.ensemble import binarise, confident, override, vote_average, vote_majority, vote_weighted
+from tagtriage.operators.evaluate import prf, roc_auc, score_models
 from tagtriage.operators.features import social_features
 from tagtriage.operators.sampling import balance, kfold, split
 from tagtriage.session import cut_lineage, parallel_map
+from tagtriage.sources.dicts import save_dict
+from tagtriage.sources.models import ModelRegistry, save_model
 
 BASE = ("rf_label", "ud_label", "txt_label")
+MODES = ("stacking", "majority", "average")
 
 
 @dataclass
 class Detectors:
+    """Lists, word table and models of one fit. ``words`` holds the hijacked
+    words that training uses, ``serve_words`` those of live scoring."""
+
     bl: DataFrame
     wl: DataFrame
     words: DataFrame
+    serve_words: DataFrame
     rf: object
     profile: tuple
     text: tuple
@@ -38,14 +46,20 @@ class Detectors:
 
 @dataclass
 class Settings:
+    """Sizes of the fits. ``meta_rounds`` x ``meta_rate`` is the total step of the
+    boosted meta learner, 5 as in 1000 rounds of 0.005; Spark runs the rounds
+    one after the other as several jobs each, hence fewer, longer ones."""
+
     bl_min: int = 5
     wl_min: int = 8
     word_threshold: float = 0.8
     serve_threshold: float = 0.6
     rf_trees: int = 100
-    meta_rounds: int = 1000
+    meta_rounds: int = 20
+    meta_rate: float = 0.25
     folds: int = 4
     parallelism: int = 4
+    seed: int = 0
 
 
 def prepare(df: DataFrame) -> DataFrame:
@@ -54,32 +68,41 @@ def prepare(df: DataFrame) -> DataFrame:
 
 
 def fit_detectors(train: DataFrame, s: Settings = Settings()) -> Detectors:
-    """Fit lists, word table and the three base models on one frame."""
+    """Fit lists, word table and the three base models on one frame. The lists
+    and word tables are stored, so that later joins read a plain table."""
     train = train.persist()
-    bl = lists.black_list(train, s.bl_min).persist()
-    wl = lists.white_list(train, s.wl_min).persist()
-    words = lists.word_tables(lists.word_weights(train), s.word_threshold)[0].persist()
-    soc = social_features(train, keep=["id", "label"])
-    rf = cf.fit_rf(soc, trees=s.rf_trees)
-    prof = cf.fit_profile(train)
-    # cached: vocabulary, idf and optimiser passes all read the normalised text
-    train_text = train.withColumn("_train_text", tx.normalise("fulltext", "train")).persist()
-    txt = cf.fit_text(train_text, "_train_text")
-    train_text.unpersist()
-    return Detectors(bl, wl, words, rf, prof, txt)
-
-
-def base_scores(df: DataFrame, det: Detectors) -> DataFrame:
-    """H1: bl, wl, rf, ud, txt scores in one pass of chained transforms."""
+    try:
+        bl = cut_lineage(lists.black_list(train, s.bl_min))
+        wl = cut_lineage(lists.white_list(train, s.wl_min))
+        weights = cut_lineage(lists.word_weights(train))
+        words = lists.word_tables(weights, s.word_threshold)[0]
+        serve = lists.word_tables(weights, s.serve_threshold)[0]
+        rf = cf.fit_rf(social_features(train, keep=["id", "label"]), trees=s.rf_trees, seed=s.seed)
+        prof = cf.fit_profile(train)
+        # cached: vocabulary, idf and optimiser passes all read the normalised text
+        train_text = train.withColumn("_train_text", tx.normalise("fulltext", "train")).persist()
+        txt = cf.fit_text(train_text, "_train_text")
+        train_text.unpersist()
+    finally:
+        train.unpersist()
+    return Detectors(bl, wl, words, serve, rf, prof, txt)
+
+
+def base_scores(df: DataFrame, det: Detectors, live: bool = True) -> DataFrame:
+    """H1: bl, wl, rf, ud, txt scores in one pass of chained transforms; rf, ud and
+    txt are probabilities. The text learner reads the scoring chain's text and
+    the serving word table when ``live``, the training chain's and the training
+    table inside a fit (held-out folds)."""
     out = lists.bl_score(df, det.bl)
-    out = lists.wl_score(out, det.wl, det.words)
+    out = lists.wl_score(out, det.wl, det.serve_words if live else det.words)
     soc = social_features(out, keep=[c for c in out.columns if c not in cf.SOCIAL_COLS])
     rf = det.rf.transform(soc)
     out = (rf.withColumn("rf_label", vector_to_array("p_rf")[1])
              .drop("features", "p_rf", "y_rf", "r_rf"))
     out = cf.score_profile(out, *det.profile)
-    out = out.withColumn("_train_text", tx.normalise("fulltext", "train"))
-    out = cf.score_text(out, det.text[0], det.text[1], prob=False)
+    text = F.col("processed_fulltext") if live else tx.normalise("fulltext", "train")
+    out = out.withColumn("_train_text", text)
+    out = cf.score_text(out, det.text[0], det.text[1], prob=True)
     return out.drop("_train_text")
 
 
@@ -90,24 +113,30 @@ def vote_stacking(df: DataFrame, meta, out: str = "result") -> DataFrame:
              .drop("_meta_x", "_p_meta", "_y_meta", "_r_meta"))
 
 
-def fit_stacking(train: DataFrame, s: Settings = Settings(), key: str = "id") -> Detectors:
-    """H8: out-of-fold base scores from k contiguous folds, meta model on
-    them, base models refitted on every row."""
-    f = kfold(train, s.folds, key=key).persist()
+def _fit_meta(oof: DataFrame, s: Settings):
+    return cf.fit_meta(oof, rounds=s.meta_rounds, rate=s.meta_rate, seed=222 + s.seed)
+
+
+def fit_stacking(train: DataFrame, s: Settings = Settings(), key: str = "id",
+                 fold_mode: str = "contiguous") -> Detectors:
+    """H8: out-of-fold base scores from k folds (contiguous, or by the seeded
+    hash), meta model on them, base models refitted on every row."""
+    f = kfold(train, s.folds, mode=fold_mode, seed=s.seed, key=key).persist()
 
     def fold(i):
         if i == 0:      # the final refit on every row runs alongside the folds
             return fit_detectors(train, s)
         det = fit_detectors(f.filter(F.col("fold") != i), s)
-        return cut_lineage(base_scores(f.filter(F.col("fold") == i), det)
+        return cut_lineage(base_scores(f.filter(F.col("fold") == i), det, live=False)
                            .select(key, "label", *BASE))
 
     res = parallel_map(fold, range(0, s.folds + 1), s.parallelism)
+    f.unpersist()
     final, parts = res[0], res[1:]
     oof = parts[0]
     for p in parts[1:]:
         oof = oof.unionByName(p)
-    final.meta = cf.fit_meta(oof, rounds=s.meta_rounds)
+    final.meta = _fit_meta(oof, s)
     return final
 
 
@@ -117,30 +146,34 @@ def fit_blending(train: DataFrame, s: Settings = Settings(), seed: int = 0,
     the base models on every row."""
     a, b = split(train, 0.5, seed, key)
     det, final = parallel_map(lambda t: fit_detectors(t, s), [a, train], s.parallelism)
-    held = cut_lineage(base_scores(b, det).select(key, "label", *BASE))
-    final.meta = cf.fit_meta(held, rounds=s.meta_rounds)
+    held = cut_lineage(base_scores(b, det, live=False).select(key, "label", *BASE))
+    final.meta = _fit_meta(held, s)
     return final
 
 
 def annotate(df: DataFrame, det: Detectors, mode: str = "stacking") -> DataFrame:
-    """Base scores, then the chosen vote (stacking by default)."""
+    """Base scores, then the chosen vote in ``label_prob``; ``average`` gives
+    the weighted average (H5) beside it in ``wavg_label_prob``."""
+    if mode not in MODES:
+        raise ValueError(f"mode {mode!r} is none of {MODES}")
+    if mode == "stacking" and det.meta is None:
+        raise ValueError("stacking needs a meta model: fit by fit_stacking or fit_blending")
     sc = base_scores(df, det)
-    if mode == "stacking" and det.meta is not None:
+    if mode == "stacking":
         return vote_stacking(sc, det.meta, "label_prob")
     if mode == "majority":
         return vote_majority(sc, out="label_prob")
-    return vote_average(sc, out="label_prob")
+    return vote_weighted(vote_average(sc, out="label_prob"), out="wavg_label_prob")
 
 
 def label_and_score(df: DataFrame, det: Detectors, mode: str = "stacking") -> DataFrame:
-    """Annotate, then P/R/F1 against the gold label column."""
-    a = annotate(df, det, mode)
-    return prf(a, "label_prob", "label")
+    """Annotate, then P/R/F1 and AUC against the gold label column."""
+    a = cut_lineage(annotate(df, det, mode).select("label", "label_prob"))
+    return prf(a, "label_prob", "label").crossJoin(F.broadcast(roc_auc(a, "label_prob", "label")))  # one row each
 
 
 def learner_weights(det: Detectors, day=None) -> DataFrame:
     """Meta-model feature importances as (day, learner, weight)."""
-    from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     imp = det.meta.stages[-1].featureImportances.toArray().tolist()
     names = ["Social Classifier", "User Profile Classifier", "Tweet Text Classifier"]
@@ -148,53 +181,94 @@ def learner_weights(det: Detectors, day=None) -> DataFrame:
                                  "day string, learner string, weight double")
 
 
+def grow(training: DataFrame, batch: DataFrame, scored: DataFrame, lo: float = 0.3, hi: float = 0.7,
+         balance_mode: str = "equal", key: str = "id", hash: str = "xx") -> DataFrame:
+    """One step of self-training: the training rows plus the batch's confident rows
+    (label 1 for p >= hi, 0 for p <= lo), balanced. ``scored``: (key, label_prob)."""
+    conf = confident(scored.select(key, "label_prob"), "label_prob", lo, hi)
+    picked = balance(conf.filter("label = 1"), conf.filter("label = 0"), balance_mode,
+                     key=key, hash=hash).select(key, "label")
+    new = batch.drop("label").join(picked, key).select(*training.columns)
+    return training.unionByName(new)
+
+
+def _fit(train: DataFrame, s: Settings, mode: str, key: str) -> Detectors:
+    return fit_stacking(train, s, key) if mode == "stacking" else fit_detectors(train, s)
+
+
 def self_train(training: DataFrame, live: DataFrame, s: Settings = Settings(),
                mode: str = "stacking", lo: float = 0.3, hi: float = 0.7,
                balance_mode: str = "equal", key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """For each day of ``live`` in order: annotate, keep confident rows
-    (label 1 for p >= hi, 0 for p <= lo), balance them, append to training,
-    refit. Returns (annotated live rows, learner weights per day). The day
-    list is a tiny distinct aggregate; the training table is checkpointed
-    every day."""
+    """For each day of ``live`` in order: annotate, grow the training rows by
+    the confident ones, refit. Returns (annotated live rows, learner weights per
+    day; the weights are empty unless ``mode`` is stacking). The day list is a
+    tiny distinct aggregate; the training table is checkpointed every day."""
+    spark = training.sparkSession
     days = [r["day"] for r in live.select(F.to_date("created_at").alias("day")).distinct()
             .orderBy("day").collect()]
     train = cut_lineage(training)
-    det = fit_stacking(train, s, key) if mode == "stacking" else fit_detectors(train, s)
-    outs, weights = [], []
+    det = _fit(train, s, mode, key)
+    res = spark.createDataFrame([], f"{key} long, day string, label_prob double")
+    weights = spark.createDataFrame([], "day string, learner string, weight double")
     for day in days:
         batch = live.filter(F.to_date("created_at") == F.lit(day))
-        ann = cut_lineage(annotate(batch, det, mode))
-        outs.append(ann.select(key, F.lit(str(day)).alias("day"), "label_prob"))
-        conf = confident(ann.select(key, "label_prob"), "label_prob", lo, hi)
-        picked = balance(conf.filter("label = 1"), conf.filter("label = 0"), balance_mode,
-                         key=key).select(key, "label")
-        new = batch.drop("label").join(picked, key).select(*training.columns)
-        train = cut_lineage(train.unionByName(new))
-        det = fit_stacking(train, s, key) if mode == "stacking" else fit_detectors(train, s)
+        ann = cut_lineage(annotate(batch, det, mode).select(key, "label_prob"))
+        res = res.unionByName(ann.select(key, F.lit(str(day)).alias("day"), "label_prob"))
+        train = cut_lineage(grow(train, batch, ann, lo, hi, balance_mode, key))
+        det = _fit(train, s, mode, key)
         if det.meta is not None:
-            weights.append(learner_weights(det, day))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    w = weights[0] if weights else None
-    for x in weights[1:]:
-        w = w.unionByName(x)
-    return res, w
-
-
-def repeat_eval(train: DataFrame, test: DataFrame, repeats: int = 100,
-                s: Settings = Settings(), key: str = "id") -> DataFrame:
-    """Refit ``repeats`` times (seeded models) and average the test
-    scores per row -> (id, label, mean_score, mean_avg_vote)."""
+            weights = weights.unionByName(learner_weights(det, day))
+    return res, weights
+
+
+EIGHT = ("bl_label", "wl_label", "rf_label", "ud_label", "txt_label", "meta", "average", "majority")
+
+
+def repeat_eval(train: DataFrame, test: DataFrame, repeats: int = 3,
+                s: Settings = Settings(), key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """``repeats`` whole stacking fits, each with its own seed in the forest,
+    the folds and the meta learner. Returns (rows, metrics): per test row the
+    mean meta, average and majority scores; per score column the means over the
+    runs of AUC, precision, recall and F1. Runs are averaged, so more of them
+    only narrow the error (as 1 / sqrt(repeats)); three are the default."""
     def one_run(r):
-        det = fit_detectors(train, s)
-        sc = base_scores(test, det)
-        return cut_lineage(vote_average(sc, out="avg")
-                           .select(key, "label", F.col("txt_label").alias("txt"), "avg"))
-
-    runs = parallel_map(one_run, range(repeats), s.parallelism)
-    acc = runs[0]
-    for one in runs[1:]:
-        acc = acc.unionByName(one)
-    return acc.groupBy(key, "label").agg(F.avg("txt").alias("mean_txt"),
-                                         F.avg("avg").alias("mean_avg_vote"))
+        one = replace(s, seed=s.seed + r)
+        det = fit_stacking(train, one, key, fold_mode="shuffled")
+        sc = vote_stacking(base_scores(test, det), det.meta, "meta")
+        sc = vote_majority(vote_average(sc, out="average"), out="majority")
+        sc = cut_lineage(sc.select(key, "label", *EIGHT))
+        flat = binarise(sc).select("label", *EIGHT)
+        # the white list speaks for class 0
+        flat = flat.withColumn("wl_label", 1 - F.col("wl_label"))
+        return sc, cut_lineage(score_models(flat, list(EIGHT)))
+
+    runs = [one_run(r) for r in range(repeats)]  # a run's folds are parallel jobs already
+    rows, metrics = runs[0]
+    for a, b in runs[1:]:
+        rows, metrics = rows.unionByName(a), metrics.unionByName(b)
+    means = [F.avg(c).alias(f"mean_{c}") for c in ("meta", "average", "majority")]
+    return (rows.groupBy(key, "label").agg(*means),
+            metrics.groupBy("model").agg(*[F.avg(c).alias(c) for c in ("auc", "precision", "recall", "f1")]))
+
+
+# ---- the ensemble in a registry
+
+def publish(det: Detectors, root: str, version: str) -> None:
+    """Save every part of a fit as one version of a registry. Saving a version
+    again replaces it, so a replayed batch publishes the same thing."""
+    for name, df in (("black_list", det.bl), ("white_list", det.wl), ("hijacked_words", det.serve_words)):
+        save_dict(df, f"{root}/{name}", version=version)
+    parts = {"rf": det.rf, "profile": PipelineModel(stages=[*det.profile[0].stages, det.profile[1]]),
+             "text": PipelineModel(stages=[*det.text[0].stages, det.text[1]])}
+    if det.meta is not None:
+        parts["meta"] = det.meta
+    for name, model in parts.items():
+        save_model(model, f"{root}/models/{name}", version=version)
+
+
+def from_registry(reg: ModelRegistry) -> Detectors:
+    """The newest published fit, for live scoring."""
+    apart = lambda m: (PipelineModel(stages=m.stages[:-1]), m.stages[-1])
+    return Detectors(reg.tables["black_list"], reg.tables["white_list"], reg.tables["hijacked_words"],
+                     reg.tables["hijacked_words"], reg.models["rf"], apart(reg.models["profile"]),
+                     apart(reg.models["text"]), reg.models.get("meta"))

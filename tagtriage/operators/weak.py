@@ -124,7 +124,7 @@ def lf_summary(L: DataFrame, n_items: int | None = None, items: DataFrame | None
     Fractions are over all items (``n_items`` or ``items.count()``), as in
     the dense matrix. Per-item vote counts are a partial aggregate joined
     back on the item."""
-    L = L.persist()   # read twice below (per-item counts and the join back)
+    L = cut_lineage(L)   # read twice below (per-item counts and the join back)
     if n_items is None:
         n_items = items.count() if items is not None else L.select("item_id").distinct().count()
     per_item = L.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n"),
@@ -202,6 +202,7 @@ def trust_labels(train_votes: DataFrame, train_labels: DataFrame, test_votes: Da
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizer
+    from tagtriage.operators.classifiers import distinct_terms
 
     def feats(v):
         return (annotator_label_features(v).groupBy(item)
@@ -211,7 +212,8 @@ def trust_labels(train_votes: DataFrame, train_labels: DataFrame, test_votes: Da
                                                      .alias("y")), item)
     n = max(1, tr.count())
     # an L2 penalty C = 1 on a summed loss equals regParam = 1 / n on Spark's mean loss.
-    pipe = Pipeline(stages=[CountVectorizer(inputCol="toks", outputCol="features", binary=True),
+    pipe = Pipeline(stages=[CountVectorizer(inputCol="toks", outputCol="features", binary=True,
+                                            vocabSize=distinct_terms(tr, "toks")),  # all of them
                             LogisticRegression(featuresCol="features", labelCol="y",
                                                regParam=1.0 / n, maxIter=100)])
     model = pipe.fit(tr)

@@ -1,8 +1,8 @@
 """Queries: fitted models and the ensemble loop (E, G7, H, L9, L14, M22).
 
 Model outputs depend on optimiser details, so these are rows-only checks
-(properties are tested in tests/). Model sizes are parameters; the queries
-use small settings so the check stays quick.
+(properties are tested in tests/); the rule-based steps around the models have
+SQL twins over fixed scores. The queries run the operators' own defaults.
 """
 
 from __future__ import annotations
@@ -17,25 +17,29 @@ from tagtriage.operators.evaluate import avg_answer
 from tagtriage.operators.features import social_features
 from tagtriage.plans import fixtures as fx
 from tagtriage.plans.q_models import social
-from tagtriage.plans.util import rounded
+from tagtriage.operators.sampling import uniform_sql
+from tagtriage.plans.util import rounded, with_ctes
+from tagtriage.session import cut_lineage
 from tagtriage.sources.tables import table
 
 Q = {}
-SMALL = stk.Settings(rf_trees=10, meta_rounds=20, folds=4)
-CUT = "2024-01-06"
+# Share of the labelled rows, oldest first, that models train on.
+TRAIN_SHARE = 0.7
 
 
 def labelled(s, d):
     c = cl.clean_seed(fx.raw_messages(s, d))
     lab = table(s, d, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
-    # persisted: every model stage (vocabulary, idf, optimiser passes) reads it
-    return stk.prepare(c.join(lab, "id")).persist()
+    # stored: every model stage (vocabulary, idf, optimiser passes) reads it
+    return cut_lineage(stk.prepare(c.join(lab, "id")))
 
 
 def _tt(s, d):
+    """The oldest TRAIN_SHARE of the rows to train on, the rest to score."""
     m = labelled(s, d)
-    cut = F.lit(CUT).cast("timestamp")
-    return m.filter(F.col("created_at") < cut), m.filter(F.col("created_at") >= cut)
+    at = F.col("created_at").cast("double")
+    cut = m.agg(F.percentile_approx(at, TRAIN_SHARE, 10_000)).first()[0] or 0.0
+    return m.filter(at < cut), m.filter(at >= cut)
 
 
 def _social_split(s, d):
@@ -120,7 +124,7 @@ Q["G7_top_features"] = (_g7, None)
 
 def _h1(s, d):
     tr, te = _tt(s, d)
-    det = stk.fit_detectors(tr, SMALL)
+    det = stk.fit_detectors(tr)
     return rounded(stk.base_scores(te, det).select("id", "bl_label", "wl_label", *stk.BASE))
 
 
@@ -129,7 +133,7 @@ Q["H1_base_scores"] = (_h1, None)
 
 def _h8(s, d):
     tr, te = _tt(s, d)
-    det = stk.fit_stacking(tr, SMALL)
+    det = stk.fit_stacking(tr)
     return rounded(stk.annotate(te, det, "stacking").select("id", "label_prob"))
 
 
@@ -138,7 +142,7 @@ Q["H7_H8_H9_stacking"] = (_h8, None)
 
 def _h10(s, d):
     tr, te = _tt(s, d)
-    det = stk.fit_blending(tr, SMALL)
+    det = stk.fit_blending(tr)
     return rounded(stk.annotate(te, det, "stacking").select("id", "label_prob"))
 
 
@@ -147,8 +151,7 @@ Q["H10_blending"] = (_h10, None)
 
 def _h12(s, d):
     tr, te = _tt(s, d)
-    det = stk.fit_detectors(tr, SMALL)
-    return rounded(stk.label_and_score(te, det, "average"))
+    return rounded(stk.label_and_score(te, stk.fit_stacking(tr)))
 
 
 Q["H11_H12_label_and_score"] = (_h12, None)
@@ -156,29 +159,90 @@ Q["H11_H12_label_and_score"] = (_h12, None)
 
 def _h13(s, d):
     tr, te = _tt(s, d)
-    res, _ = stk.self_train(tr, te, SMALL, mode="average")
-    return rounded(res)
-
-
-Q["H13_self_train"] = (_h13, None)
-
-
-def _h14(s, d):
-    tr, _ = _tt(s, d)
-    return rounded(stk.learner_weights(stk.fit_blending(tr, SMALL), "initial"))
+    res, weights = stk.self_train(tr, te)
+    # one loop gives both: the annotated rows (H13) and each day's weights
+    return rounded(res.select("day", F.col("id").cast("string").alias("name"), F.col("label_prob").alias("value"),
+                              F.lit("row").alias("kind"))
+                   .unionByName(weights.select("day", F.col("learner").alias("name"), F.col("weight").alias("value"),
+                                               F.lit("weight").alias("kind"))))
 
 
-Q["H14_learner_weights"] = (_h14, None)
+Q["H13_H14_self_train"] = (_h13, None)
 
 
 def _h15(s, d):
     tr, te = _tt(s, d)
-    return rounded(stk.repeat_eval(tr, te, 3, SMALL))
+    rows, metrics = stk.repeat_eval(tr, te)
+    return rounded(rows.select(F.col("id").cast("string").alias("name"), "mean_meta", "mean_average", "mean_majority",
+                               *[F.lit(None).cast("double").alias(c) for c in ("auc", "precision", "recall", "f1")])
+                   .unionByName(metrics.select(F.col("model").alias("name"), *[
+                       F.lit(None).cast("double").alias(f"mean_{c}") for c in ("meta", "average", "majority")],
+                       "auc", "precision", "recall", "f1")))
 
 
 Q["H15_repeat_eval"] = (_h15, None)
 
 
+def _fixed_scores(s, d):
+    """Base scores by arithmetic on the id: the same in any engine, with ties,
+    listed users and all mixes of confident and open rows."""
+    m = fx.doc_messages(s, d)
+    return m.select("id", "user_id", "created_at", "n_chars", "lang",
+                    F.when(F.col("id") % 11 == 0, 1.0).otherwise(0.5).alias("bl_label"),
+                    F.when(F.col("id") % 7 == 0, 0.0).otherwise(0.5).alias("wl_label"),
+                    ((F.col("id") * 37 % 101) / 100.0).alias("rf_label"),
+                    ((F.col("id") * 53 % 97) / 96.0).alias("ud_label"),
+                    ((F.col("n_chars") % 89) / 88.0).alias("txt_label"))
+
+
+FIXED_SCORES_SQL = """fixed AS (
+  SELECT id, user_id, created_at, n_chars, lang,
+    CASE WHEN id % 11 = 0 THEN 1.0 ELSE 0.5 END AS bl_label, CASE WHEN id % 7 = 0 THEN 0.0 ELSE 0.5 END AS wl_label,
+    (id * 37 % 101) / 100.0 AS rf_label, (id * 53 % 97) / 96.0 AS ud_label, (n_chars % 89) / 88.0 AS txt_label
+  FROM doc_messages),
+voted AS (
+  SELECT *, (rf_label + ud_label + txt_label) / 3 AS mean FROM fixed),
+scored AS (
+  SELECT *, CASE WHEN wl_label = 0 THEN 0.0 WHEN bl_label = 1 THEN 1.0 ELSE mean END AS label_prob FROM voted)"""
+
+
+def _h13_step(s, d):
+    """One step of self-training over fixed scores: vote, override, confident
+    rows, balance, append."""
+    from tagtriage.operators.ensemble import vote_average
+    scores = _fixed_scores(s, d)
+    first = F.col("created_at") < F.lit("2024-01-11").cast("timestamp")
+    train = scores.filter(first).select("id", "user_id", "lang", (F.col("id") % 2).cast("int").alias("label"))
+    batch = scores.filter(~first)
+    voted = cut_lineage(vote_average(batch, out="label_prob"))
+    return stk.grow(train, batch, voted.select("id", "label_prob"), hash="lcg").select("id", "user_id", "lang", "label")
+
+
+Q["H13_grow_training"] = (_h13_step, with_ctes(fx.DOC_MESSAGES_SQL, FIXED_SCORES_SQL, f"""sure AS (
+  SELECT id, user_id, lang, CASE WHEN label_prob >= 0.7 THEN 1 ELSE 0 END AS label, {uniform_sql('id', 0)} AS u
+  FROM scored WHERE created_at >= TIMESTAMP '2024-01-11' AND (label_prob >= 0.7 OR label_prob <= 0.3)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY u, id) AS rn FROM sure),
+least AS (
+  SELECT least(count(*) FILTER (label = 1), count(*) FILTER (label = 0)) AS m FROM sure)""") + """
+SELECT id, user_id, lang, CAST(id % 2 AS INTEGER) AS label FROM fixed WHERE created_at < TIMESTAMP '2024-01-11'
+UNION ALL SELECT id, user_id, lang, label FROM ranked, least WHERE rn <= m""")
+
+
+def _h11(s, d):
+    """The three votes over fixed scores, one row per document."""
+    from tagtriage.operators.ensemble import vote_average, vote_majority, vote_weighted
+    sc = vote_weighted(vote_majority(vote_average(_fixed_scores(s, d), out="average"), out="majority"), out="weighted")
+    return rounded(sc.select("id", "average", "majority", "weighted"))
+
+
+Q["H11_votes"] = (_h11, with_ctes(fx.DOC_MESSAGES_SQL, FIXED_SCORES_SQL) + """
+SELECT id, round(label_prob, 6) AS average, CASE WHEN wl_label = 0 THEN 0.0 WHEN bl_label = 1 THEN 1.0
+    WHEN (rf_label > 0.5)::INT + (ud_label > 0.5)::INT + (txt_label > 0.5)::INT >= 2 THEN 1.0 ELSE 0.0 END AS majority,
+  round((0.1 * bl_label + 0.1 * wl_label + 0.1 * rf_label + 0.1 * ud_label + 0.6 * txt_label) / 5, 6) AS weighted
+FROM scored""")
+
+
 def _l9(s, d):
     """Trust model fitted on one seeded half of the items, applied to the
     other half (both halves are used)."""
@@ -199,7 +263,7 @@ def _l14(s, d):
     lab = table(s, d, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
     val = docs.join(lab, "id").select("id", "label")
     val_votes = v.join(val.select(F.col("id").alias("item_id")), "item_id", "left_semi")
-    return weak.denoise(docs, v, val, val_votes, iters=5)
+    return weak.denoise(docs, v, val, val_votes)
 
 
 Q["L14_denoise"] = (_l14, None)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagtriage.operators import selection as sel
+from tagtriage.operators.sampling import uniform_sql
 from tagtriage.plans.util import rounded
 from tagtriage.sources.tables import table
 
@@ -240,8 +241,10 @@ Q["M14_stochastic"] = (
     _q(lambda s, d: sel.select(emb(s, d, "pos"), sel.FeatureBased("sqrt"), 10, strategy="stochastic",
                                seed=3)), None)
 Q["M15_sample"] = (
-    _q(lambda s, d: sel.select(emb(s, d, "pos"), sel.FeatureBased("sqrt"), 10, strategy="sample",
-                               seed=3)), None)
+    _q(lambda s, d: sel.select(emb(s, d, "pos"), sel.FeatureBased("sqrt"), K, strategy="sample",
+                               seed=3, hash="lcg")),
+    feature_greedy_sql("pos", "sqrt", exclude="SELECT vec_id FROM embeddings WHERE NOT "
+                       f"({uniform_sql('vec_id', 3)} < 0.9)"))
 Q["M16_partitioned_facility"] = (
     _q(lambda s, d: sel.select(emb(s, d, "raw"), sel.Facility(metric="cosine"), 10,
                                strategy="partitioned", part_rows=200, check=False)), None)
@@ -253,7 +256,10 @@ Q["M16_partitioned_feature"] = (
                                strategy="partitioned", part_rows=200)), None)
 Q["M18_random"] = (
     _q(lambda s, d: sel.select(emb(s, d, "pos"), sel.FeatureBased("sqrt"), 10, strategy="random",
-                               seed=5)), None)
+                               seed=5, hash="lcg")),
+    f"""SELECT id, CAST(rn AS INTEGER) AS rank, 0.0::DOUBLE AS gain FROM (
+  SELECT vec_id AS id, row_number() OVER (ORDER BY {uniform_sql('vec_id', 5)}, vec_id) AS rn FROM embeddings)
+WHERE rn <= 10""")
 
 Q["M2_partitioned_knn_facility"] = (
     _q(lambda s, d: sel.select(emb(s, d, "raw"), sel.Facility(metric="euclidean", n_neighbors=10),
@@ -310,11 +316,37 @@ def pairwise_greedy_sql(kind="facility", alpha=0.1, k=K):
 
 
 Q["M3_facility_location"] = (
-    _q(lambda s, d: sel.select(emb(s, d, "raw"), sel.Facility(metric="cosine"), K,
-                               strategy="partitioned", check=False)),
+    _q(lambda s, d: sel.select(emb(s, d, "raw"), sel.Facility(metric="cosine"), K, check=False)),
     pairwise_greedy_sql("facility"))
 
 Q["M4_saturated_coverage"] = (
-    _q(lambda s, d: sel.select(emb(s, d, "raw"), sel.Saturated(alpha=0.1), K,
-                               strategy="partitioned", check=False)),
+    _q(lambda s, d: sel.select(emb(s, d, "raw"), sel.Saturated(alpha=0.1), K, check=False)),
     pairwise_greedy_sql("saturated", 0.1))
+
+
+def knn_facility_sql(n_neighbors=10, k=K):
+    """Greedy rounds over the kept neighbours: each row keeps itself and its
+    nearest others; similarity counts from the largest kept distance."""
+    ctes = ["""v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+dist AS (SELECT a.id AS i, b.id AS j, CASE WHEN a.id = b.id THEN 0.0 ELSE greatest(list_dot_product(a.e, a.e)
+    + list_dot_product(b.e, b.e) - 2 * list_dot_product(a.e, b.e), 0.0) END AS d FROM v a, v b),
+kept AS (SELECT i, j, d FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY i <> j, d, j) AS r FROM dist)
+  WHERE r <= """ + str(n_neighbors + 1) + """),
+E AS (SELECT i, j, (SELECT max(d) FROM kept) - d AS s FROM kept),
+cur0 AS (SELECT vec_id AS j, 0.0 AS c FROM embeddings)"""]
+    picks = []
+    for r in range(1, k + 1):
+        prev = f"cur{r - 1}"
+        cond = " AND ".join(f"E.i NOT IN (SELECT id FROM p{x})" for x in range(1, r)) or "TRUE"
+        ctes.append(f"g{r} AS (SELECT E.i AS id, SUM(greatest(E.s, {prev}.c) - {prev}.c) AS gain "
+                    f"FROM E JOIN {prev} USING (j) WHERE {cond} GROUP BY E.i)")
+        ctes.append(f"p{r} AS (SELECT id, gain FROM g{r} ORDER BY gain DESC, id LIMIT 1)")
+        ctes.append(f"cur{r} AS (SELECT {prev}.j, greatest({prev}.c, coalesce(E.s, 0.0)) AS c FROM {prev} "
+                    f"LEFT JOIN E ON E.j = {prev}.j AND E.i = (SELECT id FROM p{r}))")
+        picks.append(f"SELECT id, CAST({r} AS INTEGER) AS rank, ROUND(gain, 6) AS gain FROM p{r}")
+    return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL ".join(picks)
+
+
+Q["M2_knn_facility"] = (
+    _q(lambda s, d: sel.select(emb(s, d, "raw"), sel.Facility(metric="euclidean", n_neighbors=10), K, check=False)),
+    knn_facility_sql())
