@@ -7,15 +7,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagtriage.operators import features as fe
+from tagtriage.operators.sampling import uniform
 
 
 def baseline_random(train: DataFrame, test: DataFrame, seed: int = 0, label: str = "label",
-                    key: str = "id", out: str = "pred") -> DataFrame:
+                    key: str = "id", out: str = "pred", hash: str = "xx") -> DataFrame:
     """K1: a seeded random choice among the distinct training labels."""
     labs = train.agg(F.array_sort(F.collect_set(label)).alias("_labs"))
     return (test.crossJoin(F.broadcast(labs))
-                .withColumn(out, F.element_at("_labs", (F.pmod(F.xxhash64(F.col(key), F.lit(seed)),
-                                                               F.size("_labs")) + 1).cast("int")))
+                .withColumn(out, F.element_at("_labs", (F.floor(uniform(key, seed, hash) * F.size("_labs")) + 1)
+                                              .cast("int")))
                 .drop("_labs"))
 
 

@@ -1,9 +1,10 @@
 """Row cleaning, projection and filters.
 
-Strict unique (B1) is one aggregation: ``groupBy(key)`` with ``count`` and
-``any_value(struct)`` both combine map-side, so even a key repeated across a
-third of the rows reaches the shuffle as one partial row per task; no window
-sorts a hot key inside one task.
+Strict unique (B1) counts keys only: partial counts combine map-side, so even a
+key repeated across a third of the rows reaches the shuffle as one row per
+task. The repeated keys are stored and anti-joined, so Spark broadcasts them
+when they are few and splits a hot key's rows when they are not; the wide rows
+are never sorted or aggregated.
 """
 
 from __future__ import annotations
@@ -11,14 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagtriage.session import cut_lineage
+
 
 def strict_unique(df: DataFrame, key: str | list[str] = "id") -> DataFrame:
     """B1: drop *every* copy of a repeated key (pandas ``keep=False``)."""
     keys = [key] if isinstance(key, str) else list(key)
-    others = [c for c in df.columns if c not in keys]
-    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                              F.any_value(F.struct(*others)).alias("_row"))
-    return g.filter(F.col("_n") == 1).select(*keys, "_row.*").select(*df.columns)
+    repeated = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+                             .select(*[F.col(c).alias(f"_key_{c}") for c in keys]))
+    same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in keys]  # repeated nulls are copies too
+    return df.join(repeated, same, "left_anti")
 
 
 def exclude_ids(df: DataFrame, ids: list[int], key: str = "id") -> DataFrame:

@@ -1,7 +1,8 @@
 """Exact global row numbers and running totals without a single-partition window.
 
 ``Window.orderBy(x)`` with no partition moves every row into one task. At
-scale we instead:
+scale we instead (``buckets`` and the salts follow
+``spark.sql.shuffle.partitions``, which is set to the size of the job):
 
 1. cut the key range into ~``buckets`` ranges at approximate quantiles (one
    aggregate row, so the cut list is bounded by ``buckets``),
@@ -22,13 +23,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _spread(df: DataFrame, least: int) -> int:
+    """How many ranges or salts: as many as a shuffle has partitions."""
+    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _with_range(df: DataFrame, key: str, buckets: int, descending: bool) -> DataFrame:
     k = F.col(key).cast("double")
     if descending:
         k = -k
     keyed = df.withColumn("_rk", k)
     fracs = [i / buckets for i in range(1, buckets)]
-    row = keyed.agg(F.percentile_approx("_rk", fracs, 1000).alias("q")).first()
+    row = keyed.agg(F.percentile_approx("_rk", fracs, max(1000, 20 * buckets)).alias("q")).first()
     cuts = sorted({float(x) for x in (row["q"] or []) if x is not None})
     splits = [float("-inf")] + cuts + [float("inf")]
     if len(splits) < 3:
@@ -38,7 +44,7 @@ def _with_range(df: DataFrame, key: str, buckets: int, descending: bool) -> Data
 
 
 def running_totals(df: DataFrame, order: list, sums: list[str], key: str | None = None,
-                   descending: bool = False, buckets: int = 64,
+                   descending: bool = False, buckets: int | None = None,
                    inclusive: bool = True) -> DataFrame:
     """Add ``cum_<c>`` for every ``c`` in ``sums``: the total of ``c`` over all
     rows ordered before (and, if ``inclusive``, including) this row.
@@ -48,6 +54,7 @@ def running_totals(df: DataFrame, order: list, sums: list[str], key: str | None
     Ties in ``order`` must not occur (callers add an id tiebreak).
     """
     key = key or order[0]
+    buckets = buckets or _spread(df, 64)
     ranged = _with_range(df, key, buckets, descending)
     tot = ranged.groupBy("_rng").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     wo = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,7 +71,7 @@ def running_totals(df: DataFrame, order: list, sums: list[str], key: str | None
 
 
 def global_row_number(df: DataFrame, order: list[str], descending: bool = False,
-                      buckets: int = 64, out: str = "rn") -> DataFrame:
+                      buckets: int | None = None, out: str = "rn") -> DataFrame:
     """Exact 1-based row number over ``order`` (unique), computed in ranges."""
     r = running_totals(df.withColumn("_one", F.lit(1)), order, ["_one"],
                        descending=descending, buckets=buckets)
@@ -83,7 +90,7 @@ def ntile_of(rn_col: str, n_col: str, k: int):
 
 
 def top_n_per_group(df: DataFrame, group: list[str], order: list, n: int,
-                    salts: int = 32, out: str | None = None) -> DataFrame:
+                    salts: int | None = None, out: str | None = None) -> DataFrame:
     """First ``n`` rows of every group by ``order`` (Column list), exact.
 
     Stage 1 ranks inside (group, salt) where salt = hash of the row, so a
@@ -91,7 +98,7 @@ def top_n_per_group(df: DataFrame, group: list[str], order: list, n: int,
     the <= salts * n survivors of each group meet in the stage-2 window.
     ``out`` names an optional 1-based rank column.
     """
-    from pyspark.sql import Window
+    salts = salts or _spread(df, 32)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
     w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
     pre = (salted.withColumn("_r1", F.row_number().over(w1))

@@ -150,45 +150,49 @@ def lf_majority(L: DataFrame, items: DataFrame, id_col: str = "id") -> DataFrame
 
 
 def label_model(L: DataFrame, items: DataFrame, iters: int = 100, id_col: str = "id",
-                smoothing: float = 1.0, checkpoint_every: int = 1) -> DataFrame:
+                smoothing: float = 1.0, tol: float = 1e-4) -> DataFrame:
     """Binary Dawid-Skene EM over the long label matrix.
 
     E step: per item, log P(y=c) + sum of log P(vote | y=c) over its votes
     (one aggregation of L joined to the parameter table, whose size is
     functions x 2 x 2). M step: per (function, vote) sums of the
-    item posteriors (one aggregation). Starts from majority votes. The
-    posterior table feeds the next round twice, so it is checkpointed into
-    the shared checkpoint folder every round (``checkpoint_every``); that
-    keeps plans flat and lets a lost executor resume from the last round.
+    item posteriors (one aggregation; a function's total is the sum of its
+    votes'). Starts from majority votes and ends after ``iters`` rounds, or
+    when no posterior moves by more than ``tol`` (looked at every fifth round).
+    The posterior table feeds the next round twice, so it is checkpointed into
+    the shared checkpoint folder every round; that keeps plans flat and lets a
+    lost executor resume from the last round. L is laid out by item once.
     -> (item_id, p1, label); items without votes get the prior.
     """
-    L = cut_lineage(L.select("item_id", "lf", "vote"))
-    its = items.select(F.col(id_col).alias("item_id")).distinct()
+    L = cut_lineage(L.select("item_id", "lf", "vote").repartition("item_id"))
+    its = cut_lineage(items.select(F.col(id_col).alias("item_id")).distinct())
     maj = lf_majority(L, items, id_col)
     q = cut_lineage(maj.select("item_id", F.when(F.col("label") == 1, 0.9)
                                .when(F.col("label") == 0, 0.1).otherwise(0.5).alias("q1")))
     for it in range(iters):
         # M step: class prior and confusion of each function.
         prior = q.agg(F.avg("q1").alias("pi1"))
-        lq = L.join(q, "item_id")
-        theta = lq.groupBy("lf", "vote").agg(F.sum("q1").alias("s1"),
-                                             F.sum(1 - F.col("q1")).alias("s0"))
-        tot = lq.groupBy("lf").agg(F.sum("q1").alias("t1"), F.sum(1 - F.col("q1")).alias("t0"))
+        theta = cut_lineage(L.join(q, "item_id").groupBy("lf", "vote").agg(
+            F.sum("q1").alias("s1"), F.sum(1 - F.col("q1")).alias("s0")))
+        tot = theta.groupBy("lf").agg(F.sum("s1").alias("t1"), F.sum("s0").alias("t0"))
         params = (theta.join(tot, "lf")
                        .select("lf", "vote",
                                F.log((F.col("s1") + smoothing) / (F.col("t1") + 2 * smoothing)).alias("l1"),
                                F.log((F.col("s0") + smoothing) / (F.col("t0") + 2 * smoothing)).alias("l0")))
-        # E step.
-        # params has (functions x votes) rows; AQE broadcasts it when small
+        # E step: params has (functions x votes) rows; AQE broadcasts it when small
         ll = (L.join(params, ["lf", "vote"])
                .groupBy("item_id").agg(F.sum("l1").alias("a1"), F.sum("l0").alias("a0")))
-        q = (its.join(ll, "item_id", "left").crossJoin(F.broadcast(prior))
+        new = cut_lineage(its.join(ll, "item_id", "left").crossJoin(F.broadcast(prior))
                 .select("item_id",
                         (F.coalesce("a1", F.lit(0.0)) + F.log("pi1")).alias("b1"),
                         (F.coalesce("a0", F.lit(0.0)) + F.log(1 - F.col("pi1"))).alias("b0"))
                 .select("item_id", (1 / (1 + F.exp(F.col("b0") - F.col("b1")))).alias("q1")))
-        if checkpoint_every and (it + 1) % checkpoint_every == 0:
-            q = cut_lineage(q)
+        if it % 5 == 4:
+            moved = new.join(q.withColumnRenamed("q1", "q0"), "item_id").agg(F.max(F.abs(F.col("q1") - F.col("q0")))).first()[0]
+            if moved is None or moved <= tol:
+                q = new
+                break
+        q = new
     return q.select("item_id", F.col("q1").alias("p1"),
                     F.when(F.col("q1") > 0.5, 1).otherwise(0).alias("label"))
 
@@ -222,7 +226,7 @@ def trust_labels(train_votes: DataFrame, train_labels: DataFrame, test_votes: Da
 
 
 def denoise(train: DataFrame, votes: DataFrame, val: DataFrame, val_votes: DataFrame,
-            iters: int = 20, id_col: str = "id", text: str = "fulltext") -> DataFrame:
+            iters: int = 100, id_col: str = "id", text: str = "fulltext") -> DataFrame:
     """Drop validation ids from training, add the trust label, apply
     keyword + worker (+ trust) functions, fit the label model, append the
     validation rows with their gold labels. -> (id, label, source)."""

@@ -325,12 +325,34 @@ FROM doc_messages d LEFT JOIN c ON d.id = c.item_id""")
 
 
 def _l13(s, d):
-    return weak.label_model(_lmatrix(s, d), fx.doc_messages(s, d), iters=10).select("item_id", "label")
+    return weak.label_model(_lmatrix(s, d), fx.doc_messages(s, d)).select("item_id", "label")
 
 
 Q["L13_label_model"] = (_l13, None)
 
 
+def _l13_sql(rounds=2):
+    """The stated start and so many rounds of EM, unrolled."""
+    ctes = ["""c AS (SELECT item_id, SUM(CASE WHEN vote = 1 THEN 1 ELSE 0 END) AS n1,
+  SUM(CASE WHEN vote = 0 THEN 1 ELSE 0 END) AS n0 FROM lm GROUP BY item_id),
+q0 AS (SELECT d.id AS item_id, CASE WHEN c.n1 > c.n0 THEN 0.9 WHEN c.n0 > c.n1 THEN 0.1 ELSE 0.5 END::DOUBLE AS q1
+  FROM doc_messages d LEFT JOIN c ON d.id = c.item_id)"""]
+    for r in range(1, rounds + 1):
+        p = f"q{r - 1}"
+        ctes.append(f"""t{r} AS (SELECT lf, vote, sum(q1) AS s1, sum(1 - q1) AS s0 FROM lm JOIN {p} USING (item_id) GROUP BY lf, vote),
+w{r} AS (SELECT lf, vote, ln((s1 + 1) / (sum(s1) OVER (PARTITION BY lf) + 2)) AS l1,
+  ln((s0 + 1) / (sum(s0) OVER (PARTITION BY lf) + 2)) AS l0 FROM t{r}),
+a{r} AS (SELECT item_id, sum(l1) AS a1, sum(l0) AS a0 FROM lm JOIN w{r} USING (lf, vote) GROUP BY item_id),
+q{r} AS (SELECT {p}.item_id, 1 / (1 + exp((coalesce(a0, 0) + ln(1 - pi)) - (coalesce(a1, 0) + ln(pi)))) AS q1
+  FROM {p} LEFT JOIN a{r} USING (item_id), (SELECT avg(q1) AS pi FROM {p}))""")
+    return with_ctes(*LMATRIX_SQL, *ctes) + f"SELECT item_id, round(q1, 6) AS p1 FROM q{rounds}"
+
+
+Q["L13_two_rounds"] = (
+    lambda s, d: rounded(weak.label_model(_lmatrix(s, d), fx.doc_messages(s, d), iters=2).select("item_id", "p1")),
+    _l13_sql())
+
+
 def _n8(s, d):
     """User-defined labelling functions: a Column rule and a pandas UDF
     (the escape hatch), applied with the keyword rules."""
