@@ -8,6 +8,10 @@ similarity of their weights. A shingle stops sending arrivals once they come
 later than all registers of its document. Bands of registers make candidates,
 which are verified by the exact similarity; classes are the connected
 components of the verified links.
+
+A bucket is first compared with its hub, the node that shares most buckets
+with others: of a group of edited copies, mostly the text they come from. Only
+pairs that are in different components after that are compared one by one.
 """
 
 from __future__ import annotations
@@ -21,9 +25,11 @@ from pyspark.sql import functions as F
 from tagtriage.llm.common import arrow_rows, row_key, row_spans, store, utf8_buffer
 
 WORDS, LEAST = 5, 0.8
-# 32 bands of 4 registers: a pair at similarity 0.8 misses all bands with probability 5e-8
-BANDS, ROWS = 32, 4
-STARS = 3  # rounds of comparing a bucket with one of its documents before all open pairs are compared
+# 32 bands of 5 registers: a pair at similarity 0.8 misses all bands with probability 3e-6
+BANDS, ROWS = 32, 5
+# Pairs of a bucket that its hub leaves open are compared by sketches of 512 registers of 8 bits, in
+# blocks of so many nodes. A pair at 0.8 agrees in 0.72 of them but for a probability of 3e-6.
+SKETCH, SLACK, BLOCK = 512, 0.08, 1024
 CACHE = 400_000
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -49,8 +55,10 @@ def word_hashes(words: list[str], cache: dict[str, int]) -> np.ndarray:
 
 
 def shingles(text: str | None, cache: dict[str, int], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted shingle hashes, their counts): runs of n lower-cased words; a
-    shorter text is one shingle; a text without words has none."""
+    """(sorted shingle hashes, their weights): runs of n lower-cased words; a
+    shorter text is one shingle; a text without words has none. A shingle that
+    occurs c times weighs 1 + ln(c): with c itself, a line repeated hundreds of
+    times would make documents alike that share nothing else."""
     words = (text or "").lower().split()
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0)
@@ -60,7 +68,7 @@ def shingles(text: str | None, cache: dict[str, int], n: int = WORDS) -> tuple[n
     for j in range(k):
         h = mix(h * GOLD + w[j:len(w) - k + 1 + j])
     ids, counts = np.unique(h, return_counts=True)
-    return ids, counts.astype(float)
+    return ids, 1.0 + np.log(counts)
 
 
 def signatures(ids: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_docs: int,
@@ -154,6 +162,57 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(work, "a long, b long")
 
 
+def _ordered(rows: DataFrame, x: str, y: str) -> DataFrame:
+    return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
+def _open_pairs(placed: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b) of nodes that share a bucket, lie in different components, and may
+    reach ``least`` by their sketches. placed: (key, node, root, n). A bucket of n
+    nodes is cut into blocks by a hash of the node; each pair of blocks is one
+    task's group."""
+    def sketch(batches):
+        cache: dict[str, int] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            got = [shingles(t, cache) for t in batch.column(1).to_pylist()]
+            sig = signatures(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]),
+                             np.repeat(np.arange(len(got)), [len(g[0]) for g in got]), len(got), SKETCH)
+            short = (mix(sig) >> np.uint64(56)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in short], pa.binary())],
+                                             ["node", "sketch"])
+
+    nodes = placed.select("node").distinct()
+    sketches = store(texts.join(nodes, "node").select("node", "text").mapInArrow(sketch, "node long, sketch binary"), "sketches")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    rows = (placed.withColumn("own", own).join(sketches, "node")
+            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node",
+                    "root", "sketch"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        node, root, own = (t[c].to_numpy() for c in ("node", "root", "own"))
+        sk = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(node), SKETCH)
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        left, right = (np.arange(len(node)),) * 2 if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
+        # of the agreeing registers, one in 256 of the others agrees by chance
+        enough = SKETCH * (least - SLACK + (1 - least + SLACK) / 256)
+        a, b = [], []
+        for x in left.tolist():
+            y = right[(root[right] != root[x]) & (node[right] > node[x])] if i == j else right[root[right] != root[x]]
+            if len(y):
+                y = y[(sk[y] == sk[x]).sum(1) >= enough]
+                a.append(np.full(len(y), node[x]))
+                b.append(node[y])
+        a = np.concatenate(a) if a else np.zeros(0, np.int64)
+        b = np.concatenate(b) if b else np.zeros(0, np.int64)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of every connected component, for the nodes
     that have links. Each round hooks roots to the smallest neighbouring root and
@@ -191,10 +250,10 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id
     Rows of equal id and text are all marked alike. Null ids are larger than
     any other. Other columns are ignored.
 
-    A bucket of any size is compared with one of its nodes a round, which
-    joins most of it; only pairs of nodes that are still in different
-    components after the rounds are compared one by one, so large groups of
-    near copies make no table of all their pairs and no link is given up."""
+    The rows made are linear in a bucket's size: one a node against the hub,
+    and one a node and block for what stays open. Open pairs are compared
+    inside tasks of bounded size, by sketches; only those that may reach
+    ``least`` leave them, to be verified."""
     arrow_rows(docs.sparkSession, 500)
     base = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("__text"))
     base = base.withColumn("__row", row_key("doc_id", "__text"))
@@ -202,39 +261,26 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id
     # one node a body; its smallest row stands for the text
     nodes = store(sketch.groupBy("node").agg(F.min("__row").alias("__row"), F.any_value("bands").alias("bands")), "nodes")
     entries = nodes.select("node", F.explode("bands").alias("key"))
-    shared = store(entries.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n"))
-                   .where("n > 1").select("key", "hub"), "buckets")
-    hits = store(entries.join(shared, "key").select("key", "node", "hub"), "hits")
-    wanted = hits.select("node").distinct().join(nodes.select("node", "__row"), "node")
-    texts = store(base.join(wanted.select("node", "__row"), "__row").select("node", F.col("__text").alias("text"))
-                  .dropDuplicates(["node"]), "texts")
-    pairs = hits.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    pairs = store(pairs, "pairs")
-    links, done = store(_verify(pairs, texts, least), "links"), pairs
+    shared = store(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    hits = store(entries.join(shared, "key").select("key", "node", "n"), "hits")
+    degrees = store(hits.groupBy("node").agg(F.sum("n").alias("degree")), "degrees")
+    hubs = store(hits.join(degrees, "node").groupBy("key").agg(
+        F.max(F.struct("degree", (-F.col("node")).alias("m"))).alias("best")).select("key", (-F.col("best.m")).alias("hub")), "hubs")
+    wanted = degrees.select("node").join(nodes.select("node", "__row"), "node")
+    texts = store(base.join(wanted, "__row").select("node", F.col("__text").alias("text")).dropDuplicates(["node"]), "texts")
+    pairs = _ordered(hits.join(hubs, "key").where("node <> hub"), "node", "hub")
+    pairs = store(pairs.distinct(), "pairs")
+    links = store(_verify(pairs, texts, least), "links")
     comp = components(links)
-    for k in range(1, STARS + 1):
-        # entries of buckets that still hold several components
-        placed = hits.select("key", "node").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = (placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                             F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(k), "node")).alias("hub"))
-                   .where("lo < hi").select("key", "hub"))
-        open_ = store(placed.join(several, "key"), "open")
-        if k < STARS:
-            pairs = open_.where("root <> hub.root").select(F.col("node").alias("x"), F.col("hub.node").alias("y"))
-        else:
-            left = open_.select("key", F.col("node").alias("x"), F.col("root").alias("rx"))
-            pairs = left.join(open_.select("key", F.col("node").alias("y"), F.col("root").alias("ry")), "key").where("rx < ry")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = store(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.limit(1).count():
-            if k < STARS:
-                continue
-            break
-        found = store(_verify(pairs, texts, least), "links")
-        done = done.unionByName(pairs)
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            comp = components(links)
+    # entries of buckets that still hold several components
+    placed = store(hits.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
+    several = store(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
+                    .where("lo < hi").select("key", "n"), "several")
+    found = _open_pairs(placed.join(several, "key"), texts, least)
+    found = store(found.distinct().join(pairs, ["a", "b"], "left_anti"), "open-pairs")
+    more = store(_verify(found, texts, least), "links")
+    if more.limit(1).count():
+        comp = components(links.unionByName(more))
     rooted = nodes.select("node").join(comp, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("__row"))
     rows = sketch.select("__row", "node").distinct()
