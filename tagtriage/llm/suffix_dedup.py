@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tagtriage.llm.common import arrow_rows, powers, row_key, row_spans, store, utf8_buffer
 
 LENGTH, GRAM = 400, 96
-SPAN_BYTES = 2 << 20
+SPAN_BYTES = 1 << 20
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -81,11 +81,12 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(have):
         key = key << bits | padded[k:k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable").astype(np.int32)
     new = np.ones(n + 1, bool)
     new[1:n] = np.diff(key[order]) != 0
-    rank = np.zeros(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new[:n], np.arange(n), 0))
+    del key
+    rank = np.zeros(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new[:n], np.arange(n, dtype=np.int32), 0))
     ways = 3 if n < (1 << 21) - 1 else 2
     width = 21 if ways == 3 else 31
     while have < depth:
@@ -93,7 +94,7 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
         if not len(open_):
             break
         at = order[open_]
-        key = rank[at]
+        key = rank[at].astype(np.int64)
         for k in range(1, ways):
             nxt = at + k * have
             key = key << width | np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
@@ -118,27 +119,29 @@ def common_prefix_bounds(s: np.ndarray, order: np.ndarray, depth: int, stop: int
     n = len(s)
     bwt = s[order - 1]
     by = np.argsort(bwt.astype(np.uint16), kind="stable")
-    last_first = np.empty(n, np.int64)
-    last_first[by] = np.arange(n)
-    after, before = np.full(n, n, np.int64), np.full(n, -1, np.int64)
+    by = by.astype(np.int32)
+    last_first = np.empty(n, np.int32)
+    last_first[by] = np.arange(n, dtype=np.int32)
+    after, before = np.full(n, n, np.int32), np.full(n, -1, np.int32)
     same = bwt[by[1:]] == bwt[by[:-1]]
     after[by[:-1][same]] = by[1:][same]
     before[by[1:][same]] = by[:-1][same]
     ends_string = bwt == stop
     found = np.zeros(n + 1, bool)
     found[[0, n]] = True
+    del by, same
     lo, hi = np.array([0]), np.array([n])
     for level in range(depth):
         size = hi - lo
-        own = np.repeat(np.arange(len(lo)), size)
-        at = np.arange(len(own)) + np.repeat(lo - (np.cumsum(size) - size), size)
+        own = np.repeat(np.arange(len(lo), dtype=np.int32), size)
+        at = np.arange(len(own), dtype=np.int32) + np.repeat((lo - (np.cumsum(size) - size)).astype(np.int32), size)
         if level:
             go = ~ends_string[at]
             own, at = own[go], at[go]
         is_first, is_last = before[at] < lo[own], after[at] >= hi[own]
         # of each interval, the symbols' first and last occurrences, in the order of symbols
-        a = np.sort(own[is_first] * (n + 1) + last_first[at[is_first]]) % (n + 1)
-        b = np.sort(own[is_last] * (n + 1) + last_first[at[is_last]]) % (n + 1) + 1
+        a = np.sort(own[is_first].astype(np.int64) * (n + 1) + last_first[at[is_first]]) % (n + 1)
+        b = np.sort(own[is_last].astype(np.int64) * (n + 1) + last_first[at[is_last]]) % (n + 1) + 1
         fresh = ~found[b]
         lo, hi = a[fresh], b[fresh]
         found[hi] = True
@@ -153,12 +156,12 @@ def repeated_windows(segments: list[bytes], counts: np.ndarray, length: int = LE
     sizes = np.array([len(x) for x in segments], np.int64)
     raw = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
     starts = np.cumsum(sizes + 1) - sizes - 1
-    code = np.zeros(256, np.int64)
+    code = np.zeros(256, np.int16)
     body = np.ones(len(raw), bool)
     body[starts + sizes] = False
     used = np.unique(raw[body])
     code[used] = np.arange(1, len(used) + 1)
-    s = np.where(body, code[raw], 0)
+    s = np.where(body, code[raw], np.int16(0))
     order = suffix_order(s, length)
     found = common_prefix_bounds(s, order, length, 0)
     weight = np.zeros(len(s), np.int64)
@@ -167,7 +170,7 @@ def repeated_windows(segments: list[bytes], counts: np.ndarray, length: int = LE
     np.add.at(edge, starts, counts)
     np.add.at(edge, starts + windows, -counts)
     weight = np.cumsum(edge[:-1])
-    group = np.cumsum(found[:-1]) - 1
+    group = np.cumsum(found[:-1], dtype=np.int32) - 1
     total = np.bincount(group, weights=weight[order])
     again = np.zeros(len(s), bool)
     again[order] = total[group] >= 2
@@ -186,8 +189,8 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # Bits of the filter of shared anchors: a fixed size. It only thins out what is exchanged; the exact
 # counts decide, so a filter too full for its input costs time and changes nothing.
 FILTER_BITS = 26
-BLOCK_BYTES = 1 << 20  # segments judged together
-HOT = 4096  # different segments of one anchor beyond which its windows are counted one by one
+BLOCK_BYTES = 3 << 18  # segments judged together; an anchor with a quarter of it is judged alone
+HOT = 3000  # different segments of one anchor beyond which its windows are counted one by one
 
 
 def _spans(batches, gram: int):
@@ -199,16 +202,16 @@ def _spans(batches, gram: int):
 
 
 def _shared_filter(base: DataFrame, length: int, gram: int) -> np.ndarray:
-    """A bit for each anchor hash (its leading bits) that occurs twice or more."""
+    """A bit for each anchor hash that occurs twice or more, by its last bits:
+    anchors are least hashes, so their leading bits crowd near zero."""
     def count(batches):
         for _, _, data, off in _spans(batches, gram):
             h, n = np.unique(anchors(data, off, length, gram)[4], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    bit = F.shiftrightunsigned("h", 64 - FILTER_BITS)
     words = (base.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-             .groupBy((F.shiftright(bit, 6)).alias("w")).agg(F.bit_or(F.expr(
-                 f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - FILTER_BITS}) & 63 AS INT))")).alias("bits"))
+             .groupBy(F.expr(f"shiftright(h & {(1 << FILTER_BITS) - 1}L, 6)").alias("w"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("bits"))
              .toArrow())  # 2 ** (FILTER_BITS - 6) rows at the most
     table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     table[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
@@ -239,10 +242,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     shared = spark.sparkContext.broadcast(_shared_filter(rows, length, gram))
 
     def find(batches):
-        table, drop = shared.value, np.uint64(64 - FILTER_BITS)
+        table, mask = shared.value, np.uint64((1 << FILTER_BITS) - 1)
         for batch, first, data, off in _spans(batches, gram):
             doc, _, lo, hi, h = anchors(data, off, length, gram)
-            bit = h >> drop
+            bit = h & mask
             sel = np.flatnonzero((table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
             doc, lo, hi, h = doc[sel], lo[sel], hi[sel], h[sel]
             raw = data.tobytes()
@@ -261,25 +264,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     total = heads.agg(F.sum("bytes")).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     # bytes of one copy of every segment, by the documents that hold them
-    wanted = (segs.join(heads.where(F.col("different") <= HOT).select("h"), "h")
+    block = F.when(F.col("bytes") > BLOCK_BYTES // 4, F.col("h")).otherwise(F.pmod(F.xxhash64("h"), F.lit(blocks)))
+    wanted = (segs.join(heads.where(F.col("different") <= HOT).select("h", block.alias("block")), "h")
               .groupBy(F.col("at.__row").alias("r"))
-              .agg(F.collect_list(F.struct("at.lo", "at.span", "h", "seg", "n")).alias("want")))
+              .agg(F.collect_list(F.struct("at.lo", "at.span", "h", "seg", "n", "block")).alias("want")))
 
     def cut(batches):
         for batch in batches:
             out = []
             for text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8")
-                out += [(w["h"], w["seg"], w["n"], raw[w["lo"]:w["lo"] + w["span"] + length]) for w in want]
+                out += [(w["block"], w["h"], w["seg"], w["n"], raw[w["lo"]:w["lo"] + w["span"] + length]) for w in want]
             if out:
-                h, seg, n, raw = zip(*out, strict=True)
+                *numbers, raw = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h, pa.int64()), pa.array(seg, pa.int64()), pa.array(n, pa.int64()),
-                     pa.array(raw, pa.binary())], ["h", "seg", "n", "bytes"])
+                    [*[pa.array(x, pa.int64()) for x in numbers], pa.array(raw, pa.binary())],
+                    ["block", "h", "seg", "n", "bytes"])
 
     pieces = (rows.join(wanted, F.col("__row") == F.col("r")).select("__text", "want")
-              .mapInArrow(cut, "h long, seg long, n long, bytes binary")
-              .withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks))))
+              .mapInArrow(cut, "block long, h long, seg long, n long, bytes binary"))
 
     def judge(table: pa.Table) -> pa.Table:
         h, seg, n = (table[c].to_numpy() for c in ("h", "seg", "n"))
