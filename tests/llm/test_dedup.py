@@ -146,3 +146,22 @@ def test_chain_of_links_is_one_class(spark):
             base[(k * 17 + j * 11) % 200] = f"new{k}-{j}"
     rows = probminhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id: r.class_id for r in rows} == brute_classes(docs)
+
+
+def test_open_pairs_in_blocks(spark, monkeypatch):
+    """One text edited heavily: most copies are too far from the hub, some near each other; the
+    blocks find every link that brute force finds."""
+    monkeypatch.setattr(probminhash, "BLOCK", 7)
+    rnd = random.Random(21)
+    words = [f"w{i}" for i in range(400)]
+    base = [rnd.choice(words) for _ in range(150)]
+    docs = []
+    for k in range(60):
+        text = list(base)
+        for i in rnd.sample(range(150), rnd.choice([0, 2, 5, 7, 9])):
+            text[i] = f"x{k if k % 4 else k - 1}-{i}"  # neighbours share some edits
+        docs.append((k, " ".join(text)))
+    rows = probminhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = brute_classes(docs)
+    assert len(set(want.values())) > 5
+    assert {r.doc_id: r.class_id for r in rows} == want
