@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +68,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package: Python stages import it there. Once a
+    session; a deployment that installs the package does not need it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tagtriage_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="tagtriage-zip-")  # on the driver only: Spark serves it from there
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "tagtriage"), "zip", root, "tagtriage"))
+    sc._tagtriage_shipped = True
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder.
 
