@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagtriage.functions import text as tx
@@ -21,7 +21,7 @@ from tagtriage.operators.ensemble import binarise, confident, override, vote_ave
 from tagtriage.operators.evaluate import prf, roc_auc, score_models
 from tagtriage.operators.features import social_features
 from tagtriage.operators.sampling import balance, kfold, split
-from tagtriage.session import cut_lineage, parallel_map
+from tagtriage.session import current_session, cut_lineage, parallel_map
 from tagtriage.sources.dicts import save_dict
 from tagtriage.sources.models import ModelRegistry, save_model
 
@@ -174,7 +174,7 @@ def label_and_score(df: DataFrame, det: Detectors, mode: str = "stacking") -> Da
 
 def learner_weights(det: Detectors, day=None) -> DataFrame:
     """Meta-model feature importances as (day, learner, weight)."""
-    spark = SparkSession.getActiveSession()
+    spark = current_session()
     imp = det.meta.stages[-1].featureImportances.toArray().tolist()
     names = ["Social Classifier", "User Profile Classifier", "Tweet Text Classifier"]
     return spark.createDataFrame([(str(day), n, float(w)) for n, w in zip(names, imp)],

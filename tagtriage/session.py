@@ -68,6 +68,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def current_session() -> SparkSession:
+    """The session of this thread, or the application's: a streaming batch runs
+    in a thread of its own."""
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package: Python stages import it there. Once a
     session; a deployment that installs the package does not need it."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
+from tagtriage.session import current_session
 from tagtriage.sources.dicts import USER_LIST_SCHEMA, WORD_TABLE_SCHEMA, load_dict
 from tagtriage.sources.storage import children, exists, latest_version, mark_ready
 
@@ -15,14 +16,14 @@ def save_model(model, path: str, version: str | None = None) -> str:
     target = f"{path}/v={version}" if version else path
     model.write().overwrite().save(target)
     if version:
-        mark_ready(SparkSession.getActiveSession(), target)
+        mark_ready(current_session(), target)
     return target
 
 
 def load_model(path: str, cls=PipelineModel):
     """Load a fitted pipeline, or None when there is none. A model that is
     there but can't be read is an error."""
-    return cls.load(path) if exists(SparkSession.getActiveSession(), path) else None
+    return cls.load(path) if exists(current_session(), path) else None
 
 
 class ModelRegistry:
