@@ -2,7 +2,8 @@
 
 Everything here is a built-in Spark SQL function (regexp_replace, split,
 transform, filter, element_at on a literal map ...), so whole normalisation
-chains fuse into one whole-stage-codegen projection and never leave the JVM.
+chains are one projection that never leaves the JVM; the lambdas over arrays are
+interpreted there, the rest is generated code.
 Patterns are written so Java regex and RE2 agree: explicit Unicode classes,
 no look-behind.
 """
