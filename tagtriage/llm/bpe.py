@@ -183,13 +183,16 @@ def ragged(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
     """flat[starts[0]:starts[0] + lens[0]], then the next, laid end to end."""
     ends = np.cumsum(lens)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts - (ends - lens), lens) + np.arange(total)]
+    kind = np.int32 if len(flat) < 1 << 31 and total < 1 << 31 else np.int64
+    at = np.repeat((starts - (ends - lens)).astype(kind), lens)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
 
 
 class Vocabulary:
     """Merge ranks, and a bounded cache of merged slices."""
 
-    CACHE, LONG, NONE = 400_000, 48, np.int64(1 << 62)
+    CACHE, LONG, NONE = 150_000, 48, np.int64(1 << 62)
 
     def __init__(self, path: str):
         self.ranks = {}
@@ -374,7 +377,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 # Bytes of text that a worker lays end to end, and pre-tokens merged at a time
 # (longer texts go through in several steps).
-SPAN_BYTES, CHUNK = 2 << 20, 400_000
+SPAN_BYTES, CHUNK = 1 << 20, 200_000
 
 
 def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -459,7 +462,7 @@ def _ids(voc, data, off):
             pa.array(ids, pa.list_(pa.int32()))]
 
 
-DECODE = 1 << 20  # ids decoded at a time
+DECODE = 1 << 18  # ids decoded at a time
 
 
 def _digests(voc, data, off, with_ids=False):

@@ -30,7 +30,7 @@ BANDS, ROWS = 32, 5
 # Pairs of a bucket that its hub leaves open are compared by sketches of 512 registers of 8 bits, in
 # blocks of so many nodes. A pair at 0.8 agrees in 0.72 of them but for a probability of 3e-6.
 SKETCH, SLACK, BLOCK = 512, 0.08, 1024
-CACHE = 400_000
+CACHE = 150_000
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 

@@ -31,6 +31,8 @@ MIN_DOCS, MIN_Z = 4, 4.5
 WORD = re.compile(r"\w+")
 DOUBLED = re.compile(r"([^\w\s])\1")
 SYMBOLS = re.compile(r"[^\w\s.,;:'\"()-]")
+# Words whose weight a worker keeps.
+CACHE = 150_000
 # Letters of a word's start that weigh beside the word: unseen words share them.
 STEM = 4
 
@@ -88,7 +90,7 @@ class OrdinalModel:
             for w in set(words):
                 v = cache.get(w)
                 if v is None:
-                    if len(cache) > 500_000:
+                    if len(cache) > CACHE:
                         cache.clear()
                     cache[w] = v = sum(known.get(slot(f), 0.0) for f in word_features(w))
                 parts.append(v)

@@ -25,7 +25,7 @@ class Automaton:
     word counts as b" " + its bytes, so that pieces with a leading space are
     word starts and all others go on."""
 
-    CACHE, LONG = 500_000, 64
+    CACHE, LONG = 200_000, 64
 
     def __init__(self, pieces: list[bytes]):
         self.step: dict[int, int] = {}
