@@ -15,6 +15,3 @@ def spark():
                     extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tt-ckpt-")})
     yield s
     s.stop()
-
-
-SMALL = "/root/testdata/sf0.001"

@@ -12,7 +12,7 @@ import __spark_entry__ as E  # noqa: E402
 from check_oracle import digest  # noqa: E402
 from tagtriage.sources.tables import TABLES  # noqa: E402
 
-from conftest import SMALL  # noqa: E402
+from core_data import SMALL  # noqa: E402
 
 SQL = E.oracle_sql()
 QS = E.queries()

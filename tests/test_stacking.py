@@ -6,7 +6,7 @@ from tagtriage.operators import stacking as stk
 from tagtriage.operators.sampling import split
 from tagtriage.plans import q_ml
 
-from conftest import SMALL
+from core_data import SMALL
 
 SETTINGS = stk.Settings(rf_trees=5, meta_rounds=5, folds=2, parallelism=2)
 
