@@ -166,11 +166,13 @@ def _ordered(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
-def _open_pairs(placed: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def _open_pairs(placed: DataFrame, texts: DataFrame, bands: DataFrame, least: float) -> DataFrame:
     """(a, b) of nodes that share a bucket, lie in different components, and may
-    reach ``least`` by their sketches. placed: (key, node, root, n). A bucket of n
-    nodes is cut into blocks by a hash of the node; each pair of blocks is one
-    task's group."""
+    reach ``least`` by their sketches. placed: (key, node, root, n); bands: (node,
+    bands). A bucket of n nodes is cut into blocks by a hash of the node; each
+    pair of blocks is one task's group. Of the buckets that a pair shares, the
+    one of its first common band makes the pair: it holds both nodes, in
+    different components, so it is open too."""
     def sketch(batches):
         cache: dict[str, int] = {}
         for batch in batches:
@@ -185,17 +187,19 @@ def _open_pairs(placed: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     nodes = placed.select("node").distinct()
     sketches = store(texts.join(nodes, "node").select("node", "text").mapInArrow(sketch, "node long, sketch binary"), "sketches")
+    sketches = store(sketches.join(bands, "node"), "sketches-bands")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     rows = (placed.withColumn("own", own).join(sketches, "node")
             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node",
-                    "root", "sketch"))
+                    "root", "sketch", "bands"))
 
     def compare(t: pa.Table) -> pa.Table:
         node, root, own = (t[c].to_numpy() for c in ("node", "root", "own"))
         sk = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(node), SKETCH)
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        band = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
+        key, i, j = t["key"][0].as_py(), t["i"][0].as_py(), t["j"][0].as_py()
         left, right = (np.arange(len(node)),) * 2 if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
         # of the agreeing registers, one in 256 of the others agrees by chance
         enough = SKETCH * (least - SLACK + (1 - least + SLACK) / 256)
@@ -204,6 +208,7 @@ def _open_pairs(placed: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             y = right[(root[right] != root[x]) & (node[right] > node[x])] if i == j else right[root[right] != root[x]]
             if len(y):
                 y = y[(sk[y] == sk[x]).sum(1) >= enough]
+                y = y[band[x][(band[y] == band[x]).argmax(1)] == key]
                 a.append(np.full(len(y), node[x]))
                 b.append(node[y])
         a = np.concatenate(a) if a else np.zeros(0, np.int64)
@@ -276,7 +281,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id
     placed = store(hits.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
     several = store(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
                     .where("lo < hi").select("key", "n"), "several")
-    found = _open_pairs(placed.join(several, "key"), texts, least)
+    found = _open_pairs(placed.join(several, "key"), texts, nodes.select("node", "bands"), least)
     found = store(found.distinct().join(pairs, ["a", "b"], "left_anti"), "open-pairs")
     more = store(_verify(found, texts, least), "links")
     if more.limit(1).count():
