@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from tagtriage.llm import bpe, fingerprint, line_dedup, mixing, probminhash, quality, shard, suffix_dedup, token_counts, topk
+from tagtriage.llm import bpe, conversation_trie, fingerprint, line_dedup, mixing, probminhash, quality, shard, suffix_dedup, token_counts, topk, warc
 from tagtriage.sources.tables import table
 
 Q: dict = {}
@@ -120,3 +120,49 @@ Q["op9_quality"] = (_op9, None)
 
 # ---- 10 fingerprints
 Q["op10_fingerprints"] = (lambda s, d: fingerprint.fingerprints(_docs(s, d, "doc_id", "text")), None)
+
+
+# ---- 11 prefix trie of conversations: nodes are distinct beginnings of rebuilt conversations
+Q["op11_conversation_trie"] = (
+    lambda s, d: conversation_trie.prefix_trie(table(s, d, "conversations")),
+    r"""WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn,
+    md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS tid
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, tid) AS s FROM t GROUP BY conv_id),
+crc AS (
+  SELECT conv_id, s, list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: unicode(x)::BIGINT)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))) AS c
+  FROM own),
+headed AS (SELECT conv_id, s, xor(c, 4294967295) % 4 AS h FROM crc),
+built AS (
+  SELECT a.conv_id, list_concat(coalesce(b.s, [])[1:a.h], a.s[a.h + 1:]) AS s
+  FROM headed a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 20),
+steps AS (SELECT conv_id, unnest(range(len(s) + 1)) AS depth, s FROM built),
+nodes AS (
+  SELECT s[1:depth] AS p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = depth), '') AS ends
+  FROM steps GROUP BY ALL),
+named AS (
+  SELECT *, CASE WHEN depth > 0 THEN p[1:depth - 1] END AS up,
+    CASE WHEN depth > 0 THEN len(regexp_extract_all(p[depth].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words FROM nodes),
+kids AS (SELECT up, count(*) AS n_children FROM named WHERE depth > 0 GROUP BY up),
+full_nodes AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM named n LEFT JOIN kids k ON n.p = k.up),
+paths AS (SELECT p, depth, n_convs, words, n_children, unnest(range(depth + 1)) AS d FROM full_nodes),
+below AS (
+  SELECT p[1:d] AS p, sum((n_convs - 1) * words)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM paths GROUP BY 1)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, b.saved_tokens,
+  sha256(n.ends) AS ends_sha256, n.words
+FROM full_nodes n JOIN below b ON n.p = b.p LEFT JOIN full_nodes u ON n.up = u.p""")
+
+# ---- 13 WARC: pages written as archives and read back
+Q["op13_warc"] = (
+    lambda s, d: warc.archive_pages(table(s, d, "pages")).drop("url"),
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+named AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(h, (i // 8) * 10 + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31) + 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = last OR last IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM named""")
