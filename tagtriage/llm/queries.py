@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from tagtriage.llm import bpe, conversation_trie, fingerprint, line_dedup, mixing, probminhash, quality, shard, suffix_dedup, token_counts, topk, warc
+from tagtriage.llm import bpe, conversation_trie, fingerprint, line_dedup, mixing, probminhash, quality, shard, spelling, suffix_dedup, token_counts, topk, warc
 from tagtriage.sources.tables import table
 
 Q: dict = {}
@@ -166,3 +166,42 @@ SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i
   CASE WHEN page_id = last OR last IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
 FROM named""")
+
+# ---- 12 spelling variants: the slips are found by crc32, near words by what is left without a letter
+Q["op12_spelling_variants"] = (
+    lambda s, d: spelling.spelling_variants(_docs(s, d, "doc_id", "text")),
+    """WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))) AS t),
+runs AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS r FROM documents)
+  WHERE length(r) >= 6 GROUP BY ALL),
+hashed AS (
+  SELECT w, k, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(
+      string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''),
+      lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 | (unicode(c) >> 6), 128 | (unicode(c) & 63)] END))),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS h
+  FROM runs, crc),
+words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, k FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+cuts AS (
+  SELECT word, i, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) AS v FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b FROM cuts a JOIN cuts b ON a.i = b.i AND a.v = b.v AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM cuts a JOIN words b ON a.v = b.word
+  UNION SELECT b.word, a.word FROM cuts a JOIN words b ON a.v = b.word),
+best AS (
+  SELECT p.a AS word, p.b AS other, w.n AS m, count(*) OVER (PARTITION BY p.a) AS n_near,
+    row_number() OVER (PARTITION BY p.a ORDER BY w.n DESC, p.b) AS r
+  FROM pairs p JOIN words w ON w.word = p.b),
+links AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 5 * w.n THEN b.other END AS form,
+    CASE WHEN b.m >= 5 * w.n THEN b.m END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word AND b.r = 1),
+walk AS (
+  SELECT word, word AS at FROM links
+  UNION ALL SELECT walk.word, links.form FROM walk JOIN links ON links.word = walk.at WHERE links.form IS NOT NULL)
+SELECT l.word, l.form, walk.at AS root, l.n, l.n_near, l.form_n
+FROM links l JOIN walk USING (word) JOIN links e ON e.word = walk.at AND e.form IS NULL""")
