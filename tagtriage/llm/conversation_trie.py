@@ -32,7 +32,7 @@ def running(df: DataFrame, key: list[str], order: list[Column], sums: dict[str,
     """``df`` with running totals by ``key`` along ``order``, whatever a key's size.
 
     ``sums`` maps a new column to (aggregate function, input column, how two
-    totals combine). Rows are dealt into sorted ranges of (key, order) and
+    totals combine); the function also adds up totals, so a count is a sum of ones. Rows are dealt into sorted ranges of (key, order) and
     stored with their range's number; each range adds up its own rows, and a key
     that spans ranges gets what the ranges before hold of it. That table has at
     most two rows a range, so it is broadcast."""
@@ -77,7 +77,7 @@ def rebuilt(turns: DataFrame) -> DataFrame:
     row at depth 0: the first h turns of conversation ``c - c % 20``, then c's own
     after its first h; h is crc32 of the decimal id modulo 4."""
     at = running(turns, ["conv_id"], [F.col("turn").asc_nulls_first(), F.col("tid"), F.col("words")],
-                 {"pos": (F.count, F.lit(1), _plus)}, "turns")
+                 {"pos": (F.sum, F.lit(1), _plus)}, "turns")
     sizes = store(turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("size")), "conversations")
     ids = sizes.select("conv_id", (F.crc32(F.col("conv_id").cast("string")) % HEAD).alias("h"),
                        (F.col("conv_id") - F.col("conv_id") % BLOCK).alias("base"))
@@ -98,7 +98,7 @@ def _ends(ends: DataFrame) -> DataFrame:
     """(key, weight, least, ends_sha256) of every distinct sequence. Ids are ranked
     within their sequence and joined in chunks of ``CHUNK``; a digest over
     several chunks streams them in order, a chunk at a time."""
-    ranked = running(ends, _KEY, [F.col("conv_id")], {"rank": (F.count, F.lit(1), _plus)}, "ends")
+    ranked = running(ends, _KEY, [F.col("conv_id")], {"rank": (F.sum, F.lit(1), _plus)}, "ends")
     chunks = store(ranked.groupBy(*_KEY, F.floor((F.col("rank") - 1) / CHUNK).alias("chunk"))
                    .agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("least"),
                         F.array_join(F.transform(F.array_sort(F.collect_list("conv_id")), lambda c: c.cast("string")), ",").alias("ids")),
