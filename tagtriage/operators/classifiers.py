@@ -12,8 +12,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (LogisticRegression, RandomForestClassifier,
-                                       GBTClassifier)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, HashingTF, IDF, Normalizer,
                                 RegexTokenizer, StopWordsRemover, VectorAssembler)
@@ -22,6 +21,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagtriage.operators.boosting import BoostedGrid, fit_boosted
 from tagtriage.operators.features import SOCIAL_PASS, SOCIAL_SCALED, social_features
 from tagtriage.session import cut_lineage, parallel_map
 
@@ -311,11 +311,6 @@ def cluster_terms(km, vec: PipelineModel, n: int = 25) -> DataFrame:
 
 def fit_meta(oof: DataFrame, cols=("rf_label", "ud_label", "txt_label"), label: str = "label",
              rounds: int = 1000, depth: int = 3, subsample: float = 0.5, rate: float = 0.005,
-             seed: int = 222) -> PipelineModel:
-    """H9: boosted-tree meta learner (Spark offers logistic loss only)."""
-    gbt = (GBTClassifier(featuresCol="_meta_x", labelCol=label, maxIter=rounds, maxDepth=depth,
-                         subsamplingRate=subsample, stepSize=rate, seed=seed,
-                         predictionCol="_y_meta")
-           .setProbabilityCol("_p_meta").setRawPredictionCol("_r_meta"))
-    return Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="_meta_x"),
-                            gbt]).fit(oof)
+             seed: int = 222) -> BoostedGrid:
+    """H9: meta learner, boosted trees with exponential loss on a bounded grid of scores."""
+    return fit_boosted(oof, list(cols), label, rounds, depth, subsample, rate, seed)

@@ -23,7 +23,7 @@ from tagtriage.operators.features import social_features
 from tagtriage.operators.sampling import balance, kfold, split
 from tagtriage.session import current_session, cut_lineage, parallel_map
 from tagtriage.sources.dicts import save_dict
-from tagtriage.sources.models import ModelRegistry, save_model
+from tagtriage.sources.models import ModelRegistry, save_grid, save_model
 
 BASE = ("rf_label", "ud_label", "txt_label")
 MODES = ("stacking", "majority", "average")
@@ -46,17 +46,15 @@ class Detectors:
 
 @dataclass
 class Settings:
-    """Sizes of the fits. ``meta_rounds`` x ``meta_rate`` is the total step of the
-    boosted meta learner, 5 as in 1000 rounds of 0.005; Spark runs the rounds
-    one after the other as several jobs each, hence fewer, longer ones."""
+    """Sizes of the fits."""
 
     bl_min: int = 5
     wl_min: int = 8
     word_threshold: float = 0.8
     serve_threshold: float = 0.6
     rf_trees: int = 100
-    meta_rounds: int = 20
-    meta_rate: float = 0.25
+    meta_rounds: int = 1000
+    meta_rate: float = 0.005
     folds: int = 4
     parallelism: int = 4
     seed: int = 0
@@ -108,9 +106,7 @@ def base_scores(df: DataFrame, det: Detectors, live: bool = True) -> DataFrame:
 
 def vote_stacking(df: DataFrame, meta, out: str = "result") -> DataFrame:
     """H7: meta-model probability on (rf, ud, txt), then the override."""
-    s = meta.transform(df)
-    return (s.withColumn(out, override(vector_to_array("_p_meta")[1]))
-             .drop("_meta_x", "_p_meta", "_y_meta", "_r_meta"))
+    return meta.transform(df, "_p_meta").withColumn(out, override(F.col("_p_meta"))).drop("_p_meta")
 
 
 def _fit_meta(oof: DataFrame, s: Settings):
@@ -175,9 +171,8 @@ def label_and_score(df: DataFrame, det: Detectors, mode: str = "stacking") -> Da
 def learner_weights(det: Detectors, day=None) -> DataFrame:
     """Meta-model feature importances as (day, learner, weight)."""
     spark = current_session()
-    imp = det.meta.stages[-1].featureImportances.toArray().tolist()
     names = ["Social Classifier", "User Profile Classifier", "Tweet Text Classifier"]
-    return spark.createDataFrame([(str(day), n, float(w)) for n, w in zip(names, imp)],
+    return spark.createDataFrame([(str(day), n, float(w)) for n, w in zip(names, det.meta.importances)],
                                  "day string, learner string, weight double")
 
 
@@ -260,10 +255,10 @@ def publish(det: Detectors, root: str, version: str) -> None:
         save_dict(df, f"{root}/{name}", version=version)
     parts = {"rf": det.rf, "profile": PipelineModel(stages=[*det.profile[0].stages, det.profile[1]]),
              "text": PipelineModel(stages=[*det.text[0].stages, det.text[1]])}
-    if det.meta is not None:
-        parts["meta"] = det.meta
     for name, model in parts.items():
         save_model(model, f"{root}/models/{name}", version=version)
+    if det.meta is not None:
+        save_grid(det.meta, f"{root}/models/meta", version=version)
 
 
 def from_registry(reg: ModelRegistry) -> Detectors:

@@ -10,7 +10,7 @@ the per-function parameters (a few rows per function) broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagtriage.functions import fixed
@@ -151,7 +151,8 @@ def lf_majority(L: DataFrame, items: DataFrame, id_col: str = "id") -> DataFrame
 
 def label_model(L: DataFrame, items: DataFrame, iters: int = 100, id_col: str = "id",
                 smoothing: float = 1.0, tol: float = 1e-4) -> DataFrame:
-    """Binary Dawid-Skene EM over the long label matrix.
+    """Binary Dawid-Skene EM over the long label matrix, the slower way beside
+    ``label_moments`` (which needs no rounds over the votes).
 
     E step: per item, log P(y=c) + sum of log P(vote | y=c) over its votes
     (one aggregation of L joined to the parameter table, whose size is
@@ -197,6 +198,67 @@ def label_model(L: DataFrame, items: DataFrame, iters: int = 100, id_col: str =
                     F.when(F.col("q1") > 0.5, 1).otherwise(0).alias("label"))
 
 
+def agreement(L: DataFrame) -> DataFrame:
+    """Agreement of every two functions that vote on the same items, both ways
+    round: (i, j, n, m), n items and the mean m of the product of their votes,
+    a vote being -1 or 1. Two functions that each know one class only always
+    agree or never do, so they say nothing about each other and are left out.
+
+    One pass over the votes: an item's votes meet in a self-join on the item
+    (Spark splits an item of many votes), and pairs of functions are partial sums."""
+    votes = L.select("item_id", "lf", (F.col("vote") * 2 - 1).alias("s"))
+    both = votes.groupBy("lf").agg((F.min("s") < F.max("s")).alias("both"))
+    a = votes.select("item_id", F.col("lf").alias("i"), F.col("s").alias("si"))
+    b = votes.select("item_id", F.col("lf").alias("j"), F.col("s").alias("sj"))
+    met = a.join(b, "item_id").where("i < j").groupBy("i", "j").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("si") * F.col("sj")).alias("agreed"))
+    met = (met.join(both.select(F.col("lf").alias("i"), F.col("both").alias("bi")), "i")
+              .join(both.select(F.col("lf").alias("j"), F.col("both").alias("bj")), "j").where("bi OR bj")
+              .select("i", "j", "n", (F.col("agreed") / F.col("n")).alias("m")))
+    return cut_lineage(met.unionByName(met.select(F.col("j").alias("i"), F.col("i").alias("j"), "n", "m")))
+
+
+def lf_accuracies(L: DataFrame, partners: int = 10, most: float = 0.98) -> DataFrame:
+    """Accuracy of every function from moments alone: (lf, accuracy), accuracy
+    being the mean of vote times truth, in -most..most.
+
+    Where errors of functions are independent, the agreement of i and j is
+    a_i * a_j. So each two partners j, k of i give m_ij m_ik = a_i^2 m_jk, and
+    the least-squares a_i^2 over these triplets, each weighing as its rarest
+    pair, is in closed form: sum(w m_ij m_ik m_jk) / sum(w m_jk^2). The partners
+    are the ``partners`` functions that share most items with i. The sign is that
+    of i's agreement with all others. A function in no triplet gets the value
+    that all would have if they were equally good."""
+    pairs = agreement(L)
+    top = (pairs.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "j")))
+           .where(F.col("r") <= partners).drop("r"))
+    j, k = (top.select("i", F.col("j").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}")) for x in ("j", "k"))
+    across = pairs.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("n").alias("n"), F.col("m").alias("m"))
+    w = F.least("nj", "nk", "n")
+    square = (j.join(k, "i").where("j < k").join(across, ["j", "k"]).groupBy(F.col("i").alias("lf"))
+              .agg(F.try_divide(F.sum(w * F.col("mj") * F.col("mk") * F.col("m")), F.sum(w * F.col("m") * F.col("m"))).alias("square")))
+    sign = pairs.groupBy(F.col("i").alias("lf")).agg(F.when(F.sum(F.col("n") * F.col("m")) < 0, -1.0).otherwise(1.0).alias("sign"))
+    equal = pairs.agg(F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n")).alias("equal"))
+    value = F.sqrt(F.least(F.greatest(F.coalesce("square", "equal", F.lit(0.0)), F.lit(0.0)), F.lit(most * most)))
+    return (L.select("lf").distinct().join(square, "lf", "left").join(sign, "lf", "left").crossJoin(F.broadcast(equal))  # one row
+            .select("lf", (F.coalesce("sign", F.lit(1.0)) * value).alias("accuracy")))
+
+
+def label_moments(L: DataFrame, items: DataFrame, id_col: str = "id", partners: int = 10) -> DataFrame:
+    """Label model by moments. The functions' accuracies come from their
+    agreements (``lf_accuracies``: one pass over the votes, then tables of
+    functions), classes being equally likely; an item's log odds are the sum of
+    its votes' log((1 + a) / (1 - a)). -> (item_id, p1, label); an item without
+    votes, or with even odds, has p1 = 0.5 and label 0."""
+    L = cut_lineage(L.where(F.col("vote").isin(0, 1)).select("item_id", "lf", "vote"))
+    acc = cut_lineage(lf_accuracies(L, partners))
+    weight = acc.select("lf", F.log((1 + F.col("accuracy")) / (1 - F.col("accuracy"))).alias("w"))
+    odds = L.join(weight, "lf").groupBy("item_id").agg(F.round(F.sum((F.col("vote") * 2 - 1) * F.col("w")), 9).alias("odds"))
+    odd = F.coalesce("odds", F.lit(0.0))
+    return (items.select(F.col(id_col).alias("item_id")).distinct().join(odds, "item_id", "left")
+            .select("item_id", (1 / (1 + F.exp(-odd))).alias("p1"), F.when(odd > 0, 1).otherwise(0).alias("label")))
+
+
 def trust_labels(train_votes: DataFrame, train_labels: DataFrame, test_votes: DataFrame,
                  item: str = "item_id", label: str = "avg_answer") -> DataFrame:
     """Logistic regression on who-voted-what features predicts an item's
@@ -226,7 +288,7 @@ def trust_labels(train_votes: DataFrame, train_labels: DataFrame, test_votes: Da
 
 
 def denoise(train: DataFrame, votes: DataFrame, val: DataFrame, val_votes: DataFrame,
-            iters: int = 100, id_col: str = "id", text: str = "fulltext") -> DataFrame:
+            id_col: str = "id", text: str = "fulltext") -> DataFrame:
     """Drop validation ids from training, add the trust label, apply
     keyword + worker (+ trust) functions, fit the label model, append the
     validation rows with their gold labels. -> (id, label, source)."""
@@ -241,6 +303,6 @@ def denoise(train: DataFrame, votes: DataFrame, val: DataFrame, val_votes: DataF
                        F.col("ann_label").alias("vote"))
                .filter(F.col("vote").isin(0, 1)))
     L = kw.unionByName(wk).unionByName(tl)
-    lm = label_model(L, tr, iters, id_col)
+    lm = label_moments(L, tr, id_col)
     out = lm.select(F.col("item_id").alias(id_col), "label", F.lit("label_model").alias("source"))
     return out.unionByName(val.select(id_col, "label", F.lit("validation").alias("source")))

@@ -10,6 +10,7 @@ from pyspark.sql.functions import pandas_udf
 from tagtriage.operators import evaluate as ev
 from tagtriage.operators import weak
 from tagtriage.plans import fixtures as fx
+from tagtriage.session import cut_lineage
 from tagtriage.plans.util import rounded, with_ctes
 from tagtriage.sources.tables import table
 
@@ -325,10 +326,32 @@ FROM doc_messages d LEFT JOIN c ON d.id = c.item_id""")
 
 
 def _l13(s, d):
-    return weak.label_model(_lmatrix(s, d), fx.doc_messages(s, d)).select("item_id", "label")
-
-
-Q["L13_label_model"] = (_l13, None)
+    return rounded(weak.label_moments(_lmatrix(s, d), fx.doc_messages(s, d)))
+
+
+MOMENTS_SQL = """s AS (SELECT item_id, lf, vote * 2 - 1 AS s FROM lm WHERE vote IN (0, 1)),
+two AS (SELECT lf, min(s) < max(s) AS two FROM s GROUP BY lf),
+half AS (
+  SELECT a.lf AS i, b.lf AS j, count(*) AS n, sum(a.s * b.s) / count(*) AS m FROM s a JOIN s b ON a.item_id = b.item_id AND a.lf < b.lf
+  WHERE (SELECT two FROM two WHERE lf = a.lf) OR (SELECT two FROM two WHERE lf = b.lf) GROUP BY a.lf, b.lf),
+pairs AS (SELECT * FROM half UNION ALL SELECT j, i, n, m FROM half),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY n DESC, j) AS r FROM pairs) WHERE r <= 10),
+squares AS (
+  SELECT a.i AS lf, sum(least(a.n, b.n, c.n) * a.m * b.m * c.m) / sum(least(a.n, b.n, c.n) * c.m * c.m) AS square
+  FROM top a JOIN top b ON a.i = b.i AND a.j < b.j JOIN pairs c ON c.i = a.j AND c.j = b.j GROUP BY a.i),
+signs AS (SELECT i AS lf, CASE WHEN sum(n * m) < 0 THEN -1 ELSE 1 END AS sign FROM pairs GROUP BY i),
+acc AS (
+  SELECT lf, coalesce(sign, 1) * sqrt(least(greatest(coalesce(CASE WHEN isnan(square) THEN NULL ELSE square END,
+    (SELECT sum(n * m) / sum(n) FROM pairs), 0), 0), 0.98 * 0.98)) AS accuracy
+  FROM (SELECT DISTINCT lf FROM s) LEFT JOIN squares USING (lf) LEFT JOIN signs USING (lf))"""
+
+Q["L13_label_model"] = (_l13, with_ctes(*LMATRIX_SQL, MOMENTS_SQL) + """
+, odds AS (SELECT item_id, round(sum(s * ln((1 + accuracy) / (1 - accuracy))), 9) AS odds FROM s JOIN acc USING (lf) GROUP BY item_id)
+SELECT d.id AS item_id, round(1 / (1 + exp(-coalesce(odds, 0))), 6) AS p1, CASE WHEN coalesce(odds, 0) > 0 THEN 1 ELSE 0 END AS label
+FROM doc_messages d LEFT JOIN odds ON odds.item_id = d.id""")
+Q["L13_lf_accuracies"] = (
+    lambda s, d: rounded(weak.lf_accuracies(cut_lineage(_lmatrix(s, d)))),
+    with_ctes(*LMATRIX_SQL, MOMENTS_SQL) + "SELECT lf, round(accuracy, 6) + 0 AS accuracy FROM acc")
 
 
 def _l13_sql(rounds=2):

@@ -229,6 +229,43 @@ SELECT id, user_id, lang, CAST(id % 2 AS INTEGER) AS label FROM fixed WHERE crea
 UNION ALL SELECT id, user_id, lang, label FROM ranked, least WHERE rn <= m""")
 
 
+BOOST_EDGES = [k / 10 for k in range(1, 10)]
+
+
+def _boost_label(rf, ud, i):
+    return F.when(rf + ud / 2 + (i % 3) / 3.0 > 1.1, 1).otherwise(0)
+
+
+def _h9(s, d):
+    """Three rounds of one-cut trees on all rows, scored on the same rows."""
+    from tagtriage.operators.boosting import fit_boosted
+    m = _fixed_scores(s, d).withColumn("label", _boost_label(F.col("rf_label"), F.col("ud_label"), F.col("id")))
+    model = fit_boosted(m, list(stk.BASE), rounds=3, depth=1, subsample=1.0, rate=0.3, edges=[BOOST_EDGES] * 3)
+    return rounded(model.transform(m).select("id", "p_meta"))
+
+
+def _h9_sql(rounds=3, rate=0.3):
+    ctes = ["""r0 AS (SELECT id, rf_label, ud_label, txt_label, y, 0.5 * ln(avg(y) OVER () / (1 - avg(y) OVER ())) AS f FROM (
+  SELECT *, CASE WHEN rf_label + ud_label / 2 + (id % 3) / 3.0 > 1.1 THEN 1 ELSE 0 END AS y FROM fixed))""",
+            f"edges AS (SELECT unnest({BOOST_EDGES}) AS edge)"]
+    for k in range(1, rounds + 1):
+        ctes.append(f"""x{k} AS (
+  SELECT id, (2 * y - 1) * exp(-(2 * y - 1) * f) AS t, unnest([{{'a': 0, 'x': rf_label}}, {{'a': 1, 'x': ud_label}},
+    {{'a': 2, 'x': txt_label}}], recursive := true) FROM r{k - 1}),
+g{k} AS (
+  SELECT a, edge, count(*) FILTER (x <= edge) AS wl, count(*) FILTER (x > edge) AS wr, sum(t) FILTER (x <= edge) AS tl,
+    sum(t) FILTER (x > edge) AS tr FROM x{k}, edges GROUP BY a, edge),
+b{k} AS (SELECT a, edge FROM g{k} WHERE wl > 0 AND wr > 0 ORDER BY wl * wr / (wl + wr) * pow(tl / wl - tr / wr, 2) DESC, a, edge LIMIT 1),
+s{k} AS (SELECT id, t, x > edge AS side FROM x{k} JOIN b{k} USING (a)),
+r{k} AS (
+  SELECT id, rf_label, ud_label, txt_label, y, f + {rate} * (sum(t) OVER (PARTITION BY side) / sum(abs(t)) OVER (PARTITION BY side)) AS f
+  FROM r{k - 1} JOIN s{k} USING (id))""")
+    return with_ctes(fx.DOC_MESSAGES_SQL, FIXED_SCORES_SQL, *ctes) + f"SELECT id, round(1 / (1 + exp(-2 * f)), 6) AS p_meta FROM r{rounds}"
+
+
+Q["H9_boost_rounds"] = (_h9, _h9_sql())
+
+
 def _h11(s, d):
     """The three votes over fixed scores, one row per document."""
     from tagtriage.operators.ensemble import vote_average, vote_majority, vote_weighted

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
+from tagtriage.operators.boosting import BoostedGrid
 from tagtriage.session import current_session
 from tagtriage.sources.dicts import USER_LIST_SCHEMA, WORD_TABLE_SCHEMA, load_dict
 from tagtriage.sources.storage import children, exists, latest_version, mark_ready
@@ -20,10 +21,22 @@ def save_model(model, path: str, version: str | None = None) -> str:
     return target
 
 
+def save_grid(grid: BoostedGrid, path: str, version: str | None = None) -> str:
+    """A11 for a boosted meta learner: one row of Parquet, under the same layout."""
+    target = f"{path}/v={version}" if version else path
+    grid.save(target)
+    if version:
+        mark_ready(current_session(), target)
+    return target
+
+
 def load_model(path: str, cls=PipelineModel):
-    """Load a fitted pipeline, or None when there is none. A model that is
-    there but can't be read is an error."""
-    return cls.load(path) if exists(current_session(), path) else None
+    """Load a fitted pipeline (or boosted grid), or None when there is none.
+    A model that is there but can't be read is an error."""
+    spark = current_session()
+    if not exists(spark, path):
+        return None
+    return cls.load(path) if exists(spark, f"{path}/metadata") else BoostedGrid.load(spark, path)
 
 
 class ModelRegistry:

@@ -26,6 +26,38 @@ def test_label_model_recovers_planted_truth(spark):
     assert hits >= maj_hits
 
 
+def test_moments_recover_accuracies(spark):
+    rnd = random.Random(11)
+    acc = {"a": 0.95, "b": 0.85, "c": 0.75, "d": 0.65, "wrong": 0.2}
+    rows, truth = [], {}
+    for i in range(4000):
+        truth[i] = y = rnd.randint(0, 1)
+        rows += [(i, lf, y if rnd.random() < p else 1 - y) for lf, p in acc.items() if rnd.random() < 0.6]
+        if rnd.random() < (0.4 if y else 0.05):   # knows one class only
+            rows.append((i, "word", 1))
+    rows += [(9000 + i, "lonely", i % 2) for i in range(10)]
+    L = spark.createDataFrame(rows, "item_id long, lf string, vote int")
+    got = {r.lf: r.accuracy for r in weak.lf_accuracies(L).collect()}
+    for lf, p in acc.items():
+        assert abs(got[lf] - (2 * p - 1)) < 0.08, (lf, got[lf])
+    assert abs(got["word"] - (2 * 0.4 / 0.45 - 1)) < 0.12
+    assert 0 <= got["lonely"] < 1
+    items = spark.createDataFrame([(i,) for i in [*truth, 9999]], "id long")
+    out = {r.item_id: r for r in weak.label_moments(L, items).collect()}
+    maj = {r.item_id: r.label for r in weak.lf_majority(L, items).collect()}
+    hits = sum(out[i].label == y for i, y in truth.items())
+    assert hits / len(truth) > 0.85 and hits > sum(maj[i] == y for i, y in truth.items())
+    assert (out[9999].p1, out[9999].label) == (0.5, 0)
+
+
+def test_moments_of_few_votes(spark):
+    schema = "item_id long, lf string, vote int"
+    items = spark.createDataFrame([(1,), (2,)], "id long")
+    for rows in ([], [(1, "a", 1)], [(1, "a", 1), (1, "b", 1)], [(1, "a", 0), (1, "b", 1), (2, "a", 1), (2, "b", -1)]):
+        out = weak.label_moments(spark.createDataFrame(rows, schema), items).collect()
+        assert len(out) == 2 and all(0 <= r.p1 <= 1 for r in out), rows
+
+
 def test_majority_tie_abstains(spark):
     L = spark.createDataFrame([(1, "a", 1), (1, "b", 0), (2, "a", 1)], "item_id long, lf string, vote int")
     items = spark.createDataFrame([(1,), (2,), (3,)], "id long")
