@@ -134,6 +134,20 @@ Q["M19_initial_subset"] = (_q(_initial), feature_greedy_sql(
   ON fe.d = cur0.d AND fe.id IN ({INITIAL_IDS}) GROUP BY cur0.d)"""))
 
 
+def _outside(s, d):
+    """M19 with starting rows that are not in the table: the mean vector of each label."""
+    e = emb(s, d, "pos")
+    mean = F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda r: r["x"])
+    init = (e.select("label", F.posexplode("features").alias("d", "x")).groupBy("label", "d").agg(F.avg("x").alias("x"))
+            .groupBy("label").agg(mean.alias("features")).select(F.col("label").cast("long").alias("id"), "features"))
+    return sel.select(e, sel.FeatureBased("sqrt"), K, initial=init)
+
+
+Q["M19_outside_rows"] = (_q(_outside), feature_greedy_sql(
+    "pos", "sqrt", init_cur="""means AS (SELECT label, d, avg(x) AS x FROM fe JOIN embeddings ON vec_id = id GROUP BY label, d),
+curI AS (SELECT d, SUM(x) AS v FROM means GROUP BY d)"""))
+
+
 def _with_source(s, d):
     e = emb(s, d, "pos")
     return sel.with_source(sel.select(e, sel.FeatureBased("sqrt"), K), e, cols=["label"])
@@ -350,3 +364,35 @@ cur0 AS (SELECT vec_id AS j, 0.0 AS c FROM embeddings)"""]
 Q["M2_knn_facility"] = (
     _q(lambda s, d: sel.select(emb(s, d, "raw"), sel.Facility(metric="euclidean", n_neighbors=10), K, check=False)),
     knn_facility_sql())
+
+
+def _edges(s, d):
+    """A similarity that the caller computes: shared suppliers of two parts, over
+    the parts that share any."""
+    li = table(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    a, b = li.select(F.col("l_partkey").alias("i"), "l_suppkey"), li.select(F.col("l_partkey").alias("j"), "l_suppkey")
+    return a.join(b, "l_suppkey").groupBy("i", "j").agg(F.count(F.lit(1)).cast("double").alias("s"))
+
+
+EDGES_SQL = """li AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
+S AS (SELECT a.l_partkey AS i, b.l_partkey AS j, count(*)::DOUBLE AS s FROM li a JOIN li b USING (l_suppkey) GROUP BY 1, 2),
+cap AS (SELECT i AS j, 0.1 * sum(s) AS cap FROM S GROUP BY i),
+cur0 AS (SELECT j, 0.0 AS c FROM cap)"""
+
+
+def edge_greedy_sql(kind, k=K):
+    ctes, picks = [EDGES_SQL], []
+    for r in range(1, k + 1):
+        prev = f"cur{r - 1}"
+        new = f"greatest({prev}.c, S.s)" if kind == "facility" else f"least({prev}.c + S.s, cap.cap)"
+        cond = " AND ".join(f"S.i NOT IN (SELECT id FROM p{x})" for x in range(1, r)) or "TRUE"
+        ctes.append(f"""g{r} AS (SELECT S.i AS id, sum({new} - {prev}.c) AS gain FROM S JOIN {prev} USING (j) JOIN cap USING (j)
+  WHERE {cond} GROUP BY S.i),
+p{r} AS (SELECT id, gain FROM g{r} ORDER BY round(gain, 6) DESC, id LIMIT 1),
+cur{r} AS (SELECT {prev}.j, CASE WHEN S.s IS NULL THEN {prev}.c ELSE {new} END AS c
+  FROM {prev} JOIN cap USING (j) LEFT JOIN S ON S.j = {prev}.j AND S.i = (SELECT id FROM p{r}))""")
+        picks.append(f"SELECT id, CAST({r} AS INTEGER) AS rank, ROUND(gain, 6) AS gain FROM p{r}")
+    return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL ".join(picks)
+
+
+Q["M1_precomputed_facility"] = (_q(lambda s, d: sel.select_edges(_edges(s, d), sel.Facility(), K)), edge_greedy_sql("facility"))
