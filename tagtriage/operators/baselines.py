@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tagtriage.operators import features as fe
 from tagtriage.operators.sampling import uniform
+from tagtriage.session import cut_lineage
 
 
 def baseline_random(train: DataFrame, test: DataFrame, seed: int = 0, label: str = "label",
@@ -54,12 +55,13 @@ def baseline_topic(topic: DataFrame, general: DataFrame, test: DataFrame, text:
     """
     pseudo = (topic.select(F.lit(0).alias("pd"), F.col(text).alias("t"))
                    .unionByName(general.select(F.lit(1).alias("pd"), F.col(text).alias("t"))))
-    tc = fe.term_counts(pseudo, "t", doc="pd")
-    idf = fe.idf_table(tc, n_docs=2, doc="pd")
-    topic_top = (fe.top_terms(fe.tfidf(tc, doc="pd", idf=idf), top, doc="pd")
+    tc = cut_lineage(fe.term_counts(pseudo, "t", doc="pd"))
+    idf = cut_lineage(fe.idf_table(tc, n_docs=2, doc="pd"))
+    # a document's norm doesn't change the order of its terms
+    topic_top = (fe.top_terms(fe.tfidf(tc, doc="pd", idf=idf, normalise=False), top, doc="pd")
                    .filter(F.col("pd") == 0).select("term", F.lit(True).alias("_in_topic")))
     ttc = fe.term_counts(test, text, doc=key)
-    tv = fe.tfidf(ttc, doc=key, idf=idf)
+    tv = fe.tfidf(ttc, doc=key, idf=idf, normalise=False)
     tt = fe.top_terms(tv, top, doc=key).join(F.broadcast(topic_top), "term", "left")
     hits = tt.groupBy(key).agg(F.count("_in_topic").alias("_hits"))
     return (test.join(hits, key, "left")

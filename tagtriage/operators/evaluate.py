@@ -12,6 +12,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagtriage.operators.ranking import top_n_per_group
+
 from tagtriage.operators.ranking import running_totals
 
 
@@ -178,15 +180,12 @@ def label_conflicts(clean: DataFrame, noisy: DataFrame, id_col: str = "id",
 def first_two(votes: DataFrame, item: str = "item_id") -> DataFrame:
     """The first two answers of each item by ``pos`` -> (item, a1, a2).
 
-    Two partial aggregates (min_by) instead of sorting each item's votes, so
-    an item with a huge number of votes never lands whole in one task.
+    The two smallest positions are ranked inside salted parts of an item first,
+    so an item with a huge number of votes never lands whole in one task.
     """
-    first = votes.groupBy(item).agg(F.min("pos").alias("_p1"),
-                                    F.min_by("answer", "pos").alias("a1"))
-    rest = (votes.join(first.select(item, "_p1"), item)
-                 .filter(F.col("pos") > F.col("_p1"))
-                 .groupBy(item).agg(F.min_by("answer", "pos").alias("a2")))
-    return first.join(rest, item, "inner").select(item, "a1", "a2")
+    top = top_n_per_group(votes.select(item, "pos", "answer"), [item], [F.col("pos")], 2, out="_r")
+    two = top.groupBy(item).agg(F.min_by("answer", "_r").alias("a1"), F.max_by("answer", "_r").alias("a2"), F.count(F.lit(1)).alias("_n"))
+    return two.where("_n = 2").select(item, "a1", "a2")
 
 
 def vote_conflicts(votes: DataFrame, item: str = "item_id") -> DataFrame:

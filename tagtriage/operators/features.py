@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagtriage.functions.text import word_tokens
+from tagtriage.operators.skew import hot_join
+from tagtriage.session import cut_lineage
 
 SOCIAL_SCALED = ["user_friends_count", "user_followers_count", "retweet_count", "favorite_count"]
 SOCIAL_PASS = ["user_verified", "number_of_hashtags"]
@@ -72,20 +74,22 @@ def idf_table(tc: DataFrame, n_docs: int | None = None, doc: str = "id",
 
 
 def tfidf(tc: DataFrame, doc: str = "id", idf: DataFrame | None = None,
-          max_features: int | None = None, n_docs: int | None = None) -> DataFrame:
+          max_features: int | None = None, n_docs: int | None = None, normalise: bool = True) -> DataFrame:
     """TF-IDF with the smoothed idf, L2-normalised -> (doc, term, value).
 
     ``idf`` from a fitted corpus may be passed (terms outside it drop out).
     ``max_features`` keeps the terms with the largest corpus counts (ties by
-    term), a distributed top-k over the term table."""
+    term), a distributed top-k over the term table. The counts are stored, as
+    the idf table and the weights both read them; terms that a large share of
+    the documents hold are dealt out in the join."""
+    tc = cut_lineage(tc)
     if max_features:
         top = (tc.groupBy("term").agg(F.sum("tf").alias("_ct"))
                  .orderBy(F.col("_ct").desc(), "term").limit(max_features).select("term"))
         tc = tc.join(top, "term", "left_semi")
     idf = idf if idf is not None else idf_table(tc, n_docs, doc)
-    tv = tc.join(idf.select("term", "idf"), "term").select(doc, "term",
-                                                            (F.col("tf") * F.col("idf")).alias("value"))
-    return l2_normalise(tv, doc)
+    tv = hot_join(tc, idf.select("term", "idf"), "term").select(doc, "term", (F.col("tf") * F.col("idf")).alias("value"))
+    return l2_normalise(tv, doc) if normalise else tv
 
 
 def top_terms(tv: DataFrame, n: int, doc: str = "id", value: str = "value") -> DataFrame:

@@ -12,27 +12,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagtriage.operators.skew import hot_join
+from tagtriage.session import cut_lineage
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """``df`` stored, with a row number of its own in ``_row``: ids may repeat or be
+    null, and a row's words must come back to that row."""
+    return cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def split_words(col: str) -> F.Column:
+    return F.filter(F.split(F.trim(F.col(col)), r"\s+", -1), lambda w: w != "")
+
 
 def apply_vocab(df: DataFrame, col: str, vocab: DataFrame, id_col: str = "id",
                 out: str | None = None, form: str = "form", value: str = "value") -> DataFrame:
     """Split ``col`` on whitespace, map every word through ``vocab``
-    (identity when absent), re-join with one space.
+    (a row a form; identity when absent), re-join with one space.
 
-    Words are exploded with their position, left-joined to the vocabulary
-    (AQE broadcasts it when small), and regrouped per row in position order.
-    Rows with no words come back as ''.
-    """
+    The words of a row stay together by a row number of its own, so repeated and
+    null ids do no harm. A text looks up its distinct words only; words that a
+    large share of the texts hold are dealt out (``hot_join``). Rows with no
+    words come back as ''."""
     out = out or col
-    words = df.select(id_col, F.posexplode(
-        F.filter(F.split(F.trim(F.col(col)), r"\s+", -1), lambda w: w != "")).alias("pos", "w"))
-    v = vocab.select(F.col(form).alias("w"), F.col(value).alias("_v"))
-    mapped = words.join(v, "w", "left").withColumn("_m", F.coalesce("_v", "w"))
-    rebuilt = mapped.groupBy(id_col).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_m"))),
-                                 lambda s: s["_m"]), " ").alias("_txt"))
-    return (df.join(rebuilt, id_col, "left")
-              .withColumn(out, F.coalesce(F.col("_txt"), F.lit("")))
-              .drop("_txt"))
+    keyed = _keyed(df)
+    words = cut_lineage(keyed.select("_row", F.explode(F.array_distinct(split_words(col))).alias("w")))
+    v = vocab.select(F.col(form).alias("w"), F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    known = (hot_join(words, v, "w").groupBy("_row")
+             .agg(F.map_from_entries(F.collect_list(F.struct("w", "_v"))).alias("_m")))
+    mapped = F.transform(split_words(col), lambda w: F.coalesce(F.try_element_at("_m", w), w))
+    return (keyed.join(known, "_row", "left")
+            .withColumn(out, F.coalesce(F.array_join(F.when(F.col("_m").isNull(), split_words(col)).otherwise(mapped), " "), F.lit("")))
+            .drop("_m", "_row"))
+
+
+def verb_lemmas(words: DataFrame, lexicon: DataFrame, exceptions: DataFrame, word: str = "form") -> DataFrame:
+    """D6 vocabulary of verb lemmas, (form, value), for the distinct ``words``:
+    a form in ``exceptions`` (form, value) has its value there; a form in
+    ``lexicon`` (form) is its own lemma; else the endings of DETACH are taken off
+    in order, and the first result that ``lexicon`` holds is the lemma. Forms
+    without lemma are left out (``apply_vocab`` keeps them as they are)."""
+    forms = cut_lineage(words.select(F.col(word).alias("form")).where("form IS NOT NULL").distinct())
+    tries = [F.struct(F.lit(0).alias("r"), F.col("form").alias("value"))]
+    for r, (end, put) in enumerate(DETACH, 1):
+        cut = F.concat(F.expr(f"substring(form, 1, length(form) - {len(end)})"), F.lit(put))
+        tries.append(F.when(F.endswith("form", F.lit(end)) & (F.length("form") > len(end)),
+                            F.struct(F.lit(r).alias("r"), cut.alias("value"))))
+    rows = forms.select("form", F.explode(F.array_compact(F.array(*tries))).alias("t")).select("form", "t.r", "t.value")
+    good = rows.join(lexicon.select(F.col("form").alias("value")).distinct(), "value", "left_semi")
+    by_rule = good.groupBy("form").agg(F.min_by("value", "r").alias("value"))
+    known = forms.join(exceptions.select("form", "value"), "form")
+    return known.unionByName(by_rule.join(known, "form", "left_anti"))
+
+
+# Endings of English verbs and what takes their place, in the order they are tried.
+DETACH = [("s", ""), ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""), ("ing", "e"), ("ing", "")]
 
 
 def adjacent_pairs(tokens: str) -> F.Column:
@@ -47,19 +82,21 @@ def phrases(df: DataFrame, tokens: str, min_count: int = 5,
     """Bigram phrases with the published count score
     ``(n_ab - min_count) * |vocab| / (n_a * n_b)`` > threshold, where the
     vocabulary counts distinct unigrams plus distinct bigrams.
-    -> (a, b, n_ab, score)."""
-    uni = (df.select(F.explode(tokens).alias("w"))
-             .groupBy("w").agg(F.count(F.lit(1)).alias("n")))
-    bi = (df.select(F.explode(adjacent_pairs(tokens)).alias("p"))
-            .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-            .agg(F.count(F.lit(1)).alias("n_ab")))
-    vocab = uni.agg(F.count(F.lit(1)).alias("nu")).crossJoin(
-        bi.agg(F.count(F.lit(1)).alias("nb"))).select((F.col("nu") + F.col("nb")).alias("V"))
-    ua = uni.select(F.col("w").alias("a"), F.col("n").alias("n_a"))
-    ub = uni.select(F.col("w").alias("b"), F.col("n").alias("n_b"))
-    scored = (bi.join(ua, "a").join(ub, "b").crossJoin(F.broadcast(vocab))
-                .withColumn("score", (F.col("n_ab") - min_count) * F.col("V")
-                            / (F.col("n_a") * F.col("n_b"))))
+    -> (a, b, n_ab, score).
+
+    One pass over the texts counts words and pairs together; the stored counts
+    serve the vocabulary size and both look-ups. Pairs that can't score are
+    dropped before the joins, whose hot words are dealt out."""
+    words = F.transform(tokens, lambda w: F.struct(w.alias("a"), F.lit(None).cast("string").alias("b")))
+    counts = cut_lineage(df.select(F.inline(F.concat(words, adjacent_pairs(tokens)))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
+    bi = counts.where("b IS NOT NULL").withColumnRenamed("n", "n_ab")
+    if threshold >= 0:
+        bi = bi.where(F.col("n_ab") > min_count)
+    uni = counts.where("a IS NOT NULL AND b IS NULL")
+    vocab = counts.where("a IS NOT NULL").count()
+    one = hot_join(cut_lineage(bi), uni.select("a", F.col("n").alias("n_a")), "a")
+    two = hot_join(cut_lineage(one), uni.select(F.col("a").alias("b"), F.col("n").alias("n_b")), "b")
+    scored = two.withColumn("score", (F.col("n_ab") - min_count) * F.lit(vocab) / (F.col("n_a") * F.col("n_b")))
     return scored.filter(F.col("score") > threshold).select("a", "b", "n_ab", "score")
 
 
@@ -85,33 +122,27 @@ def apply_phrases(df: DataFrame, tokens: str, phrases_df: DataFrame, id_col: str
     """Merge detected bigrams into single tokens, left to right without
     overlap (``a b c`` with phrases ab and bc gives ``a_b c``).
 
-    Phrase starts are found by a semi join of the row's adjacent pairs with
-    the phrase table; inside a run of consecutive starts every other one is
-    applied (the greedy rule), using windows over one row's positions; the
-    tokens are rebuilt per row in position order.
-    """
-    from pyspark.sql import Window
+    Phrases among a row's distinct pairs are found by a join and come back to
+    the row by a row number of its own, so repeated and null ids do no harm; the
+    row then merges its tokens in one fold. A null token array comes back empty."""
     out = out or tokens
-    pairs = (df.select(id_col, F.posexplode(adjacent_pairs(tokens)).alias("i", "p"))
-               .select(id_col, "i", F.col("p.a").alias("a"), F.col("p.b").alias("b")))
-    hits = pairs.join(phrases_df.select("a", "b"), ["a", "b"], "left_semi")
-    w = Window.partitionBy(id_col).orderBy("i")
-    runs = hits.withColumn("_g", F.col("i") - F.row_number().over(w))
-    w2 = Window.partitionBy(id_col, "_g").orderBy("i")
-    applied = (runs.withColumn("_o", F.row_number().over(w2) - 1)
-                   .filter(F.col("_o") % 2 == 0)
-                   .select(id_col, F.col("i").alias("pos"),
-                           F.concat_ws(delimiter, "a", "b").alias("_m")))
-    follows = applied.select(id_col, (F.col("pos") + 1).alias("pos"))
-    toks = df.select(id_col, F.posexplode(tokens).alias("pos", "w"))
-    merged = (toks.join(applied, [id_col, "pos"], "left")
-                  .join(follows, [id_col, "pos"], "left_anti")
-                  .select(id_col, "pos", F.coalesce("_m", "w").alias("w")))
-    rebuilt = merged.groupBy(id_col).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda s: s["w"]).alias("_t"))
-    return (df.drop(out) if out in df.columns and out != tokens else df).join(
-        rebuilt, id_col, "left").withColumn(out, F.coalesce("_t", F.array().cast("array<string>"))) \
-        .drop("_t")
+    keyed = _keyed(df)
+    pairs = cut_lineage(keyed.select("_row", F.inline(F.array_distinct(adjacent_pairs(tokens)))))
+    held = (hot_join(pairs, phrases_df.select("a", "b"), ["a", "b"], "left_semi").groupBy("_row")
+            .agg(F.map_from_entries(F.collect_list(F.struct(F.struct("a", "b"), F.lit(True)))).alias("_ph")))
+    # the fold keeps the finished tokens and the one that may still begin a phrase
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("last"))
+
+    def step(acc, w):
+        joined = acc["last"].isNotNull() & F.try_element_at("_ph", F.struct(acc["last"].alias("a"), w.alias("b"))).isNotNull()
+        kept = F.when(acc["last"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["last"]))
+        return F.when(joined, F.struct(F.array_append(acc["done"], F.concat_ws(delimiter, acc["last"], w)).alias("done"),
+                                       F.lit(None).cast("string").alias("last"))).otherwise(F.struct(kept.alias("done"), w.alias("last")))
+
+    merged = F.aggregate(tokens, empty, step, lambda acc: F.when(acc["last"].isNull(), acc["done"]).otherwise(
+        F.array_append(acc["done"], acc["last"])))
+    value = F.when(F.col("_ph").isNull(), F.col(tokens)).otherwise(merged)
+    return (keyed.join(held, "_row", "left").withColumn(out, F.coalesce(value, F.array().cast("array<string>"))).drop("_ph", "_row"))
 
 
 def trigram_phrases(df: DataFrame, tokens: str, min_count: int = 5, threshold: float = 100.0,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tagtriage.functions import fixed
+from tagtriage.functions import fixed, stem
 from tagtriage.functions import text as tx
 from tagtriage.operators import textops
 from tagtriage.plans import fixtures as fx
@@ -52,23 +52,43 @@ def _d6_vocab(s, d):
 Q["D6_apply_vocab_join"] = (_d6_vocab, DM + f"""SELECT id, {st.lemmatize(st.lower_words(st.remove_urls('fulltext')))} AS out
 FROM doc_messages""")
 
-STEM_RULE = r"(ing|ed|es|s)$"
-
-
 def _d7_stem(s, d):
-    """Stems from a rule-built (form, stem) table over the corpus's own
-    distinct words (suffix strip for words longer than 4 letters)."""
+    """Every word through the stems of the corpus's own distinct words."""
     m = fx.doc_messages(s, d).select("id", tx.lower_words("fulltext").alias("t"))
-    words = (m.select(F.explode(F.split("t", " ")).alias("form")).distinct()
-              .filter(F.length("form") > 4)
-              .select("form", F.regexp_replace("form", STEM_RULE, "").alias("value")))
-    return textops.apply_vocab(m, "t", words).select("id", F.col("t").alias("out"))
-
-
-Q["D7_stem_vocab"] = (_d7_stem, DM + f"""SELECT id, array_to_string(list_transform(
-  list_filter(string_split_regex(trim(t), '\\s+'), lambda w: w <> ''),
-  lambda w: CASE WHEN length(w) > 4 THEN regexp_replace(w, '{STEM_RULE}', '') ELSE w END), ' ') AS out
-FROM (SELECT id, {st.lower_words('fulltext')} AS t FROM doc_messages)""")
+    words = m.select(F.explode(textops.split_words("t")).alias("form"))
+    return textops.apply_vocab(m, "t", stem.stems(words)).select("id", F.col("t").alias("out"))
+
+
+LOWERED_SQL = f"low AS (SELECT id, string_split_regex(trim({st.lower_words('fulltext')}), '\\s+') AS ws FROM doc_messages),\n" \
+    "forms AS (SELECT DISTINCT unnest(ws) AS form FROM low)"
+
+Q["D7_stem_vocab"] = (_d7_stem, DM + f""",
+{LOWERED_SQL},
+stems AS ({stem.stems_sql('forms')}),
+spread AS (SELECT id, unnest(ws) AS form, unnest(range(len(ws))) AS pos FROM low),
+joined AS (SELECT id, string_agg(value, ' ' ORDER BY pos) AS out FROM spread JOIN stems USING (form) WHERE form <> '' GROUP BY id)
+SELECT d.id, coalesce(out, '') AS out FROM doc_messages d LEFT JOIN joined j ON j.id = d.id""")
+
+
+def _d6_rules(s, d):
+    """D6 vocabulary job: the corpus's words, lemmas accepted where ``benchmark`` uses
+    the word, the fixed irregular forms as exceptions."""
+    words = fx.doc_messages(s, d).select(tx.lower_words("fulltext").alias("t")).select(F.explode(textops.split_words("t")).alias("form"))
+    lexicon = table(s, d, "benchmark").select(F.explode(tx.word_tokens("text")).alias("w")).select(F.lower("w").alias("form"))
+    irregular = s.createDataFrame(sorted(fixed.VERB_LEMMAS.items()), "form string, value string")
+    return textops.verb_lemmas(words, lexicon, irregular)
+
+
+Q["D6_verb_lemmas"] = (_d6_rules, DM + f""",
+{LOWERED_SQL},
+lexicon AS (SELECT DISTINCT lower(w) AS form FROM (SELECT unnest({st.word_tokens('text')}) AS w FROM benchmark)),
+irregular AS (SELECT * FROM (VALUES {', '.join(f"({st.q(a)}, {st.q(b)})" for a, b in sorted(fixed.VERB_LEMMAS.items()))}) AS t(form, value)),
+tried AS (SELECT form, 0 AS r, form AS value FROM forms UNION ALL """ + " UNION ALL ".join(
+    f"SELECT form, {r}, left(form, length(form) - {len(e)}) || '{put}' FROM forms WHERE length(form) > {len(e)} AND ends_with(form, '{e}')"
+    for r, (e, put) in enumerate(textops.DETACH, 1)) + """),
+ruled AS (SELECT form, arg_min(value, r) AS value FROM tried WHERE value IN (SELECT form FROM lexicon) GROUP BY form)
+SELECT form, value FROM irregular WHERE form IN (SELECT form FROM forms WHERE form <> '')
+UNION ALL SELECT form, value FROM ruled WHERE form <> '' AND form NOT IN (SELECT form FROM irregular)""")
 
 
 def _d14(s, d):

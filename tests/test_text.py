@@ -63,3 +63,49 @@ def test_phrase_merge_is_greedy_left_to_right(spark):
     ph = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "a string, b string")
     got = {r["id"]: r["toks"] for r in apply_phrases(df, "toks", ph).collect()}
     assert got == {1: ["a_b", "c_d", "x"], 2: []}
+
+
+def test_repeated_and_null_ids_keep_their_own_words(spark):
+    from tagtriage.operators.textops import apply_phrases, apply_vocab
+    df = spark.createDataFrame([(1, "a b"), (1, "c"), (None, "b  b x"), (None, ""), (2, None)], "id long, t string")
+    vocab = spark.createDataFrame([("b", "B"), ("x", None)], "form string, value string")
+    got = sorted(((r["id"] or 0, r["t"]) for r in apply_vocab(df, "t", vocab).collect()))
+    assert got == [(0, ""), (0, "B B x"), (1, "a B"), (1, "c"), (2, "")]
+    toks = spark.createDataFrame([(1, ["a", "b"]), (1, ["b", "a", "b"]), (None, ["a", "b"]), (None, None)], "id long, toks array<string>")
+    ph = spark.createDataFrame([("a", "b")], "a string, b string")
+    got = sorted(((r["id"] or 0, r["toks"]) for r in apply_phrases(toks, "toks", ph).collect()))
+    assert got == [(0, []), (0, ["a_b"]), (1, ["a_b"]), (1, ["b", "a_b"])]
+
+
+def test_verb_lemmas_by_rules_and_lexicon(spark):
+    from tagtriage.operators.textops import verb_lemmas
+    words = spark.createDataFrame([(w,) for w in "runs tries making walked went boxes hoping hopping xyzing s dies".split()], "form string")
+    lexicon = spark.createDataFrame([(w,) for w in "run try make walk go box hope hop die dy".split()], "form string")
+    went = spark.createDataFrame([("went", "go")], "form string, value string")
+    got = {r.form: r.value for r in verb_lemmas(words, lexicon, went).collect()}
+    assert got == {"runs": "run", "tries": "try", "making": "make", "walked": "walk", "went": "go", "boxes": "box",
+                   "hoping": "hope", "dies": "die"}
+
+
+def test_hot_join_deals_out_heavy_keys(spark):
+    from tagtriage.operators.skew import heavy_keys, hot_join
+    from tagtriage.session import cut_lineage
+    left = cut_lineage(spark.range(6000).select(F.when(F.col("id") % 2 == 0, "the").otherwise(F.concat(F.lit("w"), F.col("id") % 700)).alias("k"),
+                                                F.col("id").alias("v")))
+    right = spark.createDataFrame([("the", 1), ("the", 2), ("w1", 3), ("none", 4)], "k string, n int")
+    assert len(heavy_keys(left, ["k"], 0.1)) == 1
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        a, b = hot_join(left, right, "k", how, salts=16), left.join(right, ["k"], how)
+        assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr), how
+    # rows of the largest task of the join against the median one
+    keep = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for c, v in zip(keep, ("false", "-1", "8"), strict=True):
+            spark.conf.set(c, v)
+        sizes = lambda df: sorted(r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        dealt = sizes(hot_join(left, right.where("n > 1"), "k", "left", salts=64))
+        plain = sizes(left.join(right.where("n > 1"), ["k"], "left"))
+    finally:
+        for c, v in keep.items():
+            spark.conf.set(c, v)
+    assert plain[-1] > 4 * plain[len(plain) // 2] and dealt[-1] <= 4 * dealt[len(dealt) // 2], (plain, dealt)
