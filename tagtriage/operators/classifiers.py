@@ -14,11 +14,11 @@ import math
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, HashingTF, IDF, Normalizer,
+from pyspark.ml.feature import (CountVectorizer, CountVectorizerModel, ElementwiseProduct, HashingTF, IDF, Normalizer,
                                 RegexTokenizer, StopWordsRemover, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagtriage.operators.boosting import BoostedGrid, fit_boosted
@@ -129,22 +129,21 @@ def score_social(df: DataFrame, models: dict, id_col: str = "id", prob: bool = T
 
 # ---- text models -----------------------------------------------------------
 
-def distinct_terms(df: DataFrame, col: str) -> int:
-    """How many terms the token column ``col`` holds: the vocabulary size that
-    keeps them all."""
-    return max(1, df.select(F.explode(col).alias("t")).distinct().count())
+# slots that text models count terms in, and those of cluster centres (k of them are held)
+SLOTS, CLUSTER_SLOTS = 1 << 18, 1 << 16
 
 
 def tfidf_model(df: DataFrame, col: str, mode: str = "tfidf", stop: list[str] | None = None,
                 max_features: int | None = None, out: str = "features",
-                hashed: int | None = None) -> PipelineModel:
+                slots: int = SLOTS) -> PipelineModel:
     """G3-G5 as a fitted spark.ml pipeline: tokens of >= 2 word characters,
     counts, smoothed idf (+1), L2 norm. ``mode``: count | tf | tfidf.
 
-    The vocabulary is a model parameter and is held on the driver: all terms,
-    or the ``max_features`` most frequent ones if the caller says so. For more
-    terms than a driver holds, ``hashed`` counts terms in so many hash slots
-    and needs no vocabulary."""
+    Terms are counted in ``slots`` hash slots, so that models of any corpus have
+    the same size (2 MB of coefficients) and no vocabulary is built; terms that
+    share a slot share its weight (``slot_terms`` names them). With
+    ``max_features`` the vocabulary holds so many of the most frequent terms,
+    without sharing."""
     tok = RegexTokenizer(inputCol=col, outputCol="_tok", gaps=False,
                          pattern=r"[\p{L}\p{N}_]{2,}", toLowercase=True)
     stages = [tok]
@@ -153,20 +152,18 @@ def tfidf_model(df: DataFrame, col: str, mode: str = "tfidf", stop: list[str] |
         stages.append(StopWordsRemover(inputCol="_tok", outputCol="_tok2", stopWords=stop))
         src = "_tok2"
     tf = "_tf" if mode != "count" else out
-    if hashed:
-        stages.append(HashingTF(inputCol=src, outputCol=tf, numFeatures=hashed))
-    else:
-        if not max_features:
-            max_features = distinct_terms(Pipeline(stages=stages).fit(df).transform(
-                df.filter(F.col(col).isNotNull())), src)
+    if max_features:
         stages.append(CountVectorizer(inputCol=src, outputCol=tf, vocabSize=max_features, minDF=1.0))
-    base = Pipeline(stages=stages).fit(df.filter(F.col(col).isNotNull()))
+    else:
+        stages.append(HashingTF(inputCol=src, outputCol=tf, numFeatures=slots))
+    rows = df.filter(F.col(col).isNotNull())
+    base = Pipeline(stages=stages).fit(rows)
     if mode == "count":
         return base
     tstages = list(base.stages)
     if mode == "tfidf":
-        idf = IDF(inputCol="_tf", outputCol="_idf0").fit(base.transform(df.filter(F.col(col).isNotNull())))
-        scale = Vectors.dense([v + 1.0 for v in idf.idf.toArray()])
+        idf = IDF(inputCol="_tf", outputCol="_idf0").fit(base.transform(rows))
+        scale = Vectors.dense(idf.idf.toArray() + 1.0)
         tstages.append(ElementwiseProduct(scalingVec=scale, inputCol="_tf", outputCol="_tfidf"))
         tstages.append(Normalizer(inputCol="_tfidf", outputCol=out, p=2.0))
     else:
@@ -174,6 +171,17 @@ def tfidf_model(df: DataFrame, col: str, mode: str = "tfidf", stop: list[str] |
     return PipelineModel(stages=tstages)
 
 
+def slot_terms(df: DataFrame, vec: PipelineModel) -> DataFrame:
+    """(slot, term) of every distinct term of ``df``: the terms that a fitted text
+    pipeline counts in a slot. A table, however many terms there are."""
+    stage = next(s for s in vec.stages if isinstance(s, (HashingTF, CountVectorizerModel)))
+    src = stage.getInputCol()
+    tokens = PipelineModel(stages=vec.stages[:vec.stages.index(stage)]).transform(df)
+    terms = tokens.select(F.explode(src).alias("term")).distinct().withColumn(src, F.array("term"))
+    slot = F.udf(lambda v: int(v.indices[0]) if len(v.indices) else None, "int")
+    return (stage.transform(terms).select(slot(stage.getOutputCol()).alias("slot"), "term").where("slot IS NOT NULL"))
+
+
 def _drop_tmp(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("_t") or c.startswith("_i")])
 
@@ -255,7 +263,7 @@ def cv_accuracy(df: DataFrame, fit_score, k: int = 5, seed: int = 0, label: str
 
 def fit_clusters(df: DataFrame, col: str = "processed_fulltext", k: int = 13, seed: int = 1):
     """K-means (k = 13) on TF-IDF vectors of the text."""
-    vec = tfidf_model(df, col)
+    vec = tfidf_model(df, col, slots=CLUSTER_SLOTS)
     feats = vec.transform(df).select("features").persist()
     km = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(feats)
     feats.unpersist()
@@ -292,21 +300,28 @@ def score_cluster(df: DataFrame, labels: DataFrame, cluster: str = "cluster") ->
     return df.join(F.broadcast(labels), cluster, "inner")
 
 
-def cluster_terms(km, vec: PipelineModel, n: int = 25) -> DataFrame:
-    """The n heaviest terms of every cluster centre. The centres are
-    model parameters already on the driver (k x vocabulary); only k x n
-    rows are created."""
+def cluster_terms(km, vec: PipelineModel, df: DataFrame, n: int = 25) -> DataFrame:
+    """The n heaviest terms of every cluster centre, (cluster, term, weight,
+    rank); ``df`` has the texts that name the slots. A slot's weight goes to each
+    of its terms; ties by term. Centres are k x slots on the driver, whatever
+    the corpus; n slots a centre leave it."""
     import numpy as np
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    vocab = [s for s in vec.stages if hasattr(s, "vocabulary")][0].vocabulary
     rows = []
     for ci, c in enumerate(km.clusterCenters()):
         arr = np.asarray(c)
-        order = sorted(np.flatnonzero(arr >= np.partition(arr, -min(n, len(arr)))[-min(n, len(arr))]).tolist(),
-                       key=lambda t: (-arr[t], vocab[t]))[:n]
-        rows += [(ci, vocab[t], float(arr[t]), r + 1) for r, t in enumerate(order)]
-    return spark.createDataFrame(rows, "cluster int, term string, weight double, rank int")
+        least = np.partition(arr, -min(n, len(arr)))[-min(n, len(arr))]
+        rows += [(ci, int(t), float(arr[t])) for t in np.flatnonzero((arr >= least) & (arr > 0))]
+    heavy = df.sparkSession.createDataFrame(rows, "cluster int, slot int, weight double")
+    w = Window.partitionBy("cluster").orderBy(F.col("weight").desc(), "term")
+    named = slot_terms(df, vec).join(F.broadcast(heavy), "slot")  # about k x n rows
+    return (named.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("cluster", "term", "weight", "rank"))
+
+
+def term_weights(model, vec: PipelineModel, df: DataFrame) -> DataFrame:
+    """(term, weight) of a fitted text model for the terms of ``df``."""
+    coefs = [(i, float(x)) for i, x in enumerate(model.coefficients.toArray()) if x]
+    weights = df.sparkSession.createDataFrame(coefs, "slot int, weight double")  # SLOTS rows at most
+    return slot_terms(df, vec).join(weights, "slot").select("term", "weight")
 
 
 def fit_meta(oof: DataFrame, cols=("rf_label", "ud_label", "txt_label"), label: str = "label",

@@ -262,13 +262,13 @@ def label_moments(L: DataFrame, items: DataFrame, id_col: str = "id", partners:
 def trust_labels(train_votes: DataFrame, train_labels: DataFrame, test_votes: DataFrame,
                  item: str = "item_id", label: str = "avg_answer") -> DataFrame:
     """Logistic regression on who-voted-what features predicts an item's
-    label -> (item_id, ann_label). Features: binary CountVectorizer over
+    label -> (item_id, ann_label). Features: binary counts, in hash slots, of
     each item's set of '<worker>_<label>' tokens (a set, so its size is
     bounded by the distinct tokens, not by the number of votes)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizer
-    from tagtriage.operators.classifiers import distinct_terms
+    from pyspark.ml.feature import HashingTF
+    from tagtriage.operators.classifiers import SLOTS
 
     def feats(v):
         return (annotator_label_features(v).groupBy(item)
@@ -278,8 +278,7 @@ def trust_labels(train_votes: DataFrame, train_labels: DataFrame, test_votes: Da
                                                      .alias("y")), item)
     n = max(1, tr.count())
     # an L2 penalty C = 1 on a summed loss equals regParam = 1 / n on Spark's mean loss.
-    pipe = Pipeline(stages=[CountVectorizer(inputCol="toks", outputCol="features", binary=True,
-                                            vocabSize=distinct_terms(tr, "toks")),  # all of them
+    pipe = Pipeline(stages=[HashingTF(inputCol="toks", outputCol="features", binary=True, numFeatures=SLOTS),
                             LogisticRegression(featuresCol="features", labelCol="y",
                                                regParam=1.0 / n, maxIter=100)])
     model = pipe.fit(tr)

@@ -103,7 +103,7 @@ Q["E11_kmeans"] = (_e11, None)
 def _e15(s, d):
     m = labelled(s, d)
     vec, km = cf.fit_clusters(m, k=13)
-    return rounded(cf.cluster_terms(km, vec, 25))
+    return rounded(cf.cluster_terms(km, vec, m, 25))
 
 
 Q["E15_cluster_terms"] = (_e15, None)
@@ -112,11 +112,8 @@ Q["E15_cluster_terms"] = (_e15, None)
 def _g7(s, d):
     tr, _ = _tt(s, d)
     vec, model = cf.fit_text(tr)
-    vocab = [st for st in vec.stages if hasattr(st, "vocabulary")][0].vocabulary
-    coefs = model.coefficients.toArray().tolist()
     from tagtriage.operators.features import top_features
-    df = s.createDataFrame(list(zip(vocab, coefs)), "term string, weight double")
-    return rounded(top_features(df, 10))
+    return rounded(top_features(cf.term_weights(model, vec, tr), 10))
 
 
 Q["G7_top_features"] = (_g7, None)
