@@ -55,7 +55,8 @@ Q["op3_shards"] = (_op3, None)
 # ---- 4 repeated strings of 400 bytes
 Q["op4_suffix_dedup"] = (
     lambda s, d: suffix_dedup.remove_repeats(_docs(s, d, "doc_id", "text")).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")),
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_bytes") - F.col("n_removed")).alias("n_kept")),
     None)
 
 # ---- 5 line dedup

@@ -12,9 +12,8 @@ lengths bounds each score. What remains is scored in whole numbers.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagtriage.llm.common import arrow_rows, store
@@ -169,14 +168,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         for p in parts[1:]:
             best = best.unionByName(p)
     # the k best of a query's blocks: at most k rows a block
-    top = best.groupBy("query_id").applyInPandas(lambda g: _merge(g, k), "query_id long, rank int, vec_id long, score long")
-    return top
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _merge(g: pd.DataFrame, k: int) -> pd.DataFrame:
-    g = g.sort_values(["score", "vec_id"], ascending=[False, True], kind="stable").head(k)
-    return pd.DataFrame({"query_id": g["query_id"], "rank": np.arange(1, len(g) + 1, dtype=np.int32),
-                         "vec_id": g["vec_id"], "score": g["score"]})
+def block_pairs(blocks: DataFrame, asks: DataFrame, spans: DataFrame, q_blocks: int) -> tuple[DataFrame, DataFrame]:
+    """(queries, candidates), each row beside the blocks (qb, cb) where it is wanted.
+
+    Queries are put into blocks by the length a candidate needs to reach their
+    least score, so that a block's queries want much the same candidates. A
+    candidate block goes to the query blocks that want it, not to all."""
+    if q_blocks > 1:
+        asks = store(asks.repartitionByRange(q_blocks, F.col("least") / F.greatest("len", F.lit(1e-300)), "id")
+                     .withColumn("qb", F.spark_partition_id()), "query-blocks")
+    else:
+        asks = asks.withColumn("qb", F.lit(0))
+    # every block that may still hold a score good enough (one row a block: the bound on its length)
+    wanted = asks.join(F.broadcast(spans), F.col("len") * F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("least"))
+    to = wanted.groupBy("cb").agg(F.collect_set("qb").alias("to"))  # at most q_blocks numbers a block
+    given = (blocks.join(to, "cb").select(F.col("cb").alias("to_cb"), F.col("id").alias("cid"), F.col("v").alias("cv"),
+                                          F.explode("to").alias("to_qb")))
+    return wanted.select("qb", "cb", "id", "v", "least"), given
 
 
 def _one_dimension(rows: DataFrame, dim: int, n: int, k: int, schema: str) -> DataFrame:
@@ -208,11 +220,7 @@ def _one_dimension(rows: DataFrame, dim: int, n: int, k: int, schema: str) -> Da
     asks = store(rows.where("asks").select("id", "v", "len")
                  .mapInArrow(first, "id long, v array<long>, len double, least double"), "queries")
     q_blocks = max(1, -(-asks.count() // QUERIES))
-    asks = asks.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int"))
-    # every block that may still hold a score good enough (one row a block: the bound on its length)
-    wanted = asks.join(F.broadcast(spans), F.col("len") * F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("least"))
-    given = blocks.select(F.col("cb").alias("to_cb"), F.col("id").alias("cid"), F.col("v").alias("cv"),
-                          F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("to_qb"))
+    wanted, given = block_pairs(blocks, asks, spans, q_blocks)
     shared = spark.sparkContext.broadcast(turn)  # dim x dim
 
     def pair(qs: pa.Table, cs: pa.Table) -> pa.Table:
@@ -224,5 +232,5 @@ def _one_dimension(rows: DataFrame, dim: int, n: int, k: int, schema: str) -> Da
                                        _matrix(cs["cv"], dim), shared.value, k)
         return pa.table({"query_id": qid[row], "vec_id": cid, "score": score})
 
-    return (wanted.select("qb", "cb", "id", "v", "least").groupBy("qb", "cb")
+    return (wanted.groupBy("qb", "cb")
             .cogroup(given.groupBy("to_qb", "to_cb")).applyInArrow(pair, schema))

@@ -57,6 +57,22 @@ def test_top_k(spark, monkeypatch):
     assert run_top(df.where("false"), 20) == []
 
 
+def test_only_wanted_blocks_are_shipped(spark):
+    """Two kinds of queries: those that short candidates can serve, and those that need long ones."""
+    n, blocks, q_blocks = 640, 10, 4
+    cand = spark.createDataFrame([(i, [i], 2.0 ** -(i // 64), i // 64) for i in range(n)], "id long, v array<long>, len double, cb int")
+    spans = cand.groupBy("cb").agg(F.max("len").alias("longest"))
+    asks = spark.createDataFrame([(1000 + i, [1], 1.0, 0.9 if i % 4 else 2.0 ** -5) for i in range(80)],
+                                 "id long, v array<long>, len double, least double")
+    wanted, given = topk.block_pairs(cand, asks, spans, q_blocks)
+    pairs = {(r.qb, r.cb) for r in wanted.select("qb", "cb").distinct().collect()}
+    sent = given.groupBy("to_qb", "to_cb").count().collect()
+    assert {(r.to_qb, r.to_cb) for r in sent} == pairs and {r["count"] for r in sent} == {64}
+    # 60 queries want one block, 20 want six: ranges keep them apart
+    assert given.count() == 64 * len(pairs) <= 0.4 * n * q_blocks
+    assert wanted.count() == 60 * 1 + 20 * 6
+
+
 def test_bounds_prune_without_loss():
     """Whole numbers of any size: beyond 2^53 the products are exact too."""
     rng = np.random.default_rng(0)
