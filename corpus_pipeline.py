@@ -18,24 +18,38 @@ from tagtriage.llm.common import store
 from tagtriage.sources.tables import table
 
 
-def _shape(docs: DataFrame, like: DataFrame) -> DataFrame:
-    """The columns of ``like``, with ``n_chars`` counted anew where it is there."""
-    if "n_chars" in like.columns:
-        docs = docs.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(like.schema["n_chars"].dataType))
-    return docs.select(*[F.col(f"`{c}`") for c in like.columns])
+# the columns that the operators read; all others travel under names that no operator writes
+READ = ("doc_id", "text", "source")
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in READ else f"__in{i}") for i, c in enumerate(docs.columns)])
+
+
+def _back(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, with their names and values; ``n_chars`` is counted
+    anew where the table has it, as the text may have changed."""
+    cols = [F.col(c if c in READ else f"__in{i}").alias(c) for i, c in enumerate(docs.columns)]
+    out = out.select(*cols)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(kind))
+    return out
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the grade "good" is one half or more; the
     classifier is fitted on a bounded sample of ``labels``."""
     marks = table(spark, sf_dir, "labels").select("doc_id", quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
-    return quality.classify(docs, quality.train(docs, marks)).where("keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = _apart(docs)
+    kept = quality.classify(rows, quality.train(rows, marks)).where("keep")
+    return kept.select(*[F.col(c).alias(d) for c, d in zip(rows.columns, docs.columns, strict=True)])
 
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that three or more documents share, but for the last
     document; every document stays, if only with what is left of it."""
-    return _shape(line_dedup.drop_repeated_lines(docs), docs)
+    return _back(line_dedup.drop_repeated_lines(_apart(docs)), docs)
 
 
 def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +59,8 @@ def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents so that sources weigh as size ** 0.7, in a global order."""
-    return mixing.mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = _apart(docs)
+    return mixing.mix(rows).select(*[F.col(c).alias(d) for c, d in zip(rows.columns, docs.columns, strict=True)])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
