@@ -14,6 +14,7 @@ from tagtriage.plans import sqltext as st
 from tagtriage.plans.q_eval import S, scores
 from tagtriage.operators.sampling import uniform_sql
 from tagtriage.plans.util import rounded, with_ctes
+from tagtriage.session import cut_lineage
 from tagtriage.sources.tables import table
 
 Q = {}
@@ -318,3 +319,49 @@ Q["H16_binarise"] = (
   CASE WHEN rf_label > 0.5 THEN 1.0 ELSE 0.0 END AS rf_label,
   CASE WHEN ud_label > 0.5 THEN 1.0 ELSE 0.0 END AS ud_label,
   CASE WHEN txt_label > 0.5 THEN 1.0 ELSE 0.0 END AS txt_label FROM scores""")
+
+
+# ------------------------------------------------------------------ M22: naive Bayes, 20 seeds, all sizes at once
+CURVE_SIZES, CURVE_SEEDS = [10, 20, 50, 100, 200, 500, 1000, 2000], range(1, 21)
+
+
+def _m22_nb(s, d):
+    from tagtriage.operators import curves
+    train, test = (fe.social_features(m, keep=["id", "label"]) for m in _split_social(s, d))
+    train = cut_lineage(train)
+    picks = curves.random_orders(train, CURVE_SEEDS, max(CURVE_SIZES), hash="lcg")
+    return rounded(curves.nb_learning_curve(train, test, picks, CURVE_SIZES, cf.SOCIAL_COLS))
+
+
+def _m22_nb_sql():
+    cols = fe.SOCIAL_SCALED + fe.SOCIAL_PASS
+    longf = lambda src: ("SELECT id, label, f.feature, f.x FROM " + src + ", unnest([" + ", ".join(
+        f"{{'feature': '{c}', 'x': CAST({c} AS DOUBLE)}}" for c in cols) + "]) AS t(f)")
+    picks = " UNION ALL ".join(
+        f"SELECT * FROM (SELECT {k} AS seed, id, row_number() OVER (ORDER BY {uniform_sql('id', k)}, id) AS rank FROM str) WHERE rank <= {max(CURVE_SIZES)}"
+        for k in CURVE_SEEDS)
+    return with_ctes(
+        SOCIAL_SQL,
+        f"tr AS (SELECT * FROM social WHERE created_at < TIMESTAMP '{fx.SPLIT_DATE}')",
+        f"te AS (SELECT * FROM social WHERE created_at >= TIMESTAMP '{fx.SPLIT_DATE}')",
+        _scaled_sql("tr", "str"), _scaled_sql("te", "ste"),
+        f"ltr AS ({longf('str')})", f"lte AS ({longf('ste')})", f"picks AS ({picks})",
+        f"sized AS (SELECT seed, size, id FROM picks, (SELECT unnest({CURVE_SIZES}) AS size) WHERE rank <= size)",
+        """eps AS (SELECT seed, size, max(v) * 1e-9 AS eps FROM (
+  SELECT seed, size, feature, var_pop(x) AS v FROM sized JOIN ltr USING (id) GROUP BY ALL) GROUP BY ALL)""",
+        """par AS (SELECT seed, size, label AS cls, feature, avg(x) AS mean, var_pop(x) + any_value(eps) AS var, count(*) AS n
+  FROM sized JOIN ltr USING (id) JOIN eps USING (seed, size) GROUP BY ALL)""",
+        "pri AS (SELECT DISTINCT seed, size, cls, ln(n / sum(n) OVER (PARTITION BY seed, size, feature)) AS lp FROM par)",
+        """jll AS (SELECT lte.id, lte.label, seed, size, cls, sum(-0.5 * (ln(2 * pi() * var) + (x - mean) ** 2 / var)) AS j
+  FROM lte JOIN par USING (feature) GROUP BY ALL)""",
+        """told AS (SELECT seed, size, jll.id, any_value(label) AS y, max(j + lp) FILTER (cls = 1) AS j1, max(j + lp) FILTER (cls = 0) AS j0
+  FROM jll JOIN pri USING (seed, size, cls) GROUP BY ALL)""",
+        """hits AS (SELECT seed, size, y, CASE WHEN j1 IS NULL THEN 0 WHEN j0 IS NULL THEN 1 WHEN 1 / (1 + exp(j0 - j1)) > 0.5 THEN 1 ELSE 0 END AS hit
+  FROM told)""",
+        """f AS (SELECT seed, size, CASE WHEN sum(hit * y) = 0 THEN 0.0 ELSE 2 * sum(hit * y) / (sum(hit) + sum(y)) END AS f1
+  FROM hits GROUP BY ALL)""",
+    ) + """SELECT 'random' AS method, size, round(avg(f1), 6) AS f1_mean, round(min(f1), 6) AS f1_min, round(max(f1), 6) AS f1_max
+FROM f GROUP BY size"""
+
+
+Q["M22_nb_curve"] = (_m22_nb, _m22_nb_sql())
