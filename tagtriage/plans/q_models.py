@@ -365,3 +365,43 @@ FROM f GROUP BY size"""
 
 
 Q["M22_nb_curve"] = (_m22_nb, _m22_nb_sql())
+
+
+# ------------------------------------------------------------------ E11 / E15: two rounds of long-form k-means
+def _rounds(s, d):
+    from tagtriage.operators import clusters
+    docs = _docs_text(s, d)
+    vectors = fe.tfidf(fe.term_counts(docs, "text"), n_docs=docs.count())
+    return clusters.kmeans(vectors, k=13, rounds=2, hash="lcg")
+
+
+def _kmeans_sql(rounds=2, k=13):
+    ctes = [f"""vec AS (SELECT tv.id, term, v / nrm AS x FROM tv JOIN nrm USING (id) WHERE nrm > 0),
+drawn AS (SELECT id, row_number() OVER (ORDER BY u, id) - 1 AS cluster FROM (
+  SELECT id, {uniform_sql('id', 1)} AS u FROM (SELECT DISTINCT id FROM vec) ORDER BY u, id LIMIT {k})),
+c0 AS (SELECT cluster, term, x AS c FROM vec JOIN drawn USING (id))"""]
+    for r in range(rounds + 1):
+        ctes.append(f"""n{r} AS (SELECT cluster, sum(c * c) AS sq FROM c{r} GROUP BY cluster),
+d{r} AS (SELECT id, cluster, sum(x * c) AS dot FROM vec JOIN c{r} USING (term) GROUP BY id, cluster),
+all{r} AS (SELECT i.id, n.cluster, round(n.sq - 2 * coalesce(d.dot, 0), 12) AS far
+  FROM (SELECT DISTINCT id FROM vec) i CROSS JOIN n{r} n LEFT JOIN d{r} d ON d.id = i.id AND d.cluster = n.cluster),
+a{r} AS (SELECT id, arg_min(cluster, (far, cluster)) AS cluster FROM all{r} GROUP BY id)""")
+        if r < rounds:
+            ctes.append(f"""c{r + 1} AS (
+  SELECT cluster, term, sum(x) / any_value(n) AS c FROM vec JOIN a{r} USING (id)
+    JOIN (SELECT cluster, count(*) AS n FROM a{r} GROUP BY cluster) USING (cluster) GROUP BY cluster, term
+  UNION ALL SELECT * FROM c{r} WHERE cluster NOT IN (SELECT cluster FROM a{r}))""")
+    return _tfidf_sql() + ",\n" + ",\n".join(ctes)
+
+
+Q["E11_kmeans_rounds"] = (lambda s, d: _rounds(s, d)[1], _kmeans_sql() + "\nSELECT id, cluster FROM a2")
+
+
+def _e15_rounds(s, d):
+    from tagtriage.operators import clusters
+    return rounded(clusters.heaviest_terms(_rounds(s, d)[0], 25))
+
+
+Q["E15_centre_terms"] = (_e15_rounds, _kmeans_sql() + """
+SELECT cluster, term, round(c, 6) AS weight, rank::INT AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(c, 12) DESC, term) AS rank FROM c2) WHERE rank <= 25""")
