@@ -367,15 +367,15 @@ Q["M2_knn_facility"] = (
 
 
 def _edges(s, d):
-    """A similarity that the caller computes: shared suppliers of two parts, over
-    the parts that share any."""
-    li = table(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    a, b = li.select(F.col("l_partkey").alias("i"), "l_suppkey"), li.select(F.col("l_partkey").alias("j"), "l_suppkey")
-    return a.join(b, "l_suppkey").groupBy("i", "j").agg(F.count(F.lit(1)).cast("double").alias("s"))
+    """A similarity that the caller computes: how close the prices of two orders of
+    one customer are."""
+    o = table(s, d, "orders")
+    a, b = (o.select("o_custkey", F.col("o_orderkey").alias(k), F.col("o_totalprice").cast("double").alias(f"p{k}")) for k in "ij")
+    return a.join(b, "o_custkey").select("i", "j", (F.least("pi", "pj") / F.greatest("pi", "pj")).alias("s"))
 
 
-EDGES_SQL = """li AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
-S AS (SELECT a.l_partkey AS i, b.l_partkey AS j, count(*)::DOUBLE AS s FROM li a JOIN li b USING (l_suppkey) GROUP BY 1, 2),
+EDGES_SQL = """S AS (SELECT a.o_orderkey AS i, b.o_orderkey AS j, least(a.o_totalprice::DOUBLE, b.o_totalprice::DOUBLE)
+    / greatest(a.o_totalprice::DOUBLE, b.o_totalprice::DOUBLE) AS s FROM orders a JOIN orders b USING (o_custkey)),
 cap AS (SELECT i AS j, 0.1 * sum(s) AS cap FROM S GROUP BY i),
 cur0 AS (SELECT j, 0.0 AS c FROM cap)"""
 
