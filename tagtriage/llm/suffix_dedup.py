@@ -81,7 +81,7 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(have):
         key = key << bits | padded[k:k + n]
-    order = np.argsort(key, kind="stable").astype(np.int32)
+    order = np.argsort(key).astype(np.int32)
     new = np.ones(n + 1, bool)
     new[1:n] = np.diff(key[order]) != 0
     del key
@@ -98,7 +98,7 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
         for k in range(1, ways):
             nxt = at + k * have
             key = key << width | np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
-        o = np.argsort(key, kind="stable")
+        o = np.argsort(key)
         key = key[o]
         order[open_] = at[o]
         new[open_[1:]] |= np.diff(key) != 0
@@ -118,8 +118,7 @@ def common_prefix_bounds(s: np.ndarray, order: np.ndarray, depth: int, stop: int
     shorter one was found there; only intervals with a new end go on."""
     n = len(s)
     bwt = s[order - 1]
-    by = np.argsort(bwt.astype(np.uint16), kind="stable")
-    by = by.astype(np.int32)
+    by = np.argsort(bwt.astype(np.uint16), kind="stable").astype(np.int32)
     last_first = np.empty(n, np.int32)
     last_first[by] = np.arange(n, dtype=np.int32)
     after, before = np.full(n, n, np.int32), np.full(n, -1, np.int32)
@@ -127,26 +126,41 @@ def common_prefix_bounds(s: np.ndarray, order: np.ndarray, depth: int, stop: int
     after[by[:-1][same]] = by[1:][same]
     before[by[1:][same]] = by[:-1][same]
     ends_string = bwt == stop
+    before[ends_string], after[ends_string] = n, -1  # neither a first nor a last occurrence anywhere
     found = np.zeros(n + 1, bool)
     found[[0, n]] = True
-    del by, same
-    lo, hi = np.array([0]), np.array([n])
-    for level in range(depth):
+    del by, same, bwt
+    # the intervals of single symbols
+    count = np.bincount(s)
+    hi = np.cumsum(count)[count > 0].astype(np.int32)
+    lo = hi - count[count > 0].astype(np.int32)
+    if depth > 0:
+        fresh = ~found[hi]
+        lo, hi = lo[fresh], hi[fresh]
+        found[hi] = True
+    for _ in range(1, depth):
+        if not len(lo):
+            break
         size = hi - lo
-        own = np.repeat(np.arange(len(lo), dtype=np.int32), size)
-        at = np.arange(len(own), dtype=np.int32) + np.repeat((lo - (np.cumsum(size) - size)).astype(np.int32), size)
-        if level:
-            go = ~ends_string[at]
-            own, at = own[go], at[go]
-        is_first, is_last = before[at] < lo[own], after[at] >= hi[own]
-        # of each interval, the symbols' first and last occurrences, in the order of symbols
-        a = np.sort(own[is_first].astype(np.int64) * (n + 1) + last_first[at[is_first]]) % (n + 1)
-        b = np.sort(own[is_last].astype(np.int64) * (n + 1) + last_first[at[is_last]]) % (n + 1) + 1
+        # an interval of one suffix has one symbol before it
+        single = lo[size == 1]
+        a = last_first[single[~ends_string[single]]]
+        b = a + 1
+        many = np.flatnonzero(size > 1)
+        if len(many):
+            low, high, size = lo[many], hi[many], size[many]
+            at = np.arange(int(size.sum()), dtype=np.int32) + np.repeat(low - (np.cumsum(size) - size).astype(np.int32), size)
+            own = np.repeat(np.arange(len(many), dtype=np.int32), size)
+            # of each interval, the symbols' first and last occurrences, in the order of symbols
+            ends = []
+            for pick in (np.flatnonzero(before[at] < np.repeat(low, size)), np.flatnonzero(after[at] >= np.repeat(high, size))):
+                key = own[pick].astype(np.int64) << 32 | last_first[at[pick]]
+                key.sort()
+                ends.append(key.astype(np.int32))  # the last 32 bits
+            a, b = np.append(a, ends[0]), np.append(b, ends[1] + 1)
         fresh = ~found[b]
         lo, hi = a[fresh], b[fresh]
         found[hi] = True
-        if not len(lo):
-            break
     return found
 
 
