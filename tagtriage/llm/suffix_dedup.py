@@ -16,8 +16,6 @@ rounds stop at ``length``; suffixes without a boundary between them then share
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -204,7 +202,11 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # counts decide, so a filter too full for its input costs time and changes nothing.
 FILTER_BITS = 26
 BLOCK_BYTES = 3 << 18  # segments judged together; an anchor with a quarter of it is judged alone
-HOT = 3000  # different segments of one anchor beyond which its windows are counted one by one
+# Different bytes of one anchor beyond which its windows are routed anew by anchors of longer grams: by
+# grams 15 bytes shorter than a window, then by whole windows, of which an anchor has one.
+GROUP_BYTES = 4 << 20
+FINER = (15, 0)
+ROW_BITS = 24  # size of the filter of documents with shared anchors
 
 
 def _spans(batches, gram: int):
@@ -245,8 +247,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     are ignored.
 
     Copies of a segment are one row with a count from the first aggregation on.
-    An anchor with more than HOT different segments is not judged in one task:
-    its windows are counted by a 128-bit hash, in partial sums."""
+    An anchor with more than GROUP_BYTES of different segments is crowded: its
+    windows go to anchors of longer grams, at last to one of their own, so a
+    task's work is bounded and every window is judged by the transform.
+    Documents without a shared anchor lose nothing and take no part in a join."""
     spark = docs.sparkSession
     arrow_rows(spark, 500)
     gram = gram or max(1, min(GRAM, length // 4))
@@ -262,24 +266,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             bit = h & mask
             sel = np.flatnonzero((table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
             doc, lo, hi, h = doc[sel], lo[sel], hi[sel], h[sel]
-            raw = data.tobytes()
-            seg = np.array([xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in
-                            zip(lo.tolist(), (hi + length).tolist(), strict=True)], np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc + first)), pa.array(lo - off[doc]),
-                 pa.array((hi - lo).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(seg.view(np.int64))],
-                ["__row", "lo", "span", "h", "seg"])
-
-    runs_ = store(rows.mapInArrow(find, "__row long, lo long, span int, h long, seg long"), "anchors")
-    segs = store(runs_.groupBy("h", "seg").agg(F.count("*").alias("n"), F.min(F.struct("__row", "lo", "span")).alias("at")),
-                 "segments")
-    heads = store(segs.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("different"),
-                                        F.sum(F.col("at.span") + length).alias("bytes")).where("total > 1"), "heads")
+            yield _runs(batch.column(0).take(pa.array(doc + first)), lo - off[doc], hi - lo, h,
+                        _digests(data.tobytes(), lo, hi + length))
+
+    runs_ = store(rows.mapInArrow(find, RUNS), "anchors")
+    touched = _row_filter(runs_)
+    marked = _mark(base, touched)
+    texts = marked.where("__hit").select("__row", "__text")
+    segs, heads, crowded = _segments(runs_, length)
+    for short in FINER:
+        if not crowded.limit(1).count():
+            break
+        finer = _finer(texts, runs_.join(crowded, "h"), length, max(1, length - short))
+        more_segs, more_heads, still = _segments(finer, length)
+        runs_ = runs_.join(crowded, "h", "left_anti").unionByName(finer)
+        segs = segs.join(crowded, "h", "left_anti").unionByName(more_segs)
+        heads = heads.join(crowded, "h", "left_anti").unionByName(more_heads)
+        crowded = still
     total = heads.agg(F.sum("bytes")).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     # bytes of one copy of every segment, by the documents that hold them
     block = F.when(F.col("bytes") > BLOCK_BYTES // 4, F.col("h")).otherwise(F.pmod(F.xxhash64("h"), F.lit(blocks)))
-    wanted = (segs.join(heads.where(F.col("different") <= HOT).select("h", block.alias("block")), "h")
+    wanted = (segs.join(heads.select("h", block.alias("block")), "h")
               .groupBy(F.col("at.__row").alias("r"))
               .agg(F.collect_list(F.struct("at.lo", "at.span", "h", "seg", "n", "block")).alias("want")))
 
@@ -295,7 +303,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     [*[pa.array(x, pa.int64()) for x in numbers], pa.array(raw, pa.binary())],
                     ["block", "h", "seg", "n", "bytes"])
 
-    pieces = (rows.join(wanted, F.col("__row") == F.col("r")).select("__text", "want")
+    pieces = (texts.join(wanted, F.col("__row") == F.col("r")).select("__text", "want")
               .mapInArrow(cut, "block long, h long, seg long, n long, bytes binary"))
 
     def judge(table: pa.Table) -> pa.Table:
@@ -314,10 +322,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     spans = (runs_.join(judged, ["h", "seg"])
              .select("__row", F.explode(F.arrays_zip("starts", "ends")).alias("x"), "lo")
              .select("__row", (F.col("lo") + F.col("x.starts")).alias("a"), (F.col("lo") + F.col("x.ends") + length).alias("b")))
-    if heads.where(F.col("different") > HOT).limit(1).count():
-        spans = spans.unionByName(_hot_windows(rows, runs_, heads, length))
     lost = spans.groupBy(F.col("__row").alias("r")).agg(F.collect_set(F.struct("a", "b")).alias("lost"))
-    both = base.join(lost, F.col("__row") == F.col("r"), "left").select("doc_id", "__text", "lost")
+    both = marked.where("__hit").join(lost, F.col("__row") == F.col("r"), "left").select("doc_id", "__text", "lost")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def drop(batches):
@@ -342,29 +348,68 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                  pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                 ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "removed"])
 
+    quiet = marked.where("NOT __hit").select("doc_id", F.expr("CAST(coalesce(__text, '') AS BINARY)").alias("kept")).selectExpr(
+        "doc_id", "kept", "CAST(octet_length(kept) AS BIGINT) AS n_bytes", "0L AS n_removed", "0L AS n_spans",
+        "CAST(array() AS ARRAY<STRUCT<start: BIGINT, end: BIGINT>>) AS removed")
     return both.mapInArrow(drop, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long, "
-                                 "removed array<struct<start: long, end: long>>")
+                                 "removed array<struct<start: long, end: long>>").unionByName(quiet)
+
+
+RUNS = "__row long, lo long, span int, h long, seg long"
+
+
+def _runs(row, lo: np.ndarray, span: np.ndarray, h: np.ndarray, seg: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [row, pa.array(lo), pa.array(span.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(seg.view(np.int64))],
+        ["__row", "lo", "span", "h", "seg"])
+
+
+def _digests(raw: bytes, lo: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(lo.tolist(), end.tolist(), strict=True)], np.uint64)
+
+
+def _segments(runs_: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Different segments with their number and one place; anchors that occur
+    twice or more; of these, the crowded ones."""
+    segs = store(runs_.groupBy("h", "seg").agg(F.count("*").alias("n"), F.min(F.struct("__row", "lo", "span")).alias("at")),
+                 "segments")
+    heads = store(segs.groupBy("h").agg(F.sum("n").alias("total"), F.sum(F.col("at.span") + length).alias("bytes"))
+                  .where("total > 1"), "heads")
+    return segs, heads, heads.where(F.col("bytes") > GROUP_BYTES).select("h")
+
+
+def _row_filter(runs_: DataFrame) -> DataFrame:
+    """(w, bits) with a bit for each row of ``runs_``, by the last bits of its
+    hash: 2 ** (ROW_BITS - 6) rows at the most."""
+    return store(runs_.groupBy(F.expr(f"shiftright(__row & {(1 << ROW_BITS) - 1}L, 6)").alias("w"))
+                 .agg(F.bit_or(F.expr("shiftleft(1L, CAST(__row & 63 AS INT))")).alias("bits")), "rows")
+
+
+def _mark(base: DataFrame, touched: DataFrame) -> DataFrame:
+    """``base`` with ``__hit``: false only for rows outside the filter."""
+    return (base.withColumn("w", F.expr(f"shiftright(__row & {(1 << ROW_BITS) - 1}L, 6)"))
+            .join(F.broadcast(touched), "w", "left")
+            .withColumn("__hit", F.expr("(coalesce(bits, 0L) & shiftleft(1L, CAST(__row & 63 AS INT))) <> 0"))
+            .drop("w", "bits"))
 
 
-def _hot_windows(rows: DataFrame, runs_: DataFrame, heads: DataFrame, length: int) -> DataFrame:
-    """(__row, a, b) of the repeated windows of anchors with too many different
-    segments for one task."""
-    hot = runs_.join(heads.where(F.col("different") > HOT).select("h"), "h")
-    per = hot.groupBy(F.col("__row").alias("r")).agg(F.count("*").alias("c"), F.collect_set(F.struct("lo", "span")).alias("want"))
+def _finer(texts: DataFrame, crowded: DataFrame, length: int, gram: int) -> DataFrame:
+    """The windows of crowded anchors as runs of windows with one anchor of
+    ``gram`` bytes. Equal windows have equal anchors again."""
+    per = crowded.groupBy(F.col("__row").alias("r")).agg(F.collect_list(F.struct("lo", "span")).alias("want"))
+    # rows of equal id and text have all their runs in one list, so one of the texts is cut
+    one = texts.join(per, F.col("__row") == F.col("r")).select("__row", "__text", "want").dropDuplicates(["__row"])
 
-    def windows(batches):
+    def part(batches):
         for batch in batches:
-            for row, text, want, c in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+            for row, text, want in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 raw = (text or "").encode("utf-8")
-                for w in want:
-                    at = np.arange(w["lo"], w["lo"] + w["span"] + 1)
-                    key = [xxhash.xxh3_128_digest(raw[i:i + length]) for i in at.tolist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row] * len(at), pa.int64()), pa.array(at), pa.array(key, pa.binary()),
-                         pa.array([c // len(want)] * len(at), pa.int64())], ["__row", "a", "key", "n"])
-
-    # rows of equal id and text appear once each: only one of them is cut, with their number
-    one = rows.join(per, F.col("__row") == F.col("r")).select("__row", "__text", "want", "c").dropDuplicates(["__row"])
-    found = store(one.mapInArrow(windows, "__row long, a long, key binary, n long"), "hot-windows")
-    again = store(found.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "hot-repeated")
-    return found.join(again, "key").select("__row", "a", (F.col("a") + length).alias("b"))
+                for k in range(0, len(want), 256):
+                    at = [(w["lo"], w["lo"] + w["span"] + length) for w in want[k:k + 256]]
+                    data = b"".join(raw[x:y] for x, y in at)
+                    off = np.cumsum([0, *[y - x for x, y in at]])
+                    seg, _, lo, hi, h = anchors(np.frombuffer(data, np.uint8), off, length, gram)
+                    start = np.array([x for x, _ in at])[seg] + lo - off[seg]
+                    yield _runs(pa.array(np.full(len(seg), row, np.int64)), start, hi - lo, h, _digests(data, lo, hi + length))
+
+    return store(one.mapInArrow(part, RUNS), "finer")

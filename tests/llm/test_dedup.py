@@ -91,11 +91,44 @@ def test_repeats(spark, odd, empty, monkeypatch):
     want = brute_repeats(docs, 40)
     assert sum(r[2] for r in want) > 1000
     assert _removed(df, 40) == want
-    monkeypatch.setattr(suffix_dedup, "HOT", 2)  # windows of crowded anchors counted one by one
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 300)  # crowded anchors: their windows go to anchors of longer grams
+    monkeypatch.setattr(suffix_dedup, "ROW_BITS", 6)  # filter of documents full
     assert _removed(df, 40) == want
+    twice = docs + docs[:5]
+    assert _removed(spark.createDataFrame(twice, "doc_id long, text string"), 40) == brute_repeats(twice, 40)
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_crowded_anchor(spark, monkeypatch):
+    """5,000 different segments of one anchor are judged by the transform, together and by finer anchors."""
+    rnd = random.Random(6)
+    core = "".join(rnd.choice("abcdefgh") for _ in range(393))
+    docs = [(i, "".join(rnd.choice("abcd") for _ in range(rnd.randint(5, 30))) + core
+             + "".join(rnd.choice("abcd") for _ in range(rnd.randint(5, 30)))) for i in range(5000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_repeats(docs, 400)
+    assert 10 < sum(r[2] > 0 for r in want) < 4990
+    assert _removed(df, 400) == want
+    finer, real = [], suffix_dedup._finer
+    monkeypatch.setattr(suffix_dedup, "_finer", lambda *a: finer.append(a[-1]) or real(*a))
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 1 << 14)
+    assert _removed(df, 400) == want
+    assert finer == [385, 400]
+
+
+def test_long_text_and_repeats_inside(spark):
+    """A text of 10 MB that repeats a passage of its own and one of a short text."""
+    rng = np.random.default_rng(7)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    raw = letters[rng.integers(0, 27, 10_000_000)].tobytes().decode()
+    raw = raw[:6_000_000] + raw[1_000_000:1_000_900] + raw[6_000_900:]
+    docs = [(1, raw), (2, "short " * 3 + raw[9_000_000:9_000_450] + " end")]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    spans = [(s.start, s.end) for s in got[1].removed]
+    assert spans == [(1_000_000, 1_000_900), (6_000_000, 6_000_900), (9_000_000, 9_000_450)]
+    assert [(s.start, s.end) for s in got[2].removed] == [(18, 468)] and bytes(got[2].kept) == b"short " * 3 + b" end"
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(2)
     ids = np.sort(rng.integers(0, 2 ** 63, 80).astype(np.uint64))
