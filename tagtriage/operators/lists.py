@@ -3,8 +3,9 @@
 Scale notes: per-user counts are partial aggregates (map-side combine), so a
 user holding a third of all rows costs one pre-aggregated row per task.
 List lookups are equi-joins on a unique key; AQE turns them into broadcast
-joins when the list is small at run time and splits skewed partitions
-otherwise. No list is collected to the driver.
+joins when the list is small at run time. Messages of heavy users are dealt out
+first (``hot_join``), so a fresh list costs no hot task. No list is collected
+to the driver.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagtriage.functions.text import tweet_tokens
+from tagtriage.operators.skew import hot_join
 
 
 def user_counts(df: DataFrame, label: int = 1, user: str = "user_id") -> DataFrame:
@@ -36,7 +38,7 @@ def bl_score(df: DataFrame, bl: DataFrame, soft: bool = True,
     """1 for a listed user, else 0.5 (soft) or -1 (hard)."""
     hit = bl.select(F.col(user), F.lit(True).alias("_bl_hit"))
     miss = 0.5 if soft else -1.0
-    return (df.join(hit, user, "left")
+    return (hot_join(df, hit, user, "left")
               .withColumn(out, F.when(F.col("_bl_hit"), F.lit(1.0)).otherwise(F.lit(miss)))
               .drop("_bl_hit"))
 
@@ -53,7 +55,7 @@ def wl_score(df: DataFrame, wl: DataFrame, words: DataFrame, soft: bool = True,
     """
     miss = 0.5 if soft else -1.0
     hit = wl.select(F.col(user), F.lit(True).alias("_wl_hit"))
-    tagged = df.join(hit, user, "left")
+    tagged = hot_join(df, hit, user, "left")
     cand = tagged.filter(F.col("_wl_hit") & (F.col("bl_label") != 1))
     bad = (cand.select(id_col, F.explode(tweet_tokens(F.col(text))).alias("word"))
                .join(words.select("word"), "word", "left_semi")

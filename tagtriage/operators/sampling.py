@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tagtriage.operators.cleaning import strict_unique
 from tagtriage.operators.ranking import global_row_number, ntile_of
+from tagtriage.operators.skew import hot_join
 
 _TWO31 = 2147483648
 
@@ -38,16 +39,19 @@ def weighted_sample(df: DataFrame, n: int, group: str, seed: int = 0, key: str =
     """N rows without replacement, weight = size of the row's group
     (the reference's rule; ``proportional`` gives every row weight 1).
 
-    Efraimidis-Spirakis: the n smallest ``-ln(u) / w``. Group sizes are a
-    partial aggregate joined back; the n smallest keys come from Spark's
+    Efraimidis-Spirakis: the n smallest ``-ln(u) / w``. Rows without a group are
+    a group of their own. Group sizes are a partial aggregate joined back, rows
+    of a large group dealt out; the n smallest keys come from Spark's
     distributed top-k (each task keeps n, one merge of tasks x n rows).
     """
     u = uniform(key, seed, hash)
     if proportional:
         keyed = df.withColumn("_es", -F.log(u))
     else:
-        sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_w"))
-        keyed = df.join(sizes, group).withColumn("_es", -F.log(u) / F.col("_w")).drop("_w")
+        grouped = df.withColumn("_group", F.struct(F.col(group)))  # structs of nulls are equal
+        sizes = grouped.groupBy("_group").agg(F.count(F.lit(1)).alias("_group_size"))
+        keyed = (hot_join(grouped, sizes, "_group").withColumn("_es", -F.log(u) / F.col("_group_size"))
+                 .select(*[F.col(f"`{c}`") for c in df.columns], "_es"))
     return keyed.orderBy("_es", key).limit(n).drop("_es")
 
 

@@ -53,12 +53,14 @@ def read_messages(spark: SparkSession, path, schema: T.StructType = RAW_SCHEMA)
 def read_raw(spark: SparkSession, path, schema: T.StructType = RAW_SCHEMA,
              on_error: str = "drop") -> DataFrame | tuple[DataFrame, DataFrame]:
     """A2: skip malformed lines (``drop``), or return (good, bad) where bad
-    holds the raw text of each malformed line (``quarantine``)."""
+    holds the raw text of each malformed line (``quarantine``). Both are lazy:
+    lines are parsed where they are read, nothing is cached."""
     if on_error == "drop":
         return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    s = schema.add("_corrupt_record", T.StringType())
-    allrows = (spark.read.schema(s).option("mode", "PERMISSIVE")
-               .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)).cache()
+    s = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    lines = spark.read.text(path).filter(F.col("value").rlike(r"\S"))
+    row = F.from_json("value", s, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    allrows = lines.select(row.alias("r")).select("r.*")
     good = allrows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     bad = allrows.filter(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
     return good, bad

@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import types as T
 
 from tagtriage.sources import dicts, messages as ms, models
 
@@ -41,3 +42,19 @@ def test_malformed_lines_dropped(spark):
         fh.write('{"id": 1, "text": "ok"}\n{"id": 2, "text": \n{"id": 3, "text": "fine"}\n')
     df = ms.read_raw(spark, d, "id long, text string")
     assert sorted(r["id"] for r in df.collect()) == [1, 3]
+
+
+def test_quarantine_leaves_the_schema_and_caches_nothing(spark):
+    d = tempfile.mkdtemp()
+    lines = ['{"id": 1, "fulltext": "a"}', '{"id": 2, "fulltext": ', "", "  ", "no json", '{"id": "x", "fulltext": "b"}', '{"id": 4}']
+    with open(os.path.join(d, "part.json"), "w") as fh:
+        fh.write("\n".join(lines) + "\n")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("fulltext", T.StringType())])
+    good, bad = ms.read_raw(spark, d, schema, on_error="quarantine")
+    assert schema.fieldNames() == ["id", "fulltext"]
+    assert sorted((r.id, r.fulltext) for r in good.collect()) == [(1, "a"), (4, None)]
+    assert sorted(r._corrupt_record for r in bad.collect()) == sorted([lines[1], lines[4], lines[5]])
+    assert bad.count() == 3 and good.count() == 2
+    assert not good.storageLevel.useMemory and not bad.storageLevel.useMemory
+    dropped = ms.read_raw(spark, d, schema)
+    assert dropped.columns == ["id", "fulltext"] and sorted(r.id for r in dropped.collect()) == [1, 4]
