@@ -109,3 +109,22 @@ def test_hot_join_deals_out_heavy_keys(spark):
         for c, v in keep.items():
             spark.conf.set(c, v)
     assert plain[-1] > 4 * plain[len(plain) // 2] and dealt[-1] <= 4 * dealt[len(dealt) // 2], (plain, dealt)
+
+
+def test_phrases_of_a_long_text_merge_in_one_walk(spark):
+    import time
+
+    from tagtriage.operators.textops import apply_phrases
+    words = [f"w{i * i % 7919}" for i in range(12_000)]
+    wanted = {(a, b) for a, b in zip(words[::3], words[1::3])}
+    df = spark.createDataFrame([(1, words)], "id long, toks array<string>")
+    began = time.time()
+    got = apply_phrases(df, "toks", spark.createDataFrame(sorted(wanted), "a string, b string")).first()["toks"]
+    took = time.time() - began
+    want, i = [], 0
+    while i < len(words):
+        pair = tuple(words[i:i + 2])
+        want.append("_".join(pair) if pair in wanted else words[i])
+        i += 2 if pair in wanted else 1
+    assert got == want
+    assert took < 15, took  # a walk that searches its phrases at every word takes minutes
