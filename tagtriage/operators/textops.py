@@ -38,16 +38,28 @@ def apply_vocab(df: DataFrame, col: str, vocab: DataFrame, id_col: str = "id",
     words come back as ''."""
     out = out or col
     keyed = _keyed(df)
-    words = cut_lineage(keyed.select("_row", F.explode(F.array_distinct(split_words(col))).alias("w")))
+    words = keyed.select("_row", F.explode(F.array_distinct(split_words(col))).alias("w"))
     v = vocab.select(F.col(form).alias("w"), F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    known = (hot_join(words, v, "w").groupBy("_row")
-             .agg(F.map_from_entries(F.collect_list(F.struct("w", "_v"))).alias("_m")))
-    mapped = F.transform(split_words(col), lambda w: F.coalesce(F.try_element_at("_m", w), w))
+    # forms that are their own value change nothing
+    known = (hot_join(words, v.where(F.col("w") != F.col("_v")), "w").groupBy("_row")
+             .agg(F.collect_list(F.struct("w", "_v")).alias("_m")))
     return (keyed.join(known, "_row", "left")
-            .withColumn(out, F.coalesce(F.array_join(F.when(F.col("_m").isNull(), split_words(col)).otherwise(mapped), " "), F.lit("")))
+            .withColumn(out, F.coalesce(_replaced()(split_words(col), F.col("_m.w"), F.col("_m._v")), F.lit("")))
             .drop("_m", "_row"))
 
 
+def _replaced():
+    """(words, forms, values) -> text: a hash look-up a word, where a map in an
+    expression is searched from its start."""
+    def replace(words: pd.Series, forms: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for ws, fs, vs in zip(words, forms, values):
+            known = {} if fs is None else dict(zip(fs, vs))
+            out.append(None if ws is None else " ".join([known.get(w, w) for w in ws]))
+        return pd.Series(out)
+    return F.pandas_udf(replace, "string")
+
+
 def verb_lemmas(words: DataFrame, lexicon: DataFrame, exceptions: DataFrame, word: str = "form") -> DataFrame:
     """D6 vocabulary of verb lemmas, (form, value), for the distinct ``words``:
     a form in ``exceptions`` (form, value) has its value there; a form in

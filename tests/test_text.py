@@ -128,3 +128,18 @@ def test_phrases_of_a_long_text_merge_in_one_walk(spark):
         i += 2 if pair in wanted else 1
     assert got == want
     assert took < 15, took  # a walk that searches its phrases at every word takes minutes
+
+
+def test_words_of_a_long_text_are_looked_up_by_hash(spark):
+    import time
+
+    from tagtriage.operators.textops import apply_vocab
+    words = [f"w{i * i % 30011}" for i in range(40_000)]
+    forms = sorted(set(words))
+    df = spark.createDataFrame([(1, " ".join(words)), (None, "w1 w1  x")], "id long, t string")
+    vocab = spark.createDataFrame([(w, w if w == "w4" else w.upper()) for w in forms], "form string, value string")
+    began = time.time()
+    got = {r["id"]: r["t"] for r in apply_vocab(df, "t", vocab).collect()}
+    took = time.time() - began
+    assert got == {1: " ".join(w if w == "w4" else w.upper() for w in words), None: "W1 W1 x"}
+    assert took < 15, took  # a map searched from its start for every word takes minutes
