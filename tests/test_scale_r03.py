@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -14,3 +16,15 @@ def test_tf_vectors_move_texts_only(spark):
     assert len(re.findall(r"Exchange hashpartitioning", _plan(tv))) == 1
     got = {(r["id"], r["term"]): round(r["value"] * 3, 6) for r in tv.collect()}
     assert got == {(1, "aa"): 2, (1, "bb"): 2, (1, "cc"): 1, (None, "aa"): 3}
+
+
+def test_streams_are_cut_finer_as_they_grow(spark, tmp_path, monkeypatch):
+    from tagtriage.plans import q_stream
+    spark.createDataFrame([(i, "some words " * 20, "en", "src1", 220) for i in range(40)] + [(7, "again", "en", "src1", 5)],
+                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    small = sorted(r["id"] for r in q_stream._n1_n5(spark, str(tmp_path)).select(F.col("id")).collect())
+    monkeypatch.setattr(q_stream, "SLICE_BYTES", 500)
+    src, per = q_stream._slices(spark, str(tmp_path))
+    assert per == 5 and spark.read.text(src).count() == 41
+    fine = sorted(r["id"] for r in q_stream._n1_n5(spark, str(tmp_path)).select(F.col("id")).collect())
+    assert fine == small == [i for i in range(40) if i != 7]
