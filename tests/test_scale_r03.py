@@ -28,3 +28,45 @@ def test_streams_are_cut_finer_as_they_grow(spark, tmp_path, monkeypatch):
     assert per == 5 and spark.read.text(src).count() == 41
     fine = sorted(r["id"] for r in q_stream._n1_n5(spark, str(tmp_path)).select(F.col("id")).collect())
     assert fine == small == [i for i in range(40) if i != 7]
+
+
+def test_rounds_of_text_fits_send_a_bounded_number_of_partials(spark):
+    """Their partial sums (2 MB each) once were as many as the input's partitions."""
+    from tagtriage.operators import classifiers as cf
+    from tagtriage.session import few_partials
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.createDataFrame([(i, f"word{i % 3} and word{i % 5}", i % 2) for i in range(60)], "id long, t string, label int")
+    wide = df.repartition(3 * cores, "id")
+    assert few_partials(wide).rdd.getNumPartitions() <= cores
+    vec, model = cf.fit_text(wide, "t")
+    again, held = cf.fit_text(cf.slot_counts(wide, "t", "n"), "t", counted="n")
+    assert abs(model.coefficients.toArray() - held.coefficients.toArray()).max() < 1e-6
+    a = cf.score_text(df, vec, model).select("id", "txt_label").collect()
+    b = dict((r["id"], r["txt_label"]) for r in cf.score_text(cf.slot_counts(df, "t", "n"), again, held, counted="n").collect())
+    assert all(abs(r["txt_label"] - b[r["id"]]) < 1e-6 for r in a)
+
+
+def test_slots_are_looked_up_once_a_term(spark):
+    from tagtriage.operators import classifiers as cf
+    df = spark.createDataFrame([(i, "aa bb cc") for i in range(40)], "id long, t string")
+    vec = cf.tfidf_model(df, "t")
+    named = cf.slot_terms(df, vec)
+    plan = _plan(named)
+    assert "BatchEvalPython" not in plan and "HashAggregate" not in plan  # the distinct terms are stored
+    assert {r["term"]: r["slot"] for r in named.collect()} == {t: vec.stages[1].indexOf(t) for t in ("aa", "bb", "cc")}
+
+
+def test_stacking_normalises_the_training_text_once(spark, monkeypatch):
+    from tagtriage.operators import stacking as stk
+    seen = []
+    old = stk.tx.normalise
+    monkeypatch.setattr(stk.tx, "normalise", lambda c, chain: (seen.append(chain), old(c, chain))[1])
+    rows = [(i, i % 7, f"2024-01-{i % 27 + 1:02d}", f"story {i % 3} of word{i % 5}", "" if i % 4 else None, i, i % 11, i % 5, i % 2, bool(i % 2), i % 3, i % 2)
+            for i in range(80)]
+    df = stk.prepare(spark.createDataFrame(rows, "id long, user_id long, created_at string, fulltext string, user_description string, user_friends_count long, "
+                                                 "user_followers_count long, retweet_count long, favorite_count long, user_verified boolean, number_of_hashtags int, label int")
+                     .withColumn("created_at", F.col("created_at").cast("timestamp")))
+    det = stk.fit_stacking(df, stk.Settings(rf_trees=2, meta_rounds=3, folds=2))
+    assert seen.count("train") == 1
+    got = stk.annotate(df, det).select("id", "label_prob").collect()
+    assert sorted(r["id"] for r in got) == list(range(80)) and all(0 <= r["label_prob"] <= 1 for r in got)
