@@ -70,3 +70,26 @@ def test_stacking_normalises_the_training_text_once(spark, monkeypatch):
     assert seen.count("train") == 1
     got = stk.annotate(df, det).select("id", "label_prob").collect()
     assert sorted(r["id"] for r in got) == list(range(80)) and all(0 <= r["label_prob"] <= 1 for r in got)
+
+
+def _long(rows):
+    return {(r[0], r[1]): round(r[2], 9) for r in rows}
+
+
+def test_packed_tfidf_looks_terms_up_once_a_block(spark, monkeypatch):
+    """The idf join once moved a row a term of a document, twice."""
+    from tagtriage.operators import features as fe
+    from tagtriage.operators import packed as pk
+    rows = [(i // 2 if i < 8 else i, f"word{i % 3} and Word{i % 5} and x" if i % 6 else None) for i in range(40)] + [(None, "and all"), (None, "all"), (77, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    for limit in (8_000_000, 9):  # one block a task, and blocks of a few documents
+        monkeypatch.setattr(pk, "BLOCK", limit)
+        counts = fe.term_counts(df, "text", packed=True)
+        assert _long(fe.Packed(counts.docs, "id").long().collect()) == _long(fe.term_counts(df, "text").collect())
+        for mf in (None, 3):
+            old = fe.tfidf(fe.term_counts(df, "text", by_doc=True), n_docs=43, max_features=mf).collect()
+            new = fe.tfidf(counts, n_docs=43, max_features=mf).long()
+            got = new.collect()
+            assert len(got) == len(old) and _long(got) == _long(old)
+    # nothing but a block's documents and a row for each of its terms is moved
+    assert "term" not in "".join(l for l in _plan(new).split("\n") if "Exchange hashpartitioning(block" in l)
