@@ -93,3 +93,47 @@ def test_packed_tfidf_looks_terms_up_once_a_block(spark, monkeypatch):
             assert len(got) == len(old) and _long(got) == _long(old)
     # nothing but a block's documents and a row for each of its terms is moved
     assert "term" not in "".join(l for l in _plan(new).split("\n") if "Exchange hashpartitioning(block" in l)
+
+
+def _kmeans_by_hand(vecs, first, rounds):
+    """Plain k-means: {id: {term: value}}, first centres."""
+    centres = [dict(vecs[i]) for i in first]
+    for r in range(rounds + 1):
+        to = {i: min(range(len(centres)), key=lambda c: (round(sum(x * x for x in centres[c].values())
+                     - 2 * sum(x * centres[c].get(t, 0) for t, x in v.items()), 12), c)) for i, v in vecs.items()}
+        if r < rounds:
+            for c in range(len(centres)):
+                own = [vecs[i] for i in vecs if to[i] == c]
+                if own:
+                    centres[c] = {t: sum(v.get(t, 0) for v in own) / len(own) for v in own for t in v}
+    return to, centres
+
+
+def test_kmeans_moves_a_row_a_term_of_a_block(spark, monkeypatch):
+    """A round once made a row for each term of a text and centre."""
+    from tagtriage.operators import clusters, packed as pk
+    rows = [(i, f"t{(i * j) % 11}", float(1 + (i + j) % 4)) for i in range(30) for j in range(1, 5)]
+    vecs = {}
+    for i, t, x in rows:
+        vecs.setdefault(i, {})
+        vecs[i][t] = vecs[i].get(t, 0) + x
+    df = spark.createDataFrame(rows, "id long, term string, value double")
+    for limit in (8_000_000, 20):
+        monkeypatch.setattr(pk, "BLOCK", limit)
+        packed = pk.pack_rows(df)
+        packed.weights = packed.terms().withColumn("w", F.lit(1.0)).select("block", "idx", "term", "w")
+        first = clusters.first_centres(packed, 3, 1)
+        drawn = {c: {r["term"]: r["value"] for r in first.filter(F.col("cluster") == c).groupBy("term").agg(F.sum("value").alias("value")).collect()} for c in range(3)}
+        ids = [next(i for i in vecs if vecs[i] == drawn[c]) for c in range(3)]
+        to, want = _kmeans_by_hand(vecs, ids, 2)
+        centres, assigned = clusters.kmeans(df, k=3, rounds=2)
+        assert {r["id"]: r["cluster"] for r in assigned.collect()} == to
+        got = {}
+        for r in centres.collect():
+            got.setdefault(r["cluster"], {})[r["term"]] = r["value"]
+        for c, v in enumerate(want):
+            assert set(got[c]) == set(v) and all(abs(got[c][t] - x) < 1e-9 for t, x in v.items())
+    # sums arrive added up: a row a block, cluster and term, not one a text
+    _, added = clusters.nearest(pk.Packed(packed.docs, "id", packed.weights), centres)
+    blocks = packed.docs.select("block").distinct().count()
+    assert added.count() <= blocks * 3 * 11 and added.groupBy("term", "cluster").count().agg(F.max("count")).first()[0] <= blocks
