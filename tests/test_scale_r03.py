@@ -137,3 +137,29 @@ def test_kmeans_moves_a_row_a_term_of_a_block(spark, monkeypatch):
     _, added = clusters.nearest(pk.Packed(packed.docs, "id", packed.weights), centres)
     blocks = packed.docs.select("block").distinct().count()
     assert added.count() <= blocks * 3 * 11 and added.groupBy("term", "cluster").count().agg(F.max("count")).first()[0] <= blocks
+
+
+def test_small_fits_send_few_partials(spark, monkeypatch):
+    """A round's partials were as many as tasks run at once, however few the rows."""
+    from tagtriage import session
+    df = spark.range(60).repartition(4)
+    assert session.few_partials(df, 60).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(session, "PARTIAL_ROWS", 20)
+    assert session.few_partials(df, 60).rdd.getNumPartitions() == 3
+    assert session.few_partials(df, 10 ** 9).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+
+
+def test_profile_fit_holds_the_slots_in_use(spark, monkeypatch):
+    """Its rounds moved all slots for a handful of words."""
+    from tagtriage.operators import classifiers as cf
+    df = spark.createDataFrame([(i, f"writes word{i % 3} of word{i % 5}" if i % 7 else None, int(i % 3 == 0)) for i in range(60)]
+                               + [(60, "", 1), (61, "never seen", 0)], "id long, user_description string, label int")
+    train = df.filter("id < 60")
+    vec, model = cf.fit_profile(train)
+    assert model.numFeatures == 7  # writes, of, word0 to word4
+    few = {r["id"]: r["ud_label"] for r in cf.score_profile(df, vec, model).select("id", "ud_label").collect()}
+    monkeypatch.setattr(cf, "FEW_SLOTS", 0)
+    vec, model = cf.fit_profile(train)
+    assert model.numFeatures == cf.SLOTS
+    every = {r["id"]: r["ud_label"] for r in cf.score_profile(df, vec, model).select("id", "ud_label").collect()}
+    assert len(few) == 62 and few.keys() == every.keys() and all(abs(few[i] - every[i]) < 1e-6 for i in few)
