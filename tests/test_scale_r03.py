@@ -163,3 +163,18 @@ def test_profile_fit_holds_the_slots_in_use(spark, monkeypatch):
     assert model.numFeatures == cf.SLOTS
     every = {r["id"]: r["ud_label"] for r in cf.score_profile(df, vec, model).select("id", "ud_label").collect()}
     assert len(few) == 62 and few.keys() == every.keys() and all(abs(few[i] - every[i]) < 1e-6 for i in few)
+
+
+def test_bounded_picks_take_a_bounded_number_of_rounds(spark, monkeypatch):
+    """A pick that lowered all gains alike once had all rows scored, a round's rows at a time."""
+    from tagtriage.operators import selection as sel
+    df = spark.createDataFrame([(i, [1.0 + (i * 7 % 300) / 3000.0, 1.0 + (i * 11 % 300) / 3000.0]) for i in range(300)], "id long, features array<double>")
+    seen = []
+    old = sel.FeatureBased.gain_row
+    monkeypatch.setattr(sel.FeatureBased, "gain_row", lambda self, st, r: (seen.append(r["id"]), old(self, st, r))[1])
+    want = [(r["id"], round(r["gain"], 9)) for r in sel.select(df, sel.FeatureBased(), 4).collect()]
+    got = [(r["id"], round(r["gain"], 9)) for r in sel.select(df, sel.FeatureBased(), 4, strategy="bounded", batch=2).collect()]
+    assert got == want and len(seen) <= 4 * (2 + 4 + 8 + 2)
+    seen.clear()
+    ties = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(60)], "id long, features array<double>")
+    assert [r["id"] for r in sel.select(ties, sel.FeatureBased(), 3, strategy="bounded", batch=2).collect()] == [0, 1, 2]
