@@ -2,6 +2,8 @@
 
 import re
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 
@@ -178,3 +180,30 @@ def test_bounded_picks_take_a_bounded_number_of_rounds(spark, monkeypatch):
     seen.clear()
     ties = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(60)], "id long, features array<double>")
     assert [r["id"] for r in sel.select(ties, sel.FeatureBased(), 3, strategy="bounded", batch=2).collect()] == [0, 1, 2]
+
+
+def _nearest_by_hand(X, k):
+    d = ((X[:, None] - X[None]) ** 2).sum(2)
+    return {i: sorted((d[i, j] if j != i else -1.0, j) for j in range(len(X)))[:k + 1] for i in range(len(X))}
+
+
+def test_blocks_meet_in_any_partition(spark, monkeypatch):
+    """Block numbers were ints on one side and longs on the other: pairs of blocks met only
+    where all partitions of the shuffle were read by one task."""
+    from tagtriage.operators import selection as sel
+    monkeypatch.setattr(sel, "PAIR_BLOCK", 8)
+    X = np.random.default_rng(5).normal(size=(60, 4))
+    X[9] = X[4]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, features array<double>").localCheckpoint()
+    want = _nearest_by_hand(X, 3)
+    some = spark.createDataFrame([(4,), (9,), (33,)], "id long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = sorted((r["i"], r["j"]) for r in sel._nearest(df, "id", "euclidean", 3).collect())
+        few = sorted((r["i"], r["j"]) for r in sel._nearest(df, "id", "euclidean", 3, some).collect())
+        top = sel._widest_kept(df, "id", 3)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == sorted((i, j) for i in want for _, j in want[i])
+    assert few == [x for x in got if x[0] in (4, 9, 33)]
+    assert abs(top - max(d for i in want for d, _ in want[i])) < 1e-9
