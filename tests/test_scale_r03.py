@@ -207,3 +207,47 @@ def test_blocks_meet_in_any_partition(spark, monkeypatch):
     assert got == sorted((i, j) for i in want for _, j in want[i])
     assert few == [x for x in got if x[0] in (4, 9, 33)]
     assert abs(top - max(d for i in want for d, _ in want[i])) < 1e-9
+
+
+def test_live_refits_share_counted_texts(spark, tmp_path, monkeypatch):
+    """Every refit once normalised and counted all training texts again."""
+    from tagtriage.operators import stacking as stk
+    from tagtriage.plans import q_stream
+    from tagtriage.sources import models
+    spark.createDataFrame([(i, f"some words {i} " * 3, "en", "src1", 30) for i in range(24)],
+                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    fits = []
+
+    class Registry:
+        def __init__(self, *a):
+            pass
+
+        def reload(self):
+            pass
+
+    monkeypatch.setattr(models, "ModelRegistry", Registry)
+    monkeypatch.setattr(stk, "publish", lambda *a: None)
+    monkeypatch.setattr(stk, "from_registry", lambda reg: None)
+    monkeypatch.setattr(stk, "annotate", lambda df, det: df.withColumn("label_prob", (F.col("id") % 2).cast("double")))
+    monkeypatch.setattr(stk, "fit_stacking", lambda t: fits.append((stk.COUNTS in t.columns, t.filter(F.col(stk.COUNTS).isNull()).count(),
+                                                                    sorted(r["id"] for r in t.select("id").collect()))))
+    got = q_stream._n7(spark, str(tmp_path))
+    assert got.count() == 24
+    assert all(has and nulls == 0 for has, nulls, _ in fits) and len(fits) == 3
+    ids = [x for *_, x in fits]
+    assert ids[0] == list(range(12)) and set(ids[0]) <= set(ids[1]) <= set(ids[2]) and len(ids[2]) > 12
+
+
+def test_facility_rounds_take_more_candidates(spark, monkeypatch):
+    """A round took PAIR_BLOCK candidates at the most; it takes 16 times as many now."""
+    from tagtriage.operators import selection as sel
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.random.default_rng(3).normal(size=(200, 6)))],
+                               "id long, features array<double>").localCheckpoint()
+    want = [(r["id"], round(r["gain"], 9)) for r in sel.select(df, sel.Facility(), 2, check=False).collect()]
+    monkeypatch.setattr(sel, "PAIR_BLOCK", 4)
+    monkeypatch.setattr(sel, "ROW_BLOCK", 7)
+    rounds, old = [], sel._metric_rows
+    monkeypatch.setattr(sel, "_metric_rows", lambda X, m: (rounds.append(len(X)), old(X, m))[1])  # on the driver: once a round
+    got = [(r["id"], round(r["gain"], 9)) for r in sel.select(df, sel.Facility(), 2, check=False, batch=2).collect()]
+    assert got == want and 0 < len(rounds) <= 12 and max(rounds) <= 64
