@@ -66,3 +66,51 @@ def test_denoise_votes_before_the_join(spark):
         weak.apply_lfs = plain
     assert out == {(1, "label_model"), (3, "label_model"), (None, "label_model"), (2, "validation")}
     assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+TOKENS = [(1, ["a", "b", "c", "a", "b"]), (1, ["b", "c"]), (None, ["x", None, "a", "b", None]), (2, [None, "x"]), (3, []), (4, None),
+          (5, ["a", "b", "b", "c", "a"])]
+
+
+def test_phrases_merge_in_place(spark, monkeypatch):
+    from tagtriage.operators import textops
+    df = spark.createDataFrame(TOKENS, "id long, t array<string>")
+    ph = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "b"), (None, "x"), ("x", None)], "a string, b string")
+    out = textops.apply_phrases(df, "t", ph)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()  # neither texts nor pairs move
+    rows = lambda d: sorted(((r["id"], r["t"]) for r in d.collect()), key=str)
+    want = sorted([(1, ["a_b", "c", "a_b"]), (1, ["b_c"]), (None, ["x", "a_b"]), (2, [None, "x"]), (3, []), (4, []),
+                   (5, ["a_b", "b_c", "a"])], key=str)
+    assert rows(out) == want
+    monkeypatch.setattr(textops, "MOST_HELD", 1)  # more phrases than that: by joins
+    assert rows(textops.apply_phrases(df, "t", ph)) == want
+
+
+def test_phrases_are_named_by_both_hashes():
+    import numpy as np
+    from tagtriage.operators import textops
+    known = np.array([3, 5, 5, 9]), np.array([1, 2, 7, 4])
+    x, y = np.array([5, 5, 5, 3, 4, 9, 10]), np.array([7, 2, 3, 1, 1, 4, 4])
+    assert textops._is_known(known, x, y).tolist() == [True, True, False, True, False, True, False]
+    assert not textops._is_known((np.array([], np.int64),) * 2, x, y).any()
+
+
+def test_pairs_that_cannot_score_are_not_stored(spark, monkeypatch):
+    from tagtriage.operators import textops
+    rows = [(i, ["new", "york", f"w{i}", f"v{i}"]) for i in range(8)] + [(8, None), (9, ["alone"]), (10, [None, "alone"])]
+    df = spark.createDataFrame(rows, "id long, t array<string>")
+    kept, plain = [], textops.stored
+    monkeypatch.setattr(textops, "stored", lambda d, **k: (kept.append(plain(d, **k)), kept[-1])[1])
+    # words: new, york, w0-7, v0-7, alone; pairs: new york, york w*, w* v*; a pair with a null in front counts nowhere
+    got = [(r["a"], r["b"], r["n_ab"], r["score"]) for r in textops.phrases(df, "t", 5, 0.5).collect()]
+    assert got == [("new", "york", 8, (8 - 5) * 36 / 64)]
+    assert kept[0].where("kept AND b IS NOT NULL").count() == 1 and kept[0].where("NOT kept").count() == 1
+    assert textops.phrases(df, "t", 5, -1.0).count() == 1 + sum((1 - 5) * 36 / (8 * 1) > -1 for _ in range(8)) + sum((1 - 5) * 36 > -1 for _ in range(8))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+
+
+def test_stored_frees_its_shuffle(spark):
+    from tagtriage.session import stored
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    one, two = stored(df, free=True), stored(df)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) == sorted(map(tuple, df.collect()))
