@@ -114,3 +114,27 @@ def test_stored_frees_its_shuffle(spark):
     df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
     one, two = stored(df, free=True), stored(df)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_the_widest_kept_distance_settles_few_rows(spark, monkeypatch):
+    import numpy as np
+    from tagtriage.operators import selection as sel
+    monkeypatch.setattr(sel, "PAIR_BLOCK", 16)
+    monkeypatch.setattr(sel, "PROBE", 256, raising=False)
+    rng = np.random.default_rng(5)
+    X = np.concatenate([(Y := rng.normal(size=(1500, 16))) / np.linalg.norm(Y, axis=1, keepdims=True), np.ones((20, 16)) / 4])
+    ids = np.arange(len(X)) % (len(X) - 3)  # three ids come twice
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, X)], "id long, features array<double>").cache()
+    settled, plain = [], sel._nearest
+
+    def spied(base, id_col, metric, n, rows=None):
+        settled.append(rows.count())
+        return plain(base, id_col, metric, n, rows)
+
+    want = plain(df, "id", "euclidean", 5).agg(F.max("d")).first()[0]
+    monkeypatch.setattr(sel, "_nearest", spied)
+    assert sel._widest_kept(df, "id", 5) == pytest.approx(want, rel=1e-9)
+    assert sum(settled) < len(X) / 10, settled  # each of them meets the whole table
+    few = df.where("id < 4")  # fewer others than neighbours asked for
+    assert sel._widest_kept(few, "id", 5) == pytest.approx(plain(few, "id", "euclidean", 5).agg(F.max("d")).first()[0])
+    assert sel._widest_kept(df.where("id = 7"), "id", 5) == 0.0
